@@ -92,18 +92,19 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (BASE, BACK))
 
 
-def words(flat: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words(flat: np.ndarray, off: np.ndarray, lower: bool = True, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hashes of all words, and where each text's words start among them.
 
-    A word is a longest run of bytes that are no white space (space, U+0009 to U+000D) within a text;
-    lower takes A-Z as a-z. The hash is a polynomial over the word's bytes in the ring of 64 bits, finalised with its length.
+    A word is a longest run of bytes that are no white space (space, U+0009 to U+000D) within a text; with letters, of
+    ASCII letters and bytes from 0x80. lower takes A-Z as a-z. The hash is a polynomial over the word's bytes in the ring
+    of 64 bits, finalised with its length. For each length in prefixes follow the hashes of the words' first bytes.
     """
     n = len(flat)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     if lower:
         flat = flat + (((flat >= 65) & (flat <= 90)).astype(np.uint8) << 5)
-    solid = (flat != 32) & ((flat < 9) | (flat > 13))
+    solid = ((flat | 32) >= 97) & ((flat | 32) <= 122) | (flat >= 128) if letters else (flat != 32) & ((flat < 9) | (flat > 13))
     first = np.zeros(n + 1, bool)
     first[off[:-1]] = True
     begin = solid.copy()
@@ -114,8 +115,8 @@ def words(flat: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
     power, back = _powers(1 << max(20, (n + 1).bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[flat] * power[:n], out=total[1:])
-    h = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
-    return h, np.searchsorted(a, off)
+    hashed = lambda b: mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+    return hashed(b), np.searchsorted(a, off), *(hashed(np.minimum(b, a + k)) ^ np.uint64(k) for k in prefixes)
 
 
 def windows(h: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -38,11 +38,14 @@ def sums(w: np.ndarray, idx: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed words of each text, and where each text's start."""
-    h, off = words(*offsets(texts))
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    both = np.unique((row.astype(np.uint64) << np.uint64(bits)) | (h >> np.uint64(64 - bits)))
+def features(texts: pa.Array, bits: int, prefixes: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed words of each text, with their first 4, 5 and 6 bytes, and where each text's features start.
+
+    Words are runs of letters, A-Z as a-z. Prefixes let inflected forms of a stem share a weight.
+    """
+    h, off, *cut = words(*offsets(texts), letters=True, prefixes=prefixes)
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off)) << np.uint64(bits)
+    both = np.unique(np.concatenate([row | (x >> np.uint64(64 - bits)) for x in (h, *cut)]))
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), np.searchsorted(both >> np.uint64(bits), np.arange(len(off)))
 
 
@@ -130,7 +133,8 @@ def scorer(model: Model):
 
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and the probability of any grade above 0."""
-        p = model.at_least(*features(texts, bits))
+        idx, off = features(texts, bits)
+        p = model.at_least(idx, off) * (np.diff(off) > 0)[:, None]  # 0 without a letter
         return p.sum(axis=1), p[:, 0]
 
     return score
@@ -139,7 +143,7 @@ def scorer(model: Model):
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", reject: float = 0.5) -> DataFrame:
     """One row per row of df: key, severity (expected grade), p_toxic, toxic (p_toxic >= reject), kept.
 
-    Null, empty and wordless texts have severity 0 and are kept. Repeated rows and null keys are scored like any other.
+    Null texts and texts without a letter have severity 0 and are kept. Repeated rows and null keys are scored like any other.
     Only key and text are read, whatever other columns are called. An empty table gives an empty result.
     """
     rate = scorer(model)
@@ -147,8 +151,6 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             severity, p = rate(batch["text"])
-            blank = np.diff(words(*offsets(batch["text"]))[1]) == 0
-            severity, p = np.where(blank, 0, severity), np.where(blank, 0, p)
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(severity), pa.array(p), pa.array(p >= reject), pa.array(p < reject)], ["key", "severity", "p_toxic", "toxic", "kept"])
 
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -165,8 +167,7 @@ def drop_toxic(df: DataFrame, model: Model, text: str = "text", reject: float =
         for batch in batches:
             keep = []
             for part in slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
-                blank = np.diff(words(*offsets(part["text"]))[1]) == 0
-                keep.append(blank | (rate(part["text"])[1] < reject))
+                keep.append(rate(part["text"])[1] < reject)
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
