@@ -44,7 +44,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `budget` bytes of text, so that what numpy builds for a batch stays small.
 
     A text above the budget is a batch of its own.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, quality, sharding, toxicity
-from .common import read
+from . import decontaminate, langid, line_dedup, near_dedup, packing, quality, sharding, token_output, toxicity
+from .common import read, shared_dir
 
 
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,21 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -35,8 +51,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op7_decontamination, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op9_quality_rules, op10_token_output)}
 
 
 #: CRC-32 by its bytewise table, as a fold over the text's bytes; then the published jump loop as a recursion.

@@ -49,7 +49,7 @@ def features(texts: pa.Array, bits: int, prefixes: tuple[int, ...] = (4, 5, 6))
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), np.searchsorted(both >> np.uint64(bits), np.arange(len(off)))
 
 
-def fit(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, bits: int = 18, epochs: int = 6, batch: int = 256, rate: float = 0.1, l1: float = 2e-4, seed: int = 7) -> Model:
+def fit(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, bits: int = 18, epochs: int = 12, batch: int = 128, rate: float = 0.5, l1: float = 4e-4, seed: int = 7) -> Model:
     """AdaGrad on the negative log-likelihood with an L1 step, so that words that tell nothing weigh nothing."""
     k = max(2, int(grade.max(initial=0)) + 1)
     w, seen_w = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
