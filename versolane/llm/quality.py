@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, saved
 
 SYMBOLS = "#*$%&|<>"
 
@@ -30,11 +30,14 @@ def base(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "so
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), t.alias("t"))
     rows = rows.select("key", "host", "t", word_array(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: solid(x) != "").alias("lines"))
     n = F.size("w")
-    # hashes of all three-word windows with their places, sorted, so that equal windows are neighbours
-    three = F.when(n >= 3, F.array_sort(F.zip_with(F.zip_with(F.slice(F.col("w"), 1, n - 2), F.slice(F.col("w"), 2, n - 2), lambda a, b: F.concat(a, F.lit(" "), b)), F.arrays_zip(F.slice(F.col("w"), 3, n - 2), F.sequence(F.lit(1), n - 2)), lambda ab, c: F.struct(F.concat(ab, F.lit(" "), c["0"]).alias("g"), c["1"].alias("i")))))
-    rows = rows.select("key", "host", "t", "lines", n.cast("long").alias("n_words"), three.alias("three"))
+    # 64-bit hashes of all three-word windows; only a text that repeats one has them sorted with their places
+    grams = F.when(n >= 3, F.transform(F.slice(F.col("w"), 1, n - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
+    rows = rows.select("key", "host", "t", "lines", n.cast("long").alias("n_words"), grams.alias("grams"))
+    again = F.size(F.array_distinct("grams")) < F.size("grams")
+    three = F.when(again, F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    rows = rows.select("key", "host", "t", "lines", "n_words", three.alias("three"))
     m = F.size("three")
-    next_, last = F.slice(F.col("three"), 2, m), F.concat(F.array(F.lit(None).cast("struct<g:string,i:int>")), F.slice(F.col("three"), 1, m - 1))
+    next_, last = F.slice(F.col("three"), 2, m), F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice(F.col("three"), 1, m - 1))
     rows = rows.select("key", "host", "t", "lines", "n_words", F.when(F.col("three").isNotNull(), F.array_sort(F.filter(F.zip_with(F.zip_with(F.col("three"), next_, lambda x, y: F.struct(x["i"].alias("i"), x["g"].alias("g"), (x["g"] == y["g"]).alias("same"))), last, lambda x, y: F.when(x["same"] | (x["g"] == y["g"]), x["i"])), lambda i: i.isNotNull()))).alias("at"))
     k = F.size("at")
     gaps = F.zip_with(F.col("at"), F.slice(F.col("at"), 2, k), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
@@ -56,7 +59,7 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
     A line is frequent on a host if at least `line_docs` of the host's documents and over `line_percent` per cent of them hold it.
     A document is depleted, and rejected, if over `depleted_percent` per cent of its words stand in frequent lines.
-    Null hosts are one host of their own. Null and empty texts have no words and fail the base rule. A repeated key
+    Repeated windows are found by 64-bit hashes within a text. Null hosts are one host of their own. Null and empty texts have no words and fail the base rule. A repeated key
     counts as one document; each of its rows is returned, with the words that all of them lose. Null keys are one such key.
     Only key, text and host are read, whatever other columns are called. An empty table gives an empty result.
     """
@@ -64,7 +67,7 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     held = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
     held = held.select("key", "host", word_array(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("w")).where(F.size("w") > 0)
     held = held.select("key", "host", F.xxhash64(F.array_join("w", " ")).alias("line"), F.size("w").cast("long").alias("words"))
-    held = held.groupBy("key", "host", "line").agg(F.sum("words").alias("words"))
+    held = saved(held.groupBy("key", "host", "line").agg(F.sum("words").alias("words")), "lines")  # read twice, made once
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     often = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
     often = often.join(docs, "host").where(F.col("n") * 100 > F.col("docs") * line_percent).select("host", "line")
