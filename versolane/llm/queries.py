@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, near_dedup, packing, quality, sharding, token_output, toxicity
+from . import decontaminate, langid, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_output, toxicity
 from .common import read, shared_dir
 
 
@@ -47,6 +47,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op9_quality_rules, op10_token_output)}
+    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_token_output)}
 
 
 #: CRC-32 by its bytewise table, as a fold over the text's bytes; then the published jump loop as a recursion.
