@@ -5,11 +5,297 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import text as T
+from ..operators import analyze, html_blocks, jobs, language, layout, segment, translate
+from ..sources import catalog, epub, views
+from ..streaming import jobs as live
+from .oracle import ORACLE
+
+
+def src_chapters(s: SparkSession, d: str) -> DataFrame:
+    return views.chapters(s, d).select("book_id", F.col("doc_idx").cast("long").alias("doc_idx"), "name", F.length("html").cast("long").alias("n"))
+
+
+def src_pages(s: SparkSession, d: str) -> DataFrame:
+    return views.paged(s, d).select("book_id", F.col("page_no").cast("long").alias("page_no"), "text")
+
+
+def html_text(s: SparkSession, d: str) -> DataFrame:
+    return views.read(s, d, "pages").select("page_id", H.plain_text(F.col("html")).alias("text"))
+
+
+def chapter_names(s: SparkSession, d: str) -> DataFrame:
+    return views.chapters(s, d).select("book_id", F.col("doc_idx").cast("long").alias("doc_idx"), H.heading(F.col("html"), F.col("name")).alias("title"))
+
+
+def chapter_gate(s: SparkSession, d: str) -> DataFrame:
+    return views.read(s, d, "pages").select("page_id", T.translatable(F.left(H.plain_text(F.col("html")), F.lit(1000))).alias("translated"))
+
+
+def word_char_counts(s: SparkSession, d: str) -> DataFrame:
+    return views.read(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), T.word_count(F.col("text")).alias("words"))
+
+
+def token_estimate(s: SparkSession, d: str) -> DataFrame:
+    return views.read(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+def token_estimate_scaled(s: SparkSession, d: str) -> DataFrame:
+    rows = views.source_books(s, d).where(F.length("text") > 0).groupBy("book_id").agg(F.sum(F.length("text") + 1).alias("n"))
+    return rows.select("book_id", T.scaled_estimate(F.col("n")).alias("tokens"))
+
+
+def filter_translatable(s: SparkSession, d: str) -> DataFrame:
+    return views.lines(s, d).where(T.translatable(F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("t")).cast("long").alias("chars"))
+
+
+def filter_sendable(s: SparkSession, d: str) -> DataFrame:
+    words = views.read(s, d, "documents").select("doc_id", F.explode(F.split("text", "[ \n]")).alias("w"))
+    return words.groupBy("doc_id").agg(F.sum(T.sendable(F.col("w")).cast("long")).alias("sendable"), F.sum(T.translatable(F.col("w")).cast("long")).alias("translatable"), F.count("*").alias("words"))
+
+
+def file_allowlist(s: SparkSession, d: str) -> DataFrame:
+    return views.manifest(s, d).select("job_id", T.extension(F.col("original_filename")).alias("ext"), T.extension(F.col("original_filename")).isin(*T.EXTENSIONS).alias("allowed"))
+
+
+def output_naming(s: SparkSession, d: str) -> DataFrame:
+    return views.manifest(s, d).select("job_id", T.output_name(F.col("original_filename"), F.col("target_lang")).alias("output"), T.language_code(F.col("target_lang")).alias("code"))
+
+
+def model_catalog(s: SparkSession, d: str) -> DataFrame:
+    """What the jobs ask for, over the models whose provider is available."""
+    usable = catalog.models(s).join(catalog.providers(s).where("available"), "provider", "left_semi")
+    asked = views.manifest(s, d).groupBy("model").agg(F.count("*").alias("jobs"), F.sum("length").cast("long").alias("chars"))
+    rows = asked.join(F.broadcast(usable), "model")
+    return rows.select("model", "provider", "display_name", "input_cost", "output_cost", "quality", "speed", "cost_indicator", "quality_badge", "description", "jobs", "chars", (F.col("model") == catalog.default_model(True, False)).alias("is_default"))
+
+
+def job_validation(s: SparkSession, d: str) -> DataFrame:
+    return jobs.validated(views.manifest(s, d), catalog.models(s), catalog.providers(s))
+
+
+def analyze_books(s: SparkSession, d: str) -> DataFrame:
+    return analyze.books(views.chapters(s, d))
+
+
+def analyze_paged(s: SparkSession, d: str) -> DataFrame:
+    return analyze.paged_books(views.source_books(s, d))
+
+
+def analyze_all(s: SparkSession, d: str) -> DataFrame:
+    rows = analyze.either(analyze.books(views.chapters(s, d)), analyze.paged_books(views.source_books(s, d)))
+    return rows.select("book_id", "file_type", "total_chars", "total_words", "num_chapters", "num_pages", "chapter_names", "estimated_tokens")
+
+
+def analysis_json(s: SparkSession, d: str) -> DataFrame:
+    """Each analysis as a JSON reply, its fields read back."""
+    rows = analyze.books(views.chapters(s, d))
+    reply = rows.select("book_id", F.to_json(F.struct("total_chars", "total_words", "num_chapters", "chapter_names", "estimated_tokens")).alias("body"))
+    field = lambda k: F.get_json_object("body", f"$.{k}")
+    return reply.select("book_id", *[field(k).cast("long").alias(k) for k in ("total_chars", "total_words", "num_chapters", "estimated_tokens")], field("chapter_names[0]").alias("first_name"))
+
+
+def cost_by_model(s: SparkSession, d: str) -> DataFrame:
+    return analyze.priced(analyze.books(views.chapters(s, d)), catalog.models(s))
+
+
+def chunk_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    texts = views.long_texts(s, d).select(F.concat(F.lit("c"), F.col("text_id").cast("string")).alias("text_id"), "text")
+    docs = views.read(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    return segment.chunks(texts.union(docs)).select("text_id", F.col("pos").cast("long").alias("pos"), "chunk")
+
+
+def chunk_context(s: SparkSession, d: str) -> DataFrame:
+    return segment.with_context(segment.chunks(views.long_texts(s, d))).select("text_id", F.col("pos").cast("long").alias("pos"), F.length("chunk").cast("long").alias("n"), "context")
+
+
+def reassemble_text(s: SparkSession, d: str) -> DataFrame:
+    return segment.joined(segment.chunks(views.long_texts(s, d)), "text_id", "pos", "chunk")
+
+
+def layout_block_text(s: SparkSession, d: str) -> DataFrame:
+    return layout.block_text(views.spans(s, d)).select("book_id", F.col("page_no").cast("long").alias("page_no"), F.col("block_no").cast("long").alias("block_no"), "text", F.size("spans").cast("long").alias("n_spans"))
+
+
+def layout_groups(s: SparkSession, d: str) -> DataFrame:
+    return layout.groups(views.layout_blocks(s, d)).select("book_id", F.col("page_no").cast("long").alias("page_no"), F.col("gid").cast("long").alias("gid"), "n_blocks", "text", "x0", "y0", "x1", "y1")
+
+
+def layout_style(s: SparkSession, d: str) -> DataFrame:
+    return layout.style(layout.block_text(views.spans(s, d))).select("book_id", F.col("page_no").cast("long").alias("page_no"), F.col("block_no").cast("long").alias("block_no"), "font", "size", "r", "g", "b")
+
+
+def _wanted(s: SparkSession, d: str) -> DataFrame:
+    rows = segment.with_context(segment.chunks(views.long_texts(s, d))).withColumnRenamed("chunk", "text")
+    names = F.array(*[F.lit(m[0]) for m in catalog.MODELS])
+    return rows.select("text_id", "pos", "text", "context", F.lit("English").alias("source_lang"), F.when(F.col("text_id") % 2 == 0, "Italian").otherwise("French").alias("target_lang"), F.element_at(names, (F.col("text_id") % len(catalog.MODELS) + 1).cast("int")).alias("model"))
+
+
+def prompt_requests(s: SparkSession, d: str) -> DataFrame:
+    rows = translate.requests(_wanted(s, d), catalog.models(s))
+    return rows.select("text_id", F.col("pos").cast("long").alias("pos"), "model", "provider", F.md5("system").alias("system_md5"), F.md5("user").alias("user_md5"), F.length("user").cast("long").alias("user_chars"), "temperature", "token_param", F.col("max_out").cast("long").alias("max_out"))
+
+
+def response_clean(s: SparkSession, d: str) -> DataFrame:
+    """Answers made from the documents: some padded, some blank, some empty, some missing."""
+    doc = F.col("doc_id")
+    answer = F.when(doc % 5 == 0, F.concat(F.lit(" \n"), F.col("text"), F.lit("\t "))).when(doc % 5 == 1, F.lit("")).when(doc % 5 == 2, F.lit(" \n ")).when(doc % 5 == 3, F.col("text"))
+    return views.read(s, d, "documents").select("doc_id", T.clean_response(answer, F.col("text")).alias("translated"))
+
+
+def translate_units(s: SparkSession, d: str) -> DataFrame:
+    return translate.run_units(views.units(s, d), translate.echo).select("seq_key", "pos", "translated")
+
+
+def _flaky(units: DataFrame) -> DataFrame:
+    """Units whose text names how often the backend fails first: pos % 4 times."""
+    return units.withColumn("text", F.concat((F.col("pos") % 4).cast("string"), F.lit("|"), F.col("text")))
+
+
+def translate_attempts(s: SparkSession, d: str) -> DataFrame:
+    left: dict = {}
+
+    def backend(text: str, context: str) -> str:
+        failures, _, rest = text.partition("|")
+        n = left.get("n", 0) + 1 if left.get("at") == (text, context) else 1
+        left.update(at=(text, context), n=n)
+        if n <= int(failures):
+            raise RuntimeError("busy")
+        left.clear()
+        return translate.echo(rest, context)
+
+    done = translate.run_units(_flaky(views.units(s, d)), backend, wait=lambda seconds: None)
+    return translate.attempts_report(done).select("seq_key", "pos", F.col("attempts").cast("long").alias("attempts"), "waited", "outcome")
+
+
+def _failing(text: str, context: str) -> str:
+    if text.startswith("3|"):
+        raise RuntimeError("no answer")
+    return translate.echo(text.partition("|")[2], context)
+
+
+def failure_fallback(s: SparkSession, d: str) -> DataFrame:
+    units = views.units(s, d).withColumn("text", F.concat((F.col("pos") % 7).cast("string"), F.lit("|"), F.col("text")))
+    done = translate.run_units(units, _failing, wait=lambda seconds: None)
+    chapter = translate.with_fallback(done, True).select("seq_key", "pos", "n_failed", F.col("final").alias("as_chapter"))
+    group = translate.with_fallback(done, False).select("seq_key", "pos", F.col("final").alias("as_group"))
+    return chapter.join(group, ["seq_key", "pos"])
+
+
+def lang_sample(s: SparkSession, d: str) -> DataFrame:
+    a = language.chapter_sample(views.chapters(s, d)).withColumn("file_type", F.lit("epub"))
+    b = language.page_sample(views.paged(s, d)).select(F.col("book_id").cast("string").alias("book_id"), "sample", F.lit("pdf").alias("file_type"))
+    return a.unionByName(b)
+
+
+def detect_requests(s: SparkSession, d: str) -> DataFrame:
+    samples = language.page_sample(views.paged(s, d)).withColumnRenamed("book_id", "job_id")
+    asked = views.manifest(s, d).select("job_id", F.when(F.col("job_id") % 3 == 0, "").otherwise(F.col("provider")).alias("provider"), F.when(F.col("job_id") % 4 == 0, F.col("model")).otherwise("").alias("model"))
+    rows = language.detection_requests(samples, asked, catalog.providers(s), catalog.DETECTION)
+    return rows.select("job_id", "provider", "model", F.md5("prompt").alias("prompt_md5"))
+
+
+def lang_answer_clean(s: SparkSession, d: str) -> DataFrame:
+    """Answers made from the documents' languages: quoted, with a second line, with a stop, missing."""
+    doc, name = F.col("doc_id"), F.col("source_lang")
+    rows = views.manifest(s, d).select(F.col("job_id").alias("doc_id"), "source_lang")
+    answer = F.when(doc % 4 == 0, F.concat(F.lit(" '"), name, F.lit("'.\n"))).when(doc % 4 == 1, F.concat(name, F.lit("\nas it seems"))).when(doc % 4 == 2, F.concat(F.lit('"'), name, F.lit('."')))
+    return rows.select("doc_id", T.clean_answer(answer).alias("language"))
+
+
+def lang_detect(s: SparkSession, d: str) -> DataFrame:
+    return views.read(s, d, "documents").select("doc_id", language.score(F.col("text")).alias("language"))
+
+
+def _chapter_units(s: SparkSession, d: str) -> DataFrame:
+    """Chapters with a block for each text node that holds a letter; every fifth chapter is skipped."""
+    rows = views.chapters(s, d).select("book_id", "doc_idx", F.filter(H.pieces(F.col("html"), H.SKIP), lambda x: T.translatable(x)).alias("p"))
+    rows = rows.withColumn("p", F.when(F.col("doc_idx") % 5 == 4, F.array().cast("array<string>")).otherwise(F.col("p")))
+    return rows.select("book_id", "doc_idx", F.posexplode_outer("p").alias("block_no", "t")).select("book_id", "doc_idx", "block_no")
+
+
+def progress_chapters(s: SparkSession, d: str) -> DataFrame:
+    return jobs.chapter_progress(_chapter_units(s, d)).select("book_id", F.col("doc_idx").cast("long").alias("doc_idx"), F.col("block_no").cast("long").alias("block_no"), F.round("progress", 9).alias("progress"))
+
+
+def progress_pages(s: SparkSession, d: str) -> DataFrame:
+    rows = jobs.page_progress(layout.groups(views.layout_blocks(s, d)), views.paged(s, d))
+    return rows.select("book_id", F.col("page_no").cast("long").alias("page_no"), F.col("gid").cast("long").alias("gid"), *[F.round(c, 9).alias(c) for c in ("started", "grouped", "progress")])
+
+
+def job_status(s: SparkSession, d: str) -> DataFrame:
+    return jobs.status(views.job_events(s, d))
+
+
+def job_lookup(s: SparkSession, d: str) -> DataFrame:
+    asked = views.manifest(s, d).select("job_id")
+    return jobs.lookup(asked, jobs.status(views.job_events(s, d))).select("job_id", F.col("code").cast("long").alias("code"))
+
+
+def job_status_stream(s: SparkSession, d: str) -> DataFrame:
+    return live.live_status(s, d)
+
+
+def job_state_ttl(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of jobs, closed after six silent hours; here over the whole table at once."""
+    rows = live.silent_jobs(views.job_events(s, d))
+    return rows.select("job_id", *[F.unix_micros(c).alias(c) for c in ("first_ts", "last_ts")], "events")
+
+
+def ingest_stream(s: SparkSession, d: str) -> DataFrame:
+    """Documents as they arrive, validated as jobs once each."""
+    out = live.shared(s, "jobs")
+    held = s.read.parquet(f"{d}/documents.parquet").schema
+
+    def work(batch: DataFrame, number: int) -> None:
+        batch.select("doc_id", T.translatable(F.col("text")).alias("translatable"), T.token_estimate(F.col("text")).alias("tokens")).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    live.ingest(s, f"{d}/documents.parquet*", held, work)
+    return s.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+def html_block_rows(s: SparkSession, d: str) -> DataFrame:
+    return html_blocks.blocks(views.read(s, d, "pages")).select("page_id", "block_no", "tag", "pre", "post", "inner_html")
+
+
+def html_leaf_blocks(s: SparkSession, d: str) -> DataFrame:
+    return html_blocks.leaves(html_blocks.blocks(views.read(s, d, "pages"))).select("page_id", "block_no", "tag", "inner_html")
+
+
+def reassemble_html(s: SparkSession, d: str) -> DataFrame:
+    pages = views.read(s, d, "pages")
+    leaf = html_blocks.leaves(html_blocks.blocks(pages)).select("page_id", "block_no", "begin", "end", "inner_html")
+    done = translate.run_units(leaf, lambda text, context: translate.echo(text, html_blocks.plain(context)), "page_id", "block_no", "inner_html")
+    return html_blocks.splice(pages, leaf.join(done, ["page_id", "block_no"]).select("page_id", "begin", "end", "translated"))
+
+
+def read_epub_chapters(s: SparkSession, d: str) -> DataFrame:
+    """Each page packed as an archive, and read from it again."""
+    import pandas as pd
+
+    def pack(batches):
+        for b in batches:
+            content = [epub.archive([f"page_{i}.xhtml"], [h]) for i, h in zip(b["page_id"], b["html"])]
+            yield pd.DataFrame({"path": [f"book-{i}.epub" for i in b["page_id"]], "length": [len(c) for c in content], "content": content})
+
+    files = views.read(s, d, "pages").select("page_id", "html").mapInPandas(pack, "path string, length long, content binary")
+    return epub.chapters(files).select("path", F.col("doc_idx").cast("long").alias("doc_idx"), "name", F.md5("html").alias("html_md5"))
+
+
+_ALL = (
+    src_chapters, src_pages, html_text, chapter_names, chapter_gate, word_char_counts, token_estimate, token_estimate_scaled, filter_translatable, filter_sendable, file_allowlist, output_naming, model_catalog,
+    job_validation, analyze_books, analyze_paged, analyze_all, analysis_json, cost_by_model, chunk_paragraphs, chunk_context, reassemble_text, layout_block_text, layout_groups, layout_style, prompt_requests,
+    response_clean, translate_units, translate_attempts, failure_fallback, lang_sample, detect_requests, lang_answer_clean, lang_detect, progress_chapters, progress_pages, job_status, job_lookup, job_status_stream,
+    job_state_ttl, ingest_stream, html_leaf_blocks, reassemble_html, read_epub_chapters,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL} | {"html_blocks": html_block_rows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
