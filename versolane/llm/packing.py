@@ -60,10 +60,10 @@ def hilbert(x: np.ndarray) -> np.ndarray:
     return key
 
 
-def tokenized(df: DataFrame, key: str, text: str, path: str, end: int) -> DataFrame:
+def tokenized(df: DataFrame, key: str, text: str, path: str, end: int, placed: bool = True) -> DataFrame:
     """(rid, key, place, n, before, part, ids) of each row, written to the shared folder: texts are tokenized once.
 
-    rid is a row's own number; part and before say which task wrote it and how many ids that task had written before. ids end with `end`.
+    rid is a row's own number; part and before say which task wrote it and how many ids that task had written before. ids end with `end`. Without `placed`, place is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, end: int) -> DataFr
             n = np.diff(off) + 1
             before = total + np.cumsum(n) - n
             rid = (np.int64(part) << np.int64(36)) + rows + np.arange(m)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), batch["key"], pa.array(hilbert(points(h, edge))), pa.array(n), pa.array(before), pa.array(np.full(m, part, np.int64)), pa.array(data, pa.binary())], ["rid", "key", "place", "n", "before", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), batch["key"], pa.array(hilbert(points(h, edge)) if placed else np.zeros(m, np.int64)), pa.array(n), pa.array(before), pa.array(np.full(m, part, np.int64)), pa.array(data, pa.binary())], ["rid", "key", "place", "n", "before", "part", "ids"])
             rows, total = rows + m, total + int(n.sum())
 
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

@@ -116,7 +116,7 @@ def materialise(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", te
     Only key and text are read, whatever other columns are called. An empty table writes nothing and gives an empty result.
     """
     kind = df.schema[key].dataType.simpleString()
-    toks = tokenized(df, key, text, tokenizer, end)
+    toks = tokenized(df, key, text, tokenizer, end, placed=False)
     parts = toks.groupBy("part").agg(F.sum("n").alias("sum"))
     starts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     total = parts.agg(F.sum("sum")).first()[0] or 0
