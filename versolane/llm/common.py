@@ -6,7 +6,9 @@ so that rows hashed by different executors meet.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +46,14 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more; else they stay until the driver's JVM happens to collect."""
+    for _ in range(2):  # the first round frees what holds the plans, the second the shuffles they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `budget` bytes of text, so that what numpy builds for a batch stays small.
 
@@ -145,7 +155,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round every node takes the smallest label among its neighbours and itself, then the label of that label;
     long chains shrink by half or more a round. A round's labels are written, so a lost executor costs one round at most.
     """
-    both = saved(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).where("x <> y").distinct(), "links")
+    ends = F.inline(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y"))))  # links are made once
+    both = saved(links.select(ends).where("x <> y").distinct(), "links")
     labels = saved(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node"), "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("root").alias("near"))

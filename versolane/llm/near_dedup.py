@@ -2,8 +2,9 @@
 
 1. Each document's set of word shingles gives `PERMS` minima. The low `BITS` bits of each are kept, packed as bit planes.
    Full minima are hashed by bands for candidate generation and dropped.
-2. Documents with equal sets become one node. A node meets the leader of each of its band buckets; the best of these pairs,
-   by the collision-corrected estimate from bit counts, are confirmed on full sets. Their links join most of a group.
+2. Documents with equal sets become one node. A node meets the leader of each of its band buckets, the node that shares most
+   bands with others; the best of these pairs, by the collision-corrected estimate from bit counts, are confirmed on full sets.
+   Their links join most of a group: copies link to what they were copied from, though not always to each other.
 3. Then every pair of nodes that share a bucket but no component is estimated, and confirmed if the estimate comes near
    the threshold. Pairs inside a component can change nothing and are never made, so a large group stays linear.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, mix, offsets, saved, slices, windows, words
 
-PERMS, BITS, BANDS, ROWS = 256, 4, 48, 5
+PERMS, BITS, BANDS, ROWS = 1024, 4, 48, 5
 _A, _B = (mix(np.arange(1, PERMS + 1, dtype=np.uint64) * np.uint64(k)).astype(np.uint32) | np.uint32(1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
@@ -29,19 +30,20 @@ def sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return windows(*words(*offsets(texts)), size)
 
 
-def minima(h: np.ndarray, starts: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    """PERMS minima for each text, a bounded number of shingles at a time."""
+def minima(h: np.ndarray, starts: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """PERMS minima for each text, `chunk` shingles at a time: what is worked on stays in the processor's cache."""
     out = np.full((len(starts) - 1, PERMS), 0xFFFFFFFF, np.uint32)
     short = (h >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(h), chunk):
-        x = short[at : at + chunk, None] * _A
-        x ^= x >> np.uint32(15)
-        x *= _B
-        lo, hi = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, min(at + chunk, len(h)), side="left")
-        docs = np.arange(lo, hi)
-        docs = docs[starts[docs + 1] > np.maximum(starts[docs], at)]
-        low = np.minimum.reduceat(x, np.maximum(starts[docs], at) - at, axis=0)
-        out[docs] = np.minimum(out[docs], low)
+    room = np.empty((2, chunk, PERMS), np.uint32)
+    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        for at in range(a, b, chunk):
+            v = short[at : min(at + chunk, b), None]
+            x, y = room[0, : len(v)], room[1, : len(v)]
+            np.multiply(v, _A, out=x)
+            np.right_shift(x, np.uint32(15), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, _B, out=x)
+            np.minimum(out[i], x.min(axis=0), out=out[i])
     return out
 
 
@@ -129,8 +131,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     own = some.join(nodes, (some.same == nodes.same) & (some.key == nodes.node), "left_semi").dropDuplicates(["key", "same"])
 
     entries = own.select("key", F.explode("bands").alias("band"))
-    leads = entries.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band"), "key"))["key"].alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = saved(entries.join(leads, "band"), "met")
+    shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = saved(entries.join(shared, "band"), "met")
+    # the text that others were copied from shares most of its bands with most of them: the busiest node leads its buckets
+    busy = met.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("busy"))
+    ranked = met.join(busy, F.col("key") == F.col("k")).select("band", "key", "busy")
+    leads = ranked.groupBy("band").agg(F.max(F.struct("busy", "key"))["key"].alias("lead"))
     texts = saved(docs.join(met.select("key").distinct(), "key", "left_semi").select("key", "text"), "texts")
 
     sized = own.select("key", F.col("n").alias("size"), "sig")
@@ -142,7 +148,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         ta, tb = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(_confirm(size, percent), f"a {kind}, b {kind}").distinct()
 
-    star = met.where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"), "key").distinct()
+    star = met.join(leads, "band").where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"), "key").distinct()
     star = star.join(a, "a").join(b, "b").where(near).withColumn("lanes", lanes("sa", "sb"))
     star = star.withColumn("best", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lanes"), "a", "b"))).where("best <= 2").select("a", "b").distinct()
     tried = saved(star, "star")
