@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, _powers, mix, offsets, saved, slices
+from .common import BYTES, _powers, let_go, mix, offsets, saved, slices
 
 SPAN, GRAM = 50, 24
 REACH = SPAN - GRAM  # bytes on either side of the anchor's GRAM that a window can have
@@ -391,6 +391,17 @@ def _kept(texts: bool):
     return run
 
 
+def _removals(blocks: DataFrame, radixes: int, parts: int, hot: int) -> DataFrame:
+    """(bid, a, b): first and last windows to remove of each block, written to the shared folder."""
+    prints = blocks.select("bid", "keys", "off", "data").mapInArrow(_send_prints(radixes), "radix long, bid long, low binary, count binary")
+    judged = prints.repartition(radixes, "radix").sortWithinPartitions("radix").mapInArrow(_judge_prints(hot), "bid long, radix long, verdict binary")
+    verdicts = judged.groupBy("bid").agg(F.collect_list(F.struct("radix", "verdict")).alias("verdicts")).withColumnRenamed("bid", "b")
+    # a block's verdicts and removals are bounded by the block
+    told = blocks.join(verdicts, F.col("bid") == F.col("b")).select("bid", "keys", "off", "data", "verdicts")
+    runs = told.mapInArrow(_runs(radixes, parts), "part long, bid long, lcp binary, tails binary, keys binary, firsts binary")
+    return saved(runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "bid long, a binary, b binary"), "removals")
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """One row per row of df: key, n_bytes, n_removed, n_spans, kept_sha256 (or, with texts, the kept bytes themselves as kept).
 
@@ -403,15 +414,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", texts
     blocks = saved(docs.mapInArrow(_blocks(block), "bid long, size long, keys binary, off binary, data binary"), "blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    radixes = max(width, total >> 24)  # about a million hashes each
-    parts = max(width, total >> 23)  # about 200,000 suffixes each, a third of all anchors being repeated
-    prints = blocks.select("bid", "keys", "off", "data").mapInArrow(_send_prints(radixes), "radix long, bid long, low binary, count binary")
-    judged = prints.repartition(radixes, "radix").sortWithinPartitions("radix").mapInArrow(_judge_prints(hot), "bid long, radix long, verdict binary")
-    verdicts = judged.groupBy("bid").agg(F.collect_list(F.struct("radix", "verdict")).alias("verdicts")).withColumnRenamed("bid", "b")
-    # a block's verdicts and removals are bounded by the block
-    told = blocks.join(verdicts, F.col("bid") == F.col("b")).select("bid", "keys", "off", "data", "verdicts")
-    runs = told.mapInArrow(_runs(radixes, parts), "part long, bid long, lcp binary, tails binary, keys binary, firsts binary")
-    gone = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "bid long, a binary, b binary")
+    gone = _removals(blocks, max(width, total >> 24), max(width, total >> 23), hot)  # about a million hashes a radix, 200,000 suffixes a part
+    let_go(df.sparkSession)
     gone = gone.groupBy("bid").agg(F.collect_list(F.struct("a", "b")).alias("gone")).withColumnRenamed("bid", "g")
     last = blocks.join(gone, F.col("bid") == F.col("g"), "left").select("bid", "keys", "off", "data", "gone")
     out = last.mapInArrow(_kept(texts), f"key long, n_bytes long, n_removed long, n_spans long, {'kept binary' if texts else 'kept_sha256 string'}")
