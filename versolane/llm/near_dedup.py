@@ -159,8 +159,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     placed = saved(placed.join(open_, "band").join(sized, "key"), "placed")
     x = placed.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("sig").alias("sa"))
     y = placed.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("sig").alias("sb"))
-    cross = x.join(y, (x.band == y.band) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b", "ra", "rb").distinct()
-    cross = cross.join(tried, ["a", "b"], "left_anti")
+    cross = x.join(y, (x.band == y.band) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    # written first: else the optimizer moves the anti-join before the distinct, to a row for each band that a pair shares
+    cross = saved(cross, "cross").join(tried, ["a", "b"], "left_anti")
     links = confirmed(cross)
     roots = first.select(F.col("node"), F.col("root"))
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
