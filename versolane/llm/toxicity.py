@@ -49,8 +49,8 @@ def features(texts: pa.Array, bits: int, prefixes: tuple[int, ...] = (4, 5, 6))
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), np.searchsorted(both >> np.uint64(bits), np.arange(len(off)))
 
 
-def fit(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, bits: int = 18, epochs: int = 12, batch: int = 128, rate: float = 0.5, l1: float = 4e-4, seed: int = 7) -> Model:
-    """AdaGrad on the negative log-likelihood with an L1 step, so that words that tell nothing weigh nothing."""
+def fit(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, bits: int = 18, epochs: int = 12, batch: int = 128, steps: int = 700, rate: float = 0.5, l1: float = 4e-4, seed: int = 7) -> Model:
+    """AdaGrad on the negative log-likelihood with an L1 step, so that words that tell nothing weigh nothing. `steps` at least, also over few rows."""
     k = max(2, int(grade.max(initial=0)) + 1)
     w, seen_w = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
     above = np.array([max(1e-3, min(1 - 1e-3, float((grade >= g).mean()) if len(grade) else 0.5)) for g in range(1, k)])
@@ -59,7 +59,9 @@ def fit(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, bits: int = 18, epo
     first, seen_t = base[0], np.full(k - 1, 1e-6)
     draw = np.random.default_rng(seed)
     edges = lambda: np.r_[-np.inf, np.cumsum(np.r_[first, np.exp(gaps)]), np.inf]
-    for _ in range(epochs):
+    rounds = max(epochs, -(-steps * batch // max(1, len(grade))))
+    mean_w, mean_t, averaged = np.zeros(1 << bits), np.zeros(k - 1), 0
+    for e in range(rounds):
         for rows in np.array_split(order := draw.permutation(len(grade)), max(1, len(order) // batch)) if len(grade) else []:
             n = off[rows + 1] - off[rows]
             take = np.repeat(off[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -83,7 +85,9 @@ def fit(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, bits: int = 18, epo
             seen_t += gt**2
             move = rate * gt / np.sqrt(seen_t)
             first, gaps = first - move[0], gaps - move[1:]
-    return Model(w.astype(np.float32), edges()[1:-1])
+        if 2 * e >= rounds:  # the mean over the later half is steadier than the last step
+            mean_w, mean_t, averaged = mean_w + w, mean_t + edges()[1:-1], averaged + 1
+    return Model((mean_w / averaged).astype(np.float32), mean_t / averaged)
 
 
 def grades(idx: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -109,7 +113,7 @@ def _features(bits: int):
     return run
 
 
-def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", graded: bool = False, fit_rows: int = 20_000, bits: int = 18) -> Model:
+def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", graded: bool = False, fit_rows: int = 8_000, bits: int = 18) -> Model:
     """A model from at most about `fit_rows` labelled rows, taken by a hash of the key. graded: the label is a grade from 0; else it is 0 or 1, see grades().
 
     Null labels, keys and texts are left out. Without any labelled row the model gives every text the same low score.
