@@ -170,6 +170,16 @@ def test_quality_rules(spark):
     assert not got[105]["base_failed"] and not got[105]["kept"] and got[105]["n_lost_words"] == 70
 
 
+def test_copies_of_a_text_keep_their_lines(spark):
+    body = "\n".join(" ".join(f"b{i}x{j}" for j in range(20)) for i in range(5))
+    rows = [(i, body, "en", "a") for i in range(40)] + [(100 + i, f"menu of the site\nown line {i} " + " ".join(f"o{i}x{j}" for j in range(60)), "en", "a") for i in range(40)]
+    cut = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert all((cut[i]["text"], cut[i]["n_dropped"]) == (body, 0) for i in range(40))
+    assert all(cut[100 + i]["n_dropped"] == 1 and cut[100 + i]["text"].startswith("own line") for i in range(40))
+    good = {r["doc_id"]: r for r in quality.quality(frame(spark, rows)).collect()}
+    assert all(good[i]["kept"] and good[i]["n_lost_words"] == 0 for i in range(40)) and all(good[100 + i]["n_lost_words"] == 4 for i in range(40))
+
+
 def test_leaks(spark):
     draw = random.Random(5)
     word = lambda: f"q{draw.randrange(3000)}"

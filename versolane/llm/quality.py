@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Per text: counts of words, symbols, repeated lines and repeated three-word windows. Across texts: how many documents
-of a host hold each normalised line. Lines above the limits are boilerplate; a document that loses too much with them is rejected.
+Per text: counts of words, symbols, repeated lines and repeated three-word windows. Across texts: how many distinct
+texts of a host hold each normalised line. Lines above the limits are boilerplate; a document that loses too much with them is rejected.
 """
 
 from __future__ import annotations
@@ -57,19 +57,21 @@ def normal(line: Column) -> Column:
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, line_docs: int = 10, line_percent: int = 5, depleted_percent: int = 50) -> DataFrame:
     """One row per row of df: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words.
 
-    A line is frequent on a host if at least `line_docs` of the host's documents and over `line_percent` per cent of them hold it.
+    A line is frequent on a host if at least `line_docs` of the host's distinct texts and over `line_percent` per cent of them hold it.
+    Copies of one text are one text, so they don't make each other's lines frequent.
     A document is depleted, and rejected, if over `depleted_percent` per cent of its words stand in frequent lines.
-    Repeated windows are found by 64-bit hashes within a text. Null hosts are one host of their own. Null and empty texts have no words and fail the base rule. A repeated key
-    counts as one document; each of its rows is returned, with the words that all of them lose. Null keys are one such key.
+    Repeated windows are found by 64-bit hashes within a text. Null hosts are one host of their own. Null and empty texts have no words and fail the base rule. Each row
+    of a repeated key is returned, with the words that all of them lose. Null keys are one such key.
     Only key, text and host are read, whatever other columns are called. An empty table gives an empty result.
     """
     rows = base(df, key, text, host)
-    held = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    held = held.select("key", "host", word_array(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("w")).where(F.size("w") > 0)
-    held = held.select("key", "host", F.xxhash64(F.array_join("w", " ")).alias("line"), F.size("w").cast("long").alias("words"))
-    held = saved(held.groupBy("key", "host", "line").agg(F.sum("words").alias("words")), "lines")  # read twice, made once
-    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    often = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
+    page = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    held = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), page.alias("page"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
+    held = held.select("key", "host", "page", word_array(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("w")).where(F.size("w") > 0)
+    held = held.select("key", "host", "page", F.xxhash64(F.array_join("w", " ")).alias("line"), F.size("w").cast("long").alias("words"))
+    held = saved(held.groupBy("key", "host", "page", "line").agg(F.sum("words").alias("words")), "lines")  # read twice, made once
+    docs = df.select(F.coalesce(F.col(host), F.lit("")).alias("host"), page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    often = held.select("host", "page", "line").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
     often = often.join(docs, "host").where(F.col("n") * 100 > F.col("docs") * line_percent).select("host", "line")
     lost = held.join(often, ["host", "line"]).groupBy(F.col("key").alias("k")).agg(F.sum("words").alias("lost"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
