@@ -1,6 +1,7 @@
 """Each operator on odd rows (nulls, empty and long texts, ties, repeats, clashing columns, no rows) and against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -203,6 +204,47 @@ def test_leaks(spark):
     assert {(r["doc_id"], tuple(r["items"])) for r in blocks.collect()} == {(i, tuple(r["items"])) for i, r in got.items()}
 
 
+def test_masks_fit_any_substitutions():
+    for size in range(1, 13):
+        own = decontaminate.masks(size, 80, size == 12)
+        for gone in itertools.combinations(range(size), size // 5):
+            assert any(all(m == "0" or at + i not in gone for i, m in enumerate(mask)) for mask in own for at in range(size - len(mask) + 1)), (size, gone)
+
+
+@pytest.mark.parametrize(("window", "percent"), [(12, 80), (20, 75), (7, 60)])
+def test_overlaps_as_brute_force(window, percent):
+    draw = random.Random(window)
+    word = lambda: f"q{draw.randrange(40)}"
+    items = [[word() for _ in range(draw.choice([1, 3, *range(5, 18), 30]))] for _ in range(60)] + [[]]
+    texts = [[], [word()]]
+    for _ in range(300):
+        own = list(draw.choice(items))
+        cut = draw.randrange(3)
+        own = own[draw.randrange(len(own) // 2 + 1) :] if cut == 1 and own else own[: len(own) - 1] if cut == 2 else own
+        for p in draw.sample(range(len(own)), min(len(own), draw.choice([0, 1, 2, 2, 3, 4, 5]))):
+            own[p] = "changed"
+        texts.append([word() for _ in range(draw.randrange(9))] + own + [word() for _ in range(draw.randrange(9))])
+    want = {}
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            size = min(window, len(item))
+            for start in range(-len(item), len(text)):
+                same = [text[start + p] == item[p] for p in range(len(item)) if 0 <= start + p < len(text)]
+                if size and any(100 * sum(same[a : a + size]) >= percent * size for a in range(len(same) - size + 1)):
+                    want[t, i] = max(want.get((t, i), (0, 0)), (sum(same), len(same)))
+    flat = lambda rows: pa.array([" ".join(r) for r in rows])
+    block = decontaminate.Block(flat(items).to_pylist(), window, percent)
+    got = {(t, i): tuple(v) for t, i, *v in decontaminate.overlaps(*common.words(*common.offsets(flat(texts))), block, window, percent)}
+    assert got == want
+
+
+def test_changed_short_items_are_found(spark):
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (5, 9, 10, 11, 12, 15)]
+    rows = [(100 * n + 10 * a + b, " ".join("changed" if j in (a, b if n > 9 else a) else w for j, w in enumerate(t.split())), "en", "a") for n, t in items for a in range(n) for b in range(a + 1, n)]
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["contaminated"] for r in got)
+
+
 def test_exact_benchmark_passages_are_found(spark):
     docs, bench = documents(spark), common.read(spark, DATA, "benchmark")
     inside = docs.join(bench.select(F.col("text").alias("b")), F.expr("instr(text, b) > 0")).select("doc_id").distinct()

@@ -7,7 +7,10 @@ Around each hit the text and the item are laid side by side and compared word by
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +19,35 @@ from pyspark.sql import functions as F
 
 from .common import mix, offsets, slices, words
 
-#: Of span 10 and weight 6 or 7, with different gaps, so that substitutions that spoil one spare another.
-MASKS = ("1101101011", "1110010111", "1011011001", "1001110101")
 TABLE = 22
 
 
+def masks(size: int, percent: int, sliding: bool) -> set[str]:
+    """Masks of which one at least fits in between any substitutions that leave `percent` per cent of `size` words in a row equal.
+
+    So many words stand in one block more than may be substituted, or more blocks: some are always left whole, and a mask has 1s
+    under those it counts on. With `sliding`, masks are laid at each word of an item, so blocks of one width need only their distance:
+    two of them, in k + 2 blocks, are the k + 1 masks of a long item. A short item has few places, and heavier masks: all but k of five blocks.
+    """
+    k = size * (100 - percent) // 100
+    if sliding and size >= k + 2:
+        width = size // (k + 2)
+        return {"1" * width + "0" * (width * (d - 1)) + "1" * width for d in range(1, k + 2)}
+    blocks = max(min(size, 5), k + 1)
+    edges = [size * i // blocks for i in range(blocks + 1)]
+    out = set()
+    for whole in combinations(range(blocks), blocks - k):
+        out.add("".join(("1" if i in whole else "0") * (edges[i + 1] - edges[i]) for i in range(blocks)).strip("0"))
+    return out
+
+
 def seeds(h: np.ndarray, off: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Places where the mask fits into one text, and the hashes of the words under its 1s."""
     span, n = len(mask), len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     end = np.repeat(off[1:], np.diff(off))
-    out = np.full(n, sum(1 << i for i, m in enumerate(mask) if m == "1") * 64 + span, np.uint64)
+    out = np.full(n, zlib.crc32(mask.encode()), np.uint64)
     for i, m in enumerate(mask):
         if m == "1":
             out = (out ^ h[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
@@ -37,18 +57,23 @@ def seeds(h: np.ndarray, off: np.ndarray, mask: str) -> tuple[np.ndarray, np.nda
 
 
 class Block:
-    """Test items of one block: their words, and for each mask the sorted seed hashes with their places."""
+    """Test items of one block: their words, and for each mask the sorted seed hashes with their places.
+
+    The masks follow from the number of words that have to agree: `window`, or all of a shorter item. Those of a length are laid only on items of that length.
+    """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], window: int = 12, percent: int = 80):
         self.h, self.off = words(*offsets(pa.array(texts, pa.string())))
-        counts = np.diff(self.off)
-        short = [n for n in np.unique(counts) if 0 < n < len(MASKS[0])]  # an item that no mask fits counts as a whole
+        counts = np.minimum(np.diff(self.off), window)
+        sizes = defaultdict(set)
+        for n in np.unique(counts[counts > 0]).tolist():
+            for mask in masks(n, percent, n == window):
+                sizes[mask].add(n)
         self.seeds = {}
-        for mask in [*MASKS, *("1" * int(n) for n in short)]:
+        for mask, own in sizes.items():
             at, s = seeds(self.h, self.off, mask)
-            if mask not in MASKS:
-                own = counts[np.searchsorted(self.off, at, side="right") - 1] == len(mask)
-                at, s = at[own], s[own]
+            fit = np.isin(counts[np.searchsorted(self.off, at, side="right") - 1], list(own))
+            at, s = at[fit], s[fit]
             order = np.argsort(s, kind="stable")
             maybe = np.zeros(1 << TABLE, bool)
             maybe[s >> np.uint64(64 - TABLE)] = True
@@ -59,7 +84,8 @@ def overlaps(h: np.ndarray, off: np.ndarray, block: Block, window: int, percent:
     """(text, item, equal words, words compared) for each pair with an overlap.
 
     A pair overlaps if on some diagonal `window` words in a row, or the whole item if it is shorter,
-    agree in `percent` per cent of places at least. Equal words are counted on the best diagonal.
+    agree in `percent` per cent of places at least (percent above 0). All such pairs are found: each has a hit of some mask.
+    Equal words are counted on the best diagonal. `block` is made with the same window and percent.
     """
     found = []
     for mask, (known, places, maybe) in block.seeds.items():
@@ -115,7 +141,7 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     out = spark.createDataFrame([], schema)
     for k in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == k).select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).collect()  # about block_items rows
-        held = Block([r["t"] for r in rows])
+        held = Block([r["t"] for r in rows], window, percent)
         if len(held.h):
             out = out.union(docs.mapInArrow(_find([r["i"] for r in rows], held, window, percent, kind), schema))
     return out
