@@ -1,6 +1,6 @@
 """The training-data pipeline over `documents`: each stage is one operator of versolane.llm, applied to what the stage before kept.
 
-STAGES' functions take (spark, docs, sf_dir). All but the last return the columns of `documents`; the last returns packed pieces.
+STAGES' functions take (spark, docs, sf_dir). All but the last return the columns of `documents`; the last returns packed pieces with their ids.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the kept documents as pieces of full sequences, neighbours on the curve side by side."""
+    """Operator 6: the kept documents as pieces of full sequences with their ids, by sequence; neighbours on the curve side by side."""
     return packing.pack(docs, tokenizer())
 
 

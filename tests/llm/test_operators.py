@@ -328,6 +328,25 @@ def test_packing(spark):
     assert all(r["doc_tokens"] == len(ids_of(spark, t)) for r in got[:50] for t in [dict((x[0], x[1]) for x in rows)[r["doc_id"]]])
 
 
+def test_packed_sequences_hold_their_ids(spark):
+    rows = [(r["doc_id"], r["text"], "en", "a") for r in documents(spark).select("doc_id", "text").limit(80).collect()] + [(9001, None, None, None), (9002, "", None, None)]
+    df = frame(spark, rows).repartition(3)
+    want = {i: ids_of(spark, t) for i, t, *_ in rows}
+    got = packing.sequences(df, queries.tokenizer(), length=64).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got))) and len(got) > packing.RANGE // 100
+    seen = dict.fromkeys(want, 0)
+    for r in got:
+        ids, at = np.frombuffer(r["ids"], "<u4").tolist(), 0
+        assert len(ids) == 64 or r["sequence_id"] == len(got) - 1
+        for p in r["pieces"]:
+            assert p["offset"] == at and ids[at : at + p["length"]] == want[p["key"]][p["start"] : p["start"] + p["length"]]
+            at, seen[p["key"]] = at + p["length"], seen[p["key"]] + p["length"]
+        assert at == len(ids)
+    assert seen == {i: len(x) for i, x in want.items()}
+    for r in packing.pack(df, queries.tokenizer(), length=64).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]][r["start"] : r["start"] + r["length"]] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+
+
 def test_hilbert_neighbours_are_neighbours():
     bits = packing.CELLS
     grid = np.array([(a, b, c, d) for a in range(4) for b in range(4) for c in range(4) for d in range(4)], np.int64)
