@@ -13,6 +13,10 @@ from versolane.llm.common import read, saved
 from versolane.llm.queries import tokenizer
 
 
+#: A benchmark item of fewer words is no evidence of a leak: its words stand in clean documents too.
+EVIDENCE = 5
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents whose probability of any toxicity grade is a half or more go."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -32,9 +36,9 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that overlap a benchmark item go."""
+    """Operator 7: documents that overlap a benchmark item go; EVIDENCE words of it have to be compared, so items below that drop nothing."""
     found = decontaminate.matches(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(found.select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.where(F.col("span") >= EVIDENCE).select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,9 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_short_items_drop_no_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "yes"), (2, "one two three four five")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "they said yes to it"), (2, "so one two three four five it is")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.leaks_out(spark, docs, str(tmp_path)).collect()] == [1]
