@@ -157,7 +157,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = F.inline(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y"))))  # links are made once
     both = saved(links.select(ends).where("x <> y").distinct(), "links")
-    labels = saved(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node"), "labels")
+    labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node")
+    if both.isEmpty():
+        return labels
+    labels = saved(labels, "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.node == near.x).select("node", "root", F.least("root", "near").alias("low"))
