@@ -7,6 +7,7 @@ splits at white space and drops it; so texts are cut into units, and units that
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ import zstandard
 
 from .common import BYTES, _powers, mix, offsets
 
-#: Units that a worker keeps; beyond that it starts anew. About 150 bytes each.
-KEPT = 1_000_000
+#: Units and ids that a worker keeps: about 20 bytes for a unit and two or four for an id, some 15 MB in all. Beyond either it starts anew.
+KEPT, KEPT_IDS = 1 << 19, 1 << 21
+#: Units that the tokenizer is given at once: what it returns for one takes some hundred bytes.
+GIVEN = 2048
 
 
 def units(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,24 +70,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.used = np.zeros(1 << 14, self.kind), 0
-
-    def add(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.slots)
-            if k == len(self.at):
-                self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k], self.slots[h] = self.used, len(ids), k
-            self.used += len(ids)
+        self.known = np.zeros(0, np.uint64)  # hashes of units, ascending
+        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)  # where each one's ids start, and how many they are
+        self.ids = np.zeros(0, self.kind)
+
+    def add(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Learns units that aren't known yet; hashes ascend."""
+        # a run of ASCII letters is lower-cased and nothing else before the model has it
+        plain = [x.isascii() and x.isalpha() for x in texts]
+        ids = [[y.id for y in self.model.tokenize(x.lower())] if p else None for x, p in zip(texts, plain)]
+        rest = [i for i, p in enumerate(plain) if not p]
+        for k in range(0, len(rest), GIVEN):
+            for i, e in zip(rest[k : k + GIVEN], self.tokenizer.encode_batch_fast([texts[i] for i in rest[k : k + GIVEN]], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
+        own = np.fromiter(map(len, ids), np.int32, len(ids))
+        at = len(self.ids) + np.cumsum(own, dtype=np.int32) - own
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.known, hashes), (self.at, at), (self.size, own)))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.kind)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all texts, where each text's start, and the hashes of units with each text's count behind them."""
@@ -92,16 +100,18 @@ class Encoder:
         if len(flat) == 0:
             return np.zeros(0, self.kind), np.zeros(len(off), np.int64), (np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
         a, b, h = units(flat, off)
-        if len(self.slots) > KEPT:
+        if len(self.known) > KEPT or len(self.ids) > KEPT_IDS:
             self.clear()
         u, where, at = np.unique(h, return_index=True, return_inverse=True)
-        known = u.tolist()
-        new = [i for i, x in enumerate(known) if x not in self.slots]
-        if new:
+        place = np.searchsorted(self.known, u)
+        seen = place < len(self.known)
+        seen[seen] = self.known[place[seen]] == u[seen]
+        if not seen.all():
             data = flat.tobytes()
-            self.add([known[i] for i in new], [data[a[j] : b[j]].decode("utf-8", "replace") for j in where[new]])
-        slot = np.fromiter((self.slots[x] for x in known), np.int64, len(known))[at]
-        n = self.size[slot]
+            self.add(u[~seen], [data[a[j] : b[j]].decode("utf-8", "replace") for j in where[~seen].tolist()])
+            place = np.searchsorted(self.known, u)
+        slot = place[at]
+        n = self.size[slot].astype(np.int64)
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[slot] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         edge = np.searchsorted(a, off)
