@@ -163,16 +163,13 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
 
 def drop_toxic(df: DataFrame, model: Model, text: str = "text", reject: float = 0.5) -> DataFrame:
-    """The rows of df that are not toxic, with all their columns as they are; wordless and null texts stay."""
+    """The rows of df that are not toxic, with all their columns as they are; wordless and null texts stay. Only the text goes to Python."""
     rate = scorer(model)
-    at = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for part in slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
-                keep.append(rate(part["text"])[1] < reject)
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
-
-    return df.mapInArrow(run, df.schema)
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in texts:
+            keep = [rate(part["text"])[1] < reject for part in slices([pa.RecordBatch.from_arrays([own], ["text"])])]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *keep]))
+
+    return df.where(clean(F.col(text).cast("string")))
