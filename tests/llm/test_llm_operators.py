@@ -279,17 +279,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert kept.schema == docs.schema and 0 < docs.count() - kept.count() < 1500
 
 
-def test_language_on_held_out_documents(spark):
-    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_language_on_held_out_documents(spark, sf):
+    docs = common.read(spark, f"/root/testdata/{sf}", "documents")
     got = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
     own = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
-    assert sum(r["lang"] == r["lang_pred"] for r in own) > 0.98 * len(own) and all(0 <= r["score"] <= 1 for r in got)
-    odd = {r["doc_id"]: r for r in langid.identify(frame(spark, odd_rows()), langid.train(docs)).collect()}
-    assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 and odd[i]["rejected"] for i in (1, 2, 3, 9)) and odd[8]["lang_pred"] != "und"
+    assert sum(r["lang"] == r["lang_pred"] for r in own) >= 0.98 * len(own) and all(0 <= r["score"] <= 1 for r in got)
 
 
-ODD = ["", None, " \n", "don't <|endoftext|> X<|ENDOFTEXT|>y 12,3a²b — “quoted”… ≠ x́y É.È ßÜ× ÷a\x00b\x1cc d e f ΑΣ. ΑΣΑ", "a1b22 c's 'S it's", "日本語 テスト。abc,日本", "tab\tnew\nline\x85x", "İstanbul I.", "<<>>||", "é" * 3000, "É'é"]
+def test_language_of_odd_rows(spark):
+    odd = {r["doc_id"]: r for r in langid.identify(frame(spark, odd_rows()), langid.train(common.read(spark, "/root/testdata/sf0.01", "documents"))).collect()}
+    assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 and odd[i]["rejected"] for i in (1, 2, 3, 9)) and odd[8]["lang_pred"] != "und"
 
 
 def test_ids_are_the_tokenizers(spark):

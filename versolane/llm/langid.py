@@ -70,8 +70,8 @@ def subwords(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return idx[order], np.searchsorted(rows[order], np.arange(len(off)))
 
 
-def fit(idx: np.ndarray, weight: np.ndarray, off: np.ndarray, y: np.ndarray, langs: list[str], bits: int, dims: int = 12, epochs: int = 8, rate: float = 0.5, batch: int = 16, reject: float = 0.005, seed: int = 11) -> Model:
-    """idx, weight: distinct buckets of each text and their shares of its subwords. A fifth of the texts sets temperature and bar."""
+def fit(idx: np.ndarray, weight: np.ndarray, off: np.ndarray, y: np.ndarray, langs: list[str], bits: int, dims: int = 12, epochs: int = 8, steps: int = 1500, rate: float = 0.5, batch: int = 16, reject: float = 0.005, seed: int = 11) -> Model:
+    """idx, weight: distinct buckets of each text and their shares of its subwords. A fifth of the texts sets temperature and bar. `steps` at least, also over few texts."""
     draw = np.random.default_rng(seed)
     emb = (draw.random((1 << bits, dims)) - 0.5).astype(np.float32) / dims
     soft, bias = np.zeros((dims, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -87,11 +87,12 @@ def fit(idx: np.ndarray, weight: np.ndarray, off: np.ndarray, y: np.ndarray, lan
         x = emb[col] * w
         return np.stack([np.bincount(of, x[:, d], m) for d in range(dims)], 1).astype(np.float32)
 
-    steps = max(1, epochs * -(-len(own) // batch))
+    each = max(1, -(-len(own) // batch))
+    epochs = max(epochs, -(-steps // each))
     step = 0
     for _ in range(epochs if len(own) else 0):
-        for rows in np.array_split(draw.permutation(own), -(-len(own) // batch)):
-            lr = rate * (1 - step / steps)
+        for rows in np.array_split(draw.permutation(own), each):
+            lr = rate * (1 - step / (epochs * each))
             step += 1
             col, w, of = gather(rows)
             x = mean(col, w, of, len(rows))
