@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 EDGES = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 
 
@@ -26,7 +28,7 @@ def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", hos
     own = own.withColumn("__page", F.xxhash64("__text"))
     # a line may stand on a page twice: once is enough, and within a row that needs no shuffle
     marks = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: F.regexp_replace(x, EDGES, "") != ""), _line))
-    held = own.select("__key", "__host", "__page", F.explode(marks).alias("__line")).distinct()
+    held = saved(own.select("__key", "__host", "__page", F.explode(marks).alias("__line")), "lines")  # read twice, made once
     pages = own.select("__host", "__page").distinct().groupBy("__host").agg(F.count("*").alias("__pages"))
     often = held.select("__host", "__page", "__line").distinct().groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     often = often.join(pages, "__host").where(F.col("__n") * 100 > F.col("__pages") * percent).select("__host", "__line")
