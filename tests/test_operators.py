@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from versolane.functions import html as html_functions
+from versolane.functions import text as text_functions
 from versolane.operators import analyze, html_blocks, jobs, language, layout, segment, translate
 from versolane.sources import catalog, epub
 
@@ -164,7 +166,7 @@ def test_epub(spark, tmp_path):
     book = epub.archive(["b.xhtml", "a.xhtml"], ["<p>1</p>", "<p>2</p>"])
     (tmp_path / "x.epub").write_bytes(book)
     (tmp_path / "broken.epub").write_bytes(b"no archive")
-    got = [(r["doc_idx"], r["name"], r["html"]) for r in epub.read(spark, str(tmp_path)).orderBy("doc_idx").collect()]
+    got = [(r["doc_idx"], r["name"], r["html"]) for r in epub.read(spark, str(tmp_path)).where("error IS NULL").orderBy("doc_idx").collect()]
     assert got == [(0, "b.xhtml", "<p>1</p>"), (1, "a.xhtml", "<p>2</p>")]
     assert "�" in b"a\xffb".decode("utf-8", "replace")
 
@@ -180,3 +182,67 @@ def test_samples(spark):
 def test_progress(spark):
     units = spark.createDataFrame([("a", 0, 0), ("a", 0, 1), ("a", 1, None)], "book_id string, doc_idx int, block_no int")
     assert sorted(r["progress"] for r in jobs.chapter_progress(units).collect()) == [0.25, 0.5, 1.0]
+
+
+def test_character_references(spark):
+    texts = ["&#233;&#xE9;&eacute;&#8217;", "&amp;lt; &lt;p&gt;", "a & b &unknown; &#0; &#xD800; &#1114112; &#150;", "&;&#;&#x;", "no reference", "", None, "&amp;#233;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(html_functions.unescape(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["ééé’", "&lt; <p>", "a & b &unknown; � � � –", "&;&#;&#x;", "no reference", "", None, "&#233;"]
+
+
+def test_tokens_by_an_encoder(spark):
+    count = text_functions.token_counter(str.split)
+    rows = spark.createDataFrame([("a b c",), ("",), (None,)], "t string").select(count(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [3, 0, 0]
+
+
+def test_books_without_chapters(spark):
+    rows = spark.createDataFrame([("a", i, f"n{i}", f"<p>{'w ' * 10}</p>") for i in range(0, 4000, 100)], "book_id string, doc_idx int, name string, html string")
+    of = spark.createDataFrame([("a",), ("empty",)], "book_id string")
+    got = {r["book_id"]: r for r in analyze.books(rows, of).collect()}
+    assert got["a"]["chapter_names"] == [f"n{i}" for i in range(0, 3000, 100)] and got["a"]["num_chapters"] == 40
+    assert (got["empty"]["num_chapters"], got["empty"]["total_chars"], got["empty"]["chapter_names"], got["empty"]["estimated_tokens"]) == (0, 0, [], 0)
+
+
+def test_lookup_of_a_lost_output(spark):
+    state = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "processing")], "job_id int, status string")
+    asked = spark.createDataFrame([(i,) for i in range(1, 5)], "job_id int")
+    got = {r["job_id"]: r["code"] for r in jobs.lookup(asked, state, spark.createDataFrame([(1,)], "job_id int")).collect()}
+    assert got == {1: 200, 2: 404, 3: 400, 4: 404}
+
+
+def test_stored_translations_are_made_once(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def backend(text, context):
+        with log.open("a") as f:
+            f.write(text + "\n")
+        if text == "bad":
+            raise RuntimeError("no")
+        return text.upper()
+
+    calls = lambda: log.read_text().split() if log.exists() else []
+    units = spark.createDataFrame([("a", 0, "one"), ("a", 1, "two"), ("b", 0, "bad"), ("b", 1, "three")], "seq_key string, pos int, text string")
+    store = str(tmp_path / "store")
+    done = translate.stored(units, store, backend, wait=lambda s: None)
+    got = {(r["seq_key"], r["pos"]): (r["as_chapter"], r["as_group"], r["n_failed"]) for r in translate.fallbacks(done).collect()}
+    assert got == {("a", 0): ("ONE", "ONE", 0), ("a", 1): ("TWO", "TWO", 0), ("b", 0): ("bad", "bad", 1), ("b", 1): ("three", "THREE", 1)}
+    assert done.count() == 4 and sorted(calls()) == ["bad", "bad", "bad", "one", "three", "two"]
+    again = translate.stored(units, store, lambda text, context: backend(text.replace("bad", "good"), context), wait=lambda s: None)
+    assert {(r["seq_key"], r["pos"]): r["translated"] for r in again.collect()} == {("a", 0): "ONE", ("a", 1): "TWO", ("b", 0): "GOOD", ("b", 1): "THREE"}
+    assert sorted(calls()[6:]) == ["good", "three"]  # only the scope that failed
+
+
+def test_group_style(spark):
+    spans = spark.createDataFrame([(1, 0, 0, 0, 0, 0, "ab", "A", 9.0, 255), (1, 0, 1, 0, 0, 0, "longer", "B", 12.0, 0)], "book_id int, page_no int, block_no int, block_type int, line_no int, span_no int, text string, font string, size double, color int")
+    rows = blocks(spark, [(0, 0, 100, 10), (0, 11, 100, 20)]).drop("text").join(layout.block_text(spans), ["book_id", "page_no", "block_no"])
+    r = layout.style(layout.groups(rows), "gid").collect()
+    assert [(x["gid"], x["font"], x["size"], x["r"], x["b"]) for x in r] == [(0, "B", 12.0, 0.0, 1.0)]
+
+
+def test_epub_names_and_errors(spark, tmp_path):
+    (tmp_path / "x.epub").write_bytes(epub.archive(["a%20b.xhtml", "c.xhtml"], ["<p>1</p>", "<p>2</p>"]))
+    (tmp_path / "broken.epub").write_bytes(b"no archive")
+    got = sorted(((r["path"].split("/")[-1], r["doc_idx"], r["name"], r["html"], r["error"]) for r in epub.read(spark, str(tmp_path)).collect()), key=str)
+    assert got[0][:4] == ("broken.epub", None, None, None) and got[0][4].startswith("BadZipFile")
+    assert [x[1:] for x in got[1:]] == [(0, "a%20b.xhtml", "<p>1</p>", None), (1, "c.xhtml", "<p>2</p>", None)]

@@ -37,15 +37,19 @@ class _Blocks(HTMLParser):
         if self.open and tag not in INLINE and tag not in SKIP:
             self.open[-1]["inline"] = False
         skipped = tag in SKIP or any(x["skip"] for x in self.open[-1:])
-        self.open.append({"tag": tag, "pre": self.clock, "begin": after, "inline": True, "skip": skipped})
+        self.open.append({"tag": tag, "pre": self.clock, "begin": after, "inline": True, "skip": skipped, "leaf": True})
 
     def _end(self, at: int) -> None:
         x = self.open.pop()
         self.clock += 1
+        own = False
         if x["tag"] in BLOCK and x["inline"] and not x["skip"]:
             inner = self.source[x["begin"] : at]
             if any(c.isalpha() for c in inner):
-                self.found.append((x["pre"], self.clock, x["tag"], x["begin"], at, inner))
+                self.found.append((x["pre"], self.clock, x["tag"], x["begin"], at, inner, x["leaf"]))
+                own = True
+        if self.open and (own or not x["leaf"]):
+            self.open[-1]["leaf"] = False
 
     def handle_starttag(self, tag, attrs):
         after = self._at() + len(self.get_starttag_text() or "")
@@ -67,12 +71,12 @@ class _Blocks(HTMLParser):
 
 
 def find(source: str | None) -> list[tuple]:
-    """(pre, post, tag, begin, end, inner) of the candidate blocks of a page, in document order."""
+    """(pre, post, tag, begin, end, inner, leaf) of the candidate blocks of a page, in document order; a leaf holds no other candidate."""
     return sorted(_Blocks(source or "").found)
 
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, block_no, tag, pre, post, begin, end, inner_html): block elements outside skipped ones, with inline children only, whose markup holds a letter."""
+    """(key, block_no, tag, pre, post, begin, end, inner_html, leaf): block elements outside skipped ones, with inline children only, whose markup holds a letter."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,16 +84,15 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
             for k, source in zip(batch["key"], batch["html"]):
                 rows = find(source)
                 if rows:
-                    yield pd.DataFrame([(k, i, tag, pre, post, a, b, inner) for i, (pre, post, tag, a, b, inner) in enumerate(rows)], columns=["key", "block_no", "tag", "pre", "post", "begin", "end", "inner_html"])
+                    yield pd.DataFrame([(k, i, tag, pre, post, a, b, inner, leaf) for i, (pre, post, tag, a, b, inner, leaf) in enumerate(rows)], columns=["key", "block_no", "tag", "pre", "post", "begin", "end", "inner_html", "leaf"])
 
     rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, f"key {kind}, block_no int, tag string, pre int, post int, begin int, end int, inner_html string").withColumnRenamed("key", key)
+    return rows.mapInPandas(run, f"key {kind}, block_no int, tag string, pre int, post int, begin int, end int, inner_html string, leaf boolean").withColumnRenamed("key", key)
 
 
-def leaves(found: DataFrame, key: str = "page_id") -> DataFrame:
-    """Candidates that hold no other candidate: an anti-join on the page and the nesting of their intervals."""
-    d = found.select(F.col(key).alias("k"), F.col("pre").alias("dpre"), F.col("post").alias("dpost"))
-    return found.join(d, (F.col(key) == F.col("k")) & (F.col("dpre") > F.col("pre")) & (F.col("dpost") < F.col("post")), "left_anti")
+def leaves(found: DataFrame) -> DataFrame:
+    """Candidates that hold no other candidate, as the parser saw them."""
+    return found.where("leaf")
 
 
 def splice(pages: DataFrame, done: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -62,7 +62,11 @@ def status(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(state.alias("status"), F.coalesce(F.max_by("progress", F.when(F.col("progress").isNotNull(), at)), F.lit(0.0)).alias("progress"), F.max_by("message", at).alias("text"), F.count("*").alias("logs"))
 
 
-def lookup(asked: DataFrame, state: DataFrame) -> DataFrame:
-    """(job_id, code): what a download request gets: 404 for an unknown job, 400 for one that isn't completed, else 200."""
-    code = F.when(F.col("status").isNull(), 404).when(F.col("status") != "completed", 400).otherwise(200)
+def lookup(asked: DataFrame, state: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """(job_id, code): what a download request gets: 404 for an unknown job, 400 for one that isn't completed, 404 if its output is gone, else 200. outputs (job_id) are those that are there; None: all are."""
+    code = F.when(F.col("status").isNull(), 404).when(F.col("status") != "completed", 400)
+    if outputs is not None:
+        asked = asked.join(outputs.select("job_id", F.lit(True).alias("there")).distinct(), "job_id", "left")
+        code = code.when(F.col("there").isNull(), 404)
+    code = code.otherwise(200)
     return asked.join(state.select("job_id", "status"), "job_id", "left").select("job_id", code.alias("code"))

@@ -37,8 +37,8 @@ def detection_requests(samples: DataFrame, jobs: DataFrame, providers: DataFrame
 
 
 def score(text: Column) -> Column:
-    """The language whose function words are most frequent in the first 1,000 characters; ties go to the greater code; without any, Unknown."""
-    found = F.regexp_extract_all(F.lower(F.left(text, F.lit(1000))), F.lit("\\p{L}+"), F.lit(0))
+    """The language whose function words are most frequent in the text; ties go to the greater code; without any, Unknown."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+"), F.lit(0))
     count = lambda own: F.size(F.filter(found, lambda w: w.isin(*own)))
     hits = [F.struct(count(own).alias("n"), F.lit(code).alias("code")) for code, own in PROFILE.items()]
     best = F.array_max(F.array(*hits))

@@ -27,8 +27,10 @@ def groups(blocks: DataFrame, gap: float = 5.0, shift: float = 50.0) -> DataFram
 
     In order of (y0, x0, block_no), a block joins the current group if both its sides lie less than `shift` from those of the
     group's box and it starts less than `gap` below it. The box is a running union, so this is a fold, not a lag.
+    If blocks have spans (as block_text gives them), a group has those of its blocks, in order: see style.
     """
-    rows = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_no", "x1", "y1", "text"))).alias("b"))
+    more = [c for c in ("spans",) if c in blocks.columns]
+    rows = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_no", "x1", "y1", "text", *more))).alias("b"))
     start = F.struct(F.lit(-1).alias("gid"), *[F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")], F.array().cast("array<int>").alias("ids"))
 
     def step(s: Column, b: Column) -> Column:
@@ -39,18 +41,18 @@ def groups(blocks: DataFrame, gap: float = 5.0, shift: float = 50.0) -> DataFram
 
     ids = F.aggregate("b", start, step, lambda s: s["ids"])
     rows = rows.select(*PAGE, "b", ids.alias("ids")).select(*PAGE, F.posexplode(F.arrays_zip("b", "ids")).alias("at", "z"))
-    rows = rows.select(*PAGE, F.col("z.ids").alias("gid"), "at", "z.b.text", "z.b.x0", "z.b.y0", "z.b.x1", "z.b.y1", "z.b.block_no")
-    rows = rows.groupBy(*PAGE, "gid").agg(F.array_sort(F.collect_list(F.struct("at", "text", "block_no"))).alias("t"), *[F.min(k).alias(k) for k in ("x0", "y0")], *[F.max(k).alias(k) for k in ("x1", "y1")])
-    return rows.select(*PAGE, "gid", F.size("t").cast("long").alias("n_blocks"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "x0", "y0", "x1", "y1")
+    rows = rows.select(*PAGE, F.col("z.ids").alias("gid"), "at", "z.b.text", "z.b.x0", "z.b.y0", "z.b.x1", "z.b.y1", "z.b.block_no", *[f"z.b.{c}" for c in more])
+    rows = rows.groupBy(*PAGE, "gid").agg(F.array_sort(F.collect_list(F.struct("at", "text", "block_no", *more))).alias("t"), *[F.min(k).alias(k) for k in ("x0", "y0")], *[F.max(k).alias(k) for k in ("x1", "y1")])
+    return rows.select(*PAGE, "gid", F.size("t").cast("long").alias("n_blocks"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "x0", "y0", "x1", "y1", *[F.flatten(F.transform("t", lambda x: x[c])).alias(c) for c in more])
 
 
-def style(blocks: DataFrame) -> DataFrame:
+def style(blocks: DataFrame, number: str = "block_no") -> DataFrame:
     """(book_id, page_no, block_no, font, size, r, g, b): font and size of the longest span, the first if several; colour of the first span.
 
-    Without spans: helv, 11, black.
+    Without spans: helv, 11, black. number: what tells blocks of a page apart; gid for groups.
     """
     longest = F.array_max(F.transform("spans", lambda x, i: F.struct(F.length(x["text"]).alias("n"), (-i).alias("first"), x["font"].alias("font"), x["size"].alias("size"))))
     color = F.coalesce(F.get("spans", F.lit(0))["color"], F.lit(0))
     part = lambda bits: F.shiftright(color, bits).bitwiseAND(F.lit(255)) / F.lit(255.0)
     rows = blocks.withColumn("best", longest)
-    return rows.select(*PAGE, "block_no", F.coalesce("best.font", F.lit("helv")).alias("font"), F.coalesce("best.size", F.lit(11.0)).alias("size"), part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))
+    return rows.select(*PAGE, number, F.coalesce("best.font", F.lit("helv")).alias("font"), F.coalesce("best.size", F.lit(11.0)).alias("size"), part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))

@@ -11,15 +11,30 @@ GAP = f"(\n[{SPACE}]*\n)"
 MARK = "\u0001"
 
 
-def _fold(parts: Column, fits, glue) -> Column:
-    """Greedy packing: parts are glued to the current chunk while they fit or it is blank; a blank tail is dropped."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def step(s: Column, part: Column) -> Column:
-        full = ~fits(s["cur"], part) & ~blank(s["cur"])
-        return F.struct(F.when(full, F.array_append(s["out"], s["cur"])).otherwise(s["out"]).alias("out"), F.when(full, part).otherwise(glue(s["cur"], part)).alias("cur"))
 
-    return F.aggregate(parts, start, step, lambda s: F.when(blank(s["cur"]), s["out"]).otherwise(F.array_append(s["out"], s["cur"])))
+def _pack(parts: Column, glue: str, size: int) -> Column:
+    """Greedy packing: parts are glued to the current chunk while they fit or it is blank; a blank tail is dropped.
+
+    The fold goes over lengths: its state is where the chunk begins, how long it is and whether it shows any ink. Text is joined once, at the end.
+    """
+    told = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), (~blank(p)).alias("ink")))
+    start = F.struct(F.array().cast("array<struct<a:int,k:int>>").alias("out"), F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(False).alias("ink"))
+    closed = lambda s: F.array_append(s["out"], F.struct(s["a"].alias("a"), (s["i"] - s["a"]).alias("k")))
+
+    def step(s: Column, p: Column) -> Column:
+        full = s["ink"] & (s["n"] + p["n"] + len(glue) > size)
+        fresh = full | (s["n"] == 0)
+        return F.struct(
+            F.when(full, closed(s)).otherwise(s["out"]).alias("out"), (s["i"] + 1).alias("i"), F.when(fresh, s["i"]).otherwise(s["a"]).alias("a"),
+            F.when(fresh, p["n"]).otherwise(s["n"] + len(glue) + p["n"]).alias("n"), (p["ink"] | (~full & s["ink"])).alias("ink"),
+        )
+
+    cuts = F.aggregate(told, start, step, lambda s: F.when(s["ink"], closed(s)).otherwise(s["out"]))
+    return F.transform(cuts, lambda c: F.array_join(F.slice(parts, c["a"] + 1, c["k"]), glue))
 
 
 def chunk_array(text: Column, size: int = 2500) -> Column:
@@ -27,11 +42,10 @@ def chunk_array(text: Column, size: int = 2500) -> Column:
 
     A line over the size is never cut, so a chunk has no upper bound. A text within the size is returned as it is.
     """
-    paragraphs = F.split(F.regexp_replace(text, GAP, f"{MARK}$1{MARK}"), MARK)
-    first = _fold(paragraphs, lambda cur, p: F.length(cur) + F.length(p) <= size, lambda cur, p: F.concat(cur, p))
-    lines = lambda c: _fold(F.split(c, "\n"), lambda cur, p: F.length(cur) + F.length(p) + 1 <= size, lambda cur, p: F.when(F.length(cur) > 0, F.concat(cur, F.lit("\n"), p)).otherwise(p))
+    first = _once(F.split(F.regexp_replace(text, GAP, f"{MARK}$1{MARK}"), MARK), lambda p: _pack(p, "", size))
+    lines = lambda c: _once(F.split(c, "\n"), lambda p: _pack(p, "\n", size))
     refined = F.flatten(F.transform(first, lambda c: F.when(F.length(c) * 2 <= 3 * size, F.array(c)).otherwise(lines(c))))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.when(F.size(refined) > 0, refined).otherwise(F.array(text)))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(_once(refined, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(text))))
 
 
 def chunks(texts: DataFrame, size: int = 2500) -> DataFrame:

@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from ..sources.catalog import COMPLETION_CAP
 Backend = Callable[[str, str], "str | None"]
 
 CONTEXT, CAP, TEMPERATURE = 800, 8192, 0.3
+SHOWN = 60  # characters of an error that are kept
 SYSTEM = "Translate literary text from {source} into {target}. Keep markup, names, numbers and paragraph breaks. Answer with the translation only."
 BEFORE = "What precedes, already translated; use it for terms and tone only:\n---\n{context}\n---\nTranslate what follows."
 
@@ -50,21 +52,24 @@ def call(backend: Backend, text: str, context: str, tries: int, wait: Callable[[
         try:
             return backend(text, context), attempt + 1, None
         except Exception as why:  # any failure of a backend is tried again
-            error = str(why)
+            error = str(why)[:SHOWN]
             if attempt < tries - 1:
                 wait(2.0**attempt)
     return None, tries, error
 
 
-def run_units(units: DataFrame, backend: Backend, scope: str = "seq_key", order: str = "pos", text: str = "text", tries: int = 3, advance_on_failure: bool = False, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def run_units(units: DataFrame, backend: Backend, scope: str = "seq_key", order: str = "pos", text: str = "text", tries: int = 3, advance_on_failure: bool = False, wait: Callable[[float], None] = time.sleep, carry: tuple[str, ...] = ()) -> DataFrame:
     """(scope, order, text, translated, attempts, error): the units of a scope one after the other, each with the end of the answer before it.
 
     A scope is a chapter, a book or a text: it runs in one task, row by row, and no scope is held in memory.
     Blank units and those of digits and punctuation pass through, and are the next unit's context. A failed unit keeps its
-    source, and doesn't change the context. translated: as cleaned, source where nothing came back.
+    source, and doesn't change the context. translated: as cleaned, source where nothing came back. Columns named in `carry` go along.
+
+    The frame is lazy: each use of it calls the backend again. Use it once, or see `stored`.
     """
     kinds = {c: units.schema[c].dataType.simpleString() for c in (scope, order)}
-    rows = units.select(scope, order, F.col(text).alias("text"), sendable(F.col(text)).alias("send"))
+    along = "".join(f"{c} {units.schema[c].dataType.simpleString()}, " for c in carry)
+    rows = units.select(scope, order, *carry, F.col(text).alias("text"), sendable(F.col(text)).alias("send"))
     rows = rows.repartition(scope).sortWithinPartitions(scope, order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,9 +87,38 @@ def run_units(units: DataFrame, backend: Backend, scope: str = "seq_key", order:
             got = pd.DataFrame(answers, columns=["answer", "attempts", "error"], index=batch.index)
             yield pd.concat([batch, got], axis=1)
 
-    out = rows.mapInPandas(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, text string, send boolean, answer string, attempts int, error string")
+    out = rows.mapInPandas(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, {along}text string, send boolean, answer string, attempts int, error string")
     done = F.when(F.col("error").isNotNull() | ~F.col("send"), F.col("text")).otherwise(clean_response(F.col("answer"), F.col("text")))
-    return out.select(scope, order, "text", done.alias("translated"), "attempts", "error")
+    return out.select(scope, order, *carry, "text", done.alias("translated"), "attempts", "error")
+
+
+def stored(units: DataFrame, store: str, backend: Backend, scope: str = "seq_key", order: str = "pos", text: str = "text", **how) -> DataFrame:
+    """run_units, its rows written to the folder `store` and read from there: a plan that uses them never calls a backend twice.
+
+    A rerun over the same folder leaves out scopes that are finished: all their units are there, with the texts they have now, and none failed.
+    Of a scope that was run more than once the last run counts.
+    """
+    spark = units.sparkSession
+    rows = units
+    try:
+        before = spark.read.parquet(store)
+    except AnalysisException:  # nothing there yet
+        before = None
+    turn = 0
+    if before is not None:
+        turn = (before.agg(F.max("turn")).first()[0] or 0) + 1
+        last = _last(before, scope).where("error IS NULL").select(F.col(scope).alias("s"), F.col(order).alias("o"), F.col("text").alias("t"))
+        same = units.join(last, (F.col(scope) == F.col("s")) & (F.col(order) == F.col("o")) & F.col(text).eqNullSafe(F.col("t")), "left")
+        open_ = same.where("s IS NULL").select(F.col(scope).alias("open")).distinct()
+        rows = units.join(open_, F.col(scope) == F.col("open"), "left_semi")
+    run_units(rows, backend, scope, order, text, **how).withColumn("turn", F.lit(turn)).write.mode("append").parquet(store)
+    return _last(spark.read.parquet(store), scope).drop("turn")
+
+
+def _last(rows: DataFrame, scope: str) -> DataFrame:
+    """Of each scope the rows of its last run."""
+    last = rows.groupBy(F.col(scope).alias("l")).agg(F.max("turn").alias("m"))
+    return rows.join(last, (F.col(scope) == F.col("l")) & (F.col("turn") == F.col("m")), "left_semi")
 
 
 def attempts_report(done: DataFrame) -> DataFrame:
@@ -94,12 +128,16 @@ def attempts_report(done: DataFrame) -> DataFrame:
     return done.select("seq_key", "pos", "attempts", waited.cast("long").alias("waited"), outcome.alias("outcome"))
 
 
-def with_fallback(done: DataFrame, whole_scope: bool, scope: str = "seq_key") -> DataFrame:
-    """The text that is put back. whole_scope: one failed unit gives its whole chapter its source again; else only the failed unit keeps its source. n_failed: failures of the scope."""
-    by = Window.partitionBy(scope)
-    failed = F.sum(F.col("error").isNotNull().cast("long")).over(by)
-    rows = done.withColumn("n_failed", failed)
-    keep = (F.col("n_failed") > 0) if whole_scope else F.col("error").isNotNull()
-    return rows.withColumn("final", F.when(keep, F.col("text")).otherwise(F.col("translated")))
+def fallbacks(done: DataFrame, scope: str = "seq_key") -> DataFrame:
+    """done with n_failed, the failures of the scope, and both texts that may be put back, from one pass.
+
+    as_chapter: one failed unit gives its whole chapter its source again. as_group: only the failed unit keeps its source.
+    """
+    rows = done.withColumn("n_failed", F.sum(F.col("error").isNotNull().cast("long")).over(Window.partitionBy(scope)))
+    kept = lambda keep: F.when(keep, F.col("text")).otherwise(F.col("translated"))
+    return rows.withColumns({"as_chapter": kept(F.col("n_failed") > 0), "as_group": kept(F.col("error").isNotNull())})
 
 
+def with_fallback(done: DataFrame, whole_scope: bool, scope: str = "seq_key") -> DataFrame:
+    """The text that is put back, as `final`: that of a chapter (whole_scope) or that of a group."""
+    return fallbacks(done, scope).withColumn("final", F.col("as_chapter" if whole_scope else "as_group")).drop("as_chapter", "as_group")

@@ -128,6 +128,13 @@ def layout_style(s: SparkSession, d: str) -> DataFrame:
     return layout.style(layout.block_text(views.spans(s, d))).select("book_id", F.col("page_no").cast("long").alias("page_no"), F.col("block_no").cast("long").alias("block_no"), "font", "size", "r", "g", "b")
 
 
+def layout_group_style(s: SparkSession, d: str) -> DataFrame:
+    """Font, size and colour of paragraphs: those of the spans of all their blocks."""
+    spans = layout.block_text(views.spans(s, d)).select("book_id", "page_no", "block_no", "spans")
+    rows = layout.groups(views.layout_blocks(s, d).join(spans, ["book_id", "page_no", "block_no"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType))))
+    return layout.style(rows, "gid").select("book_id", F.col("page_no").cast("long").alias("page_no"), F.col("gid").cast("long").alias("gid"), "font", "size", "r", "g", "b")
+
+
 def _wanted(s: SparkSession, d: str) -> DataFrame:
     rows = segment.with_context(segment.chunks(views.long_texts(s, d))).withColumnRenamed("chunk", "text")
     names = F.array(*[F.lit(m[0]) for m in catalog.MODELS])
@@ -180,9 +187,7 @@ def _failing(text: str, context: str) -> str:
 def failure_fallback(s: SparkSession, d: str) -> DataFrame:
     units = views.units(s, d).withColumn("text", F.concat((F.col("pos") % 7).cast("string"), F.lit("|"), F.col("text")))
     done = translate.run_units(units, _failing, wait=lambda seconds: None)
-    chapter = translate.with_fallback(done, True).select("seq_key", "pos", "n_failed", F.col("final").alias("as_chapter"))
-    group = translate.with_fallback(done, False).select("seq_key", "pos", F.col("final").alias("as_group"))
-    return chapter.join(group, ["seq_key", "pos"])
+    return translate.fallbacks(done).select("seq_key", "pos", "n_failed", "as_chapter", "as_group")
 
 
 def lang_sample(s: SparkSession, d: str) -> DataFrame:
@@ -267,27 +272,27 @@ def html_leaf_blocks(s: SparkSession, d: str) -> DataFrame:
 
 def reassemble_html(s: SparkSession, d: str) -> DataFrame:
     pages = views.read(s, d, "pages")
-    leaf = html_blocks.leaves(html_blocks.blocks(pages)).select("page_id", "block_no", "begin", "end", "inner_html")
-    done = translate.run_units(leaf, lambda text, context: translate.echo(text, html_blocks.plain(context)), "page_id", "block_no", "inner_html")
-    return html_blocks.splice(pages, leaf.join(done, ["page_id", "block_no"]).select("page_id", "begin", "end", "translated"))
+    leaf = html_blocks.leaves(html_blocks.blocks(pages))
+    done = translate.run_units(leaf, lambda text, context: translate.echo(text, html_blocks.plain(context)), "page_id", "block_no", "inner_html", carry=("begin", "end"))
+    return html_blocks.splice(pages, done.select("page_id", "begin", "end", "translated"))
 
 
 def read_epub_chapters(s: SparkSession, d: str) -> DataFrame:
-    """Each page packed as an archive, and read from it again."""
+    """Each eight pages packed as an archive, their names percent-encoded, the last page first, and read from it again."""
     import pandas as pd
 
     def pack(batches):
         for b in batches:
-            content = [epub.archive([f"page_{i}.xhtml"], [h]) for i, h in zip(b["page_id"], b["html"])]
-            yield pd.DataFrame({"path": [f"book-{i}.epub" for i in b["page_id"]], "length": [len(c) for c in content], "content": content})
+            content = [epub.archive([f"page%20{x['page_id']}.xhtml" for x in own], [x["html"] for x in own]) for own in b["pages"]]
+            yield pd.DataFrame({"path": [f"book-{i}.epub" for i in b["book"]], "length": [len(c) for c in content], "content": content})
 
-    files = views.read(s, d, "pages").select("page_id", "html").mapInPandas(pack, "path string, length long, content binary")
-    return epub.chapters(files).select("path", F.col("doc_idx").cast("long").alias("doc_idx"), "name", F.md5("html").alias("html_md5"))
+    eight = views.read(s, d, "pages").groupBy(F.floor(F.col("page_id") / 8).alias("book")).agg(F.sort_array(F.collect_list(F.struct("page_id", "html")), asc=False).alias("pages"))
+    return epub.chapters(eight.mapInPandas(pack, "path string, length long, content binary")).select("path", F.col("doc_idx").cast("long").alias("doc_idx"), "name", F.md5("html").alias("html_md5"))
 
 
 _ALL = (
     src_chapters, src_pages, html_text, chapter_names, chapter_gate, word_char_counts, token_estimate, token_estimate_scaled, filter_translatable, filter_sendable, file_allowlist, output_naming, model_catalog,
-    job_validation, analyze_books, analyze_paged, analyze_all, analysis_json, cost_by_model, chunk_paragraphs, chunk_context, reassemble_text, layout_block_text, layout_groups, layout_style, prompt_requests,
+    job_validation, analyze_books, analyze_paged, analyze_all, analysis_json, cost_by_model, chunk_paragraphs, chunk_context, reassemble_text, layout_block_text, layout_groups, layout_style, layout_group_style, prompt_requests,
     response_clean, translate_units, translate_attempts, failure_fallback, lang_sample, detect_requests, lang_answer_clean, lang_detect, progress_chapters, progress_pages, job_status, job_lookup, job_status_stream,
     job_state_ttl, ingest_stream, html_leaf_blocks, reassemble_html, read_epub_chapters,
 )

@@ -21,8 +21,12 @@ scaled = lambda n: f"(CASE WHEN {n} > 50000 THEN floor(12500.0::DOUBLE * ({n} /
 words = lambda x: f"len(regexp_extract_all({x}, {q(f'[^{SPACE}]+')}))::BIGINT"
 
 
+#: The references that the given pages hold, and a few more.
+NAMED = {"nbsp": "\u00a0", "copy": "©", "middot": "·", "mdash": "—", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}
+
+
 def unescape(x: str) -> str:
-    for name, char in H.NAMED.items():
+    for name, char in NAMED.items():
         x = f"replace({x}, {q(f'&{name};')}, {q(char)})"
     return x
 
@@ -123,6 +127,40 @@ FAILING = (
     f"chain AS (SELECT seq_key, pos, k, bad, source, {trim('''concat('[', right(md5(''), 4), '] ', text)''')} AS translated, CASE WHEN bad THEN '' ELSE {trim('''concat('[', right(md5(''), 4), '] ', text)''')} END AS ctx FROM u WHERE k = 1 UNION ALL "
     f"SELECT u.seq_key, u.pos, u.k, u.bad, u.source, {trim('''concat('[', right(md5(right(c.ctx, 800)), 4), '] ', u.text)''')}, CASE WHEN u.bad THEN c.ctx ELSE {trim('''concat('[', right(md5(right(c.ctx, 800)), 4), '] ', u.text)''')} END FROM chain c JOIN u ON u.seq_key = c.seq_key AND u.k = c.k + 1)"
 )
+#: The tree rule as a walk over tokens with a stack of open elements: an end tag closes up to the nearest open one of its name, or nothing; the end closes all. A script or style is one token.
+TOKEN = "(?is)<!--.*?-->|<![a-z][^>]*>|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|</?[a-z][^>]*>|[^<]+|<"
+among = lambda tags: "[" + ", ".join(map(q, tags)) + "]"
+TREE = (
+    f"t AS (SELECT page_id, unnest(regexp_extract_all(html, {q(TOKEN)})) AS tok, unnest(range(len(regexp_extract_all(html, {q(TOKEN)})))) AS i FROM pages), "
+    f"k AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, CASE WHEN NOT regexp_matches(tok, '^</?[a-zA-Z]') THEN 'text' WHEN starts_with(tok, '</') THEN 'end' "
+    f"WHEN regexp_matches(tok, '(?is)^<(script|style)\\b.*</') OR ends_with(tok, '/>') OR contains({among(H.VOID)}, tag) THEN 'whole' ELSE 'start' END AS kind FROM t), "
+    "p AS (SELECT *, sum(length(tok)) OVER (PARTITION BY page_id ORDER BY i)::BIGINT AS upto FROM k), "
+    "walk AS (SELECT page_id, -1::BIGINT AS i, []::VARCHAR[] AS tags, []::BIGINT[] AS ids, []::BIGINT[] AS closed, 0::BIGINT AS clock FROM pages UNION ALL "
+    "SELECT p.page_id, p.i, CASE WHEN kind = 'start' THEN list_append(tags, tag) WHEN spot > 0 THEN tags[:spot - 1] ELSE tags END, CASE WHEN kind = 'start' THEN list_append(ids, p.i) WHEN spot > 0 THEN ids[:spot - 1] ELSE ids END, "
+    "CASE WHEN spot > 0 THEN list_reverse(ids[spot:]) ELSE []::BIGINT[] END, clock + CASE WHEN kind = 'start' THEN 1 WHEN kind = 'whole' THEN 2 WHEN spot > 0 THEN len(ids) - spot + 1 ELSE 0 END "
+    "FROM walk w JOIN p ON p.page_id = w.page_id AND p.i = w.i + 1, LATERAL (SELECT CASE WHEN kind = 'end' AND contains(tags, tag) THEN len(tags) + 1 - list_position(list_reverse(tags), tag) ELSE 0 END AS spot)), "
+    "ended AS (SELECT page_id, max(i) AS i FROM walk GROUP BY page_id), "
+    "shut AS (SELECT w.page_id, unnest(closed) AS first, clock - len(closed) + unnest(range(1, len(closed) + 1)) AS post, upto - length(tok) AS e FROM walk w JOIN p ON p.page_id = w.page_id AND p.i = w.i WHERE len(closed) > 0 UNION ALL "
+    "SELECT page_id, unnest(list_reverse(ids)), clock + unnest(range(1, len(ids) + 1)), length(html) FROM walk JOIN ended USING (page_id, i) JOIN pages USING (page_id)), "
+    "born AS (SELECT w.page_id, w.i AS first, w.clock AS pre, p.upto AS b, p.tag, p.kind, w.tags, CASE kind WHEN 'start' THEN ids[len(ids) - 1] ELSE ids[len(ids)] END AS parent FROM walk w JOIN p ON p.page_id = w.page_id AND p.i = w.i WHERE kind IN ('start', 'whole')), "
+    f"mixed AS (SELECT DISTINCT page_id, parent AS first FROM born WHERE NOT contains({among(H.INLINE + H.SKIP)}, tag) AND parent IS NOT NULL), "
+    f"cand AS (SELECT n.*, s.post, s.e, substr(html, n.b + 1, s.e - n.b) AS inner_html FROM born n JOIN shut s USING (page_id, first) JOIN pages USING (page_id) ANTI JOIN mixed USING (page_id, first) WHERE contains({among(H.BLOCK)}, n.tag) AND NOT list_has_any(n.tags, {among(H.SKIP)}) AND {letter('substr(html, n.b + 1, s.e - n.b)')}), "
+    "blk AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1 AS block_no FROM cand), "
+    "holds AS (SELECT DISTINCT x.page_id, x.pre FROM blk x JOIN blk y ON y.page_id = x.page_id AND y.pre > x.pre AND y.post < x.post), "
+    "leaf AS (SELECT * FROM blk ANTI JOIN holds USING (page_id, pre))"
+)
+
+
+def bare(x: str) -> str:
+    return unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+
+
+PAGE_CHAIN = (
+    "lu AS (SELECT page_id, b, e, inner_html, row_number() OVER (PARTITION BY page_id ORDER BY block_no) AS k FROM leaf), "
+    f"lc AS (SELECT page_id, k, b, e, {trim('''concat('[', right(md5(''), 4), '] ', inner_html)''')} AS tr FROM lu WHERE k = 1 UNION ALL "
+    f"SELECT u.page_id, u.k, u.b, u.e, {trim(f"""concat('[', right(md5({bare('right(c.tr, 800)')}), 4), '] ', u.inner_html)""")} FROM lc c JOIN lu u ON u.page_id = c.page_id AND u.k = c.k + 1), "
+    "lp AS (SELECT page_id, k, e, substr(html, coalesce(lag(e) OVER w, 0)::BIGINT + 1, (b - coalesce(lag(e) OVER w, 0))::BIGINT) || tr AS part FROM lc JOIN pages USING (page_id) WINDOW w AS (PARTITION BY page_id ORDER BY k))"
+)
 PROMPT_MODEL = f"[{', '.join(q(m[0]) for m in catalog.MODELS)}][(text_id % {len(catalog.MODELS)}) + 1]"
 
 ORACLE: dict[str, str] = {
@@ -154,6 +192,13 @@ SELECT job_id, original_filename, ext, source_lang, target_lang, model, coalesce
     "layout_block_text": f"WITH {LINES}, {SPANS}, n AS (SELECT book_id, page_no, block_no, count(*) FILTER ({letter('text')}) AS n FROM spans GROUP BY ALL) SELECT book_id, page_no, block_no, text, n AS n_spans FROM block_text JOIN n USING (book_id, page_no, block_no) WHERE {letter('text')}",
     "layout_groups": f"WITH RECURSIVE {GROUPS} SELECT * FROM boxes",
     "layout_style": f"WITH {LINES}, {SPANS}, s AS (SELECT * FROM spans WHERE {letter('text')}), f AS (SELECT book_id, page_no, block_no, arg_max({{'font': font, 'size': size}}, (length(text), -span_no)) AS f, arg_min(color, span_no) AS c FROM s GROUP BY ALL) SELECT book_id, page_no, block_no, coalesce(f.font, 'helv') AS font, coalesce(f.size, 11.0) AS size, ((coalesce(c, 0)::BIGINT >> 16) & 255) / 255.0::DOUBLE AS r, ((coalesce(c, 0)::BIGINT >> 8) & 255) / 255.0::DOUBLE AS g, (coalesce(c, 0)::BIGINT & 255) / 255.0::DOUBLE AS b FROM block_text LEFT JOIN f USING (book_id, page_no, block_no) WHERE {letter('text')}",
+    "layout_group_style": f"WITH RECURSIVE {GROUPS}, {SPANS.replace('block_text AS', 'unused AS')}, member AS (SELECT w.book_id, w.page_no, w.gid, b.block_no, b.k FROM walk w JOIN b2 b ON b.book_id = w.book_id AND b.page_no = w.page_no AND b.k = w.k), "
+    f"s AS (SELECT m.book_id, m.page_no, m.gid, m.k, s.span_no, s.text, s.font, s.size, s.color FROM member m JOIN spans s ON s.book_id = m.book_id AND s.page_no = m.page_no AND s.block_no = m.block_no WHERE {letter('s.text')}), "
+    "f AS (SELECT book_id, page_no, gid, arg_max({'font': font, 'size': size}, (length(text), -k, -span_no)) AS f, arg_min(color, (k, span_no)) AS c FROM s GROUP BY ALL) "
+    "SELECT x.book_id, x.page_no, x.gid, coalesce(f.font, 'helv') AS font, coalesce(f.size, 11.0) AS size, ((coalesce(c, 0)::BIGINT >> 16) & 255) / 255.0::DOUBLE AS r, ((coalesce(c, 0)::BIGINT >> 8) & 255) / 255.0::DOUBLE AS g, (coalesce(c, 0)::BIGINT & 255) / 255.0::DOUBLE AS b FROM boxes x LEFT JOIN f ON f.book_id = x.book_id AND f.page_no = x.page_no AND f.gid = x.gid",
+    "html_blocks": f"WITH RECURSIVE {TREE} SELECT page_id, block_no, tag, pre, post, inner_html FROM blk",
+    "html_leaf_blocks": f"WITH RECURSIVE {TREE} SELECT page_id, block_no, tag, inner_html FROM leaf",
+    "reassemble_html": f"WITH RECURSIVE {TREE}, {PAGE_CHAIN} SELECT page_id, coalesce(any_value(x.body) || substr(any_value(html), any_value(x.tail)::BIGINT + 1), any_value(html)) AS html FROM pages LEFT JOIN (SELECT page_id, string_agg(part, '' ORDER BY k) AS body, max(e) AS tail FROM lp GROUP BY page_id) x USING (page_id) GROUP BY page_id",
     "prompt_requests": f"""WITH {LONG}, {chunked('texts')}, {CONTEXT}, {MODELS}, r AS (SELECT text_id, pos, chunk AS text, context, CASE WHEN text_id % 2 = 0 THEN 'Italian' ELSE 'French' END AS target_lang, {PROMPT_MODEL} AS model FROM with_context WHERE {sendable('chunk')}),
 u AS (SELECT *, CASE WHEN length(context) > 0 THEN replace({q(translate.BEFORE)}, '{{context}}', right(context, 800)) || chr(10) || chr(10) || text ELSE text END AS message FROM r)
 SELECT text_id, pos, u.model, m.provider, md5(replace(replace({q(translate.SYSTEM)}, '{{source}}', 'English'), '{{target}}', target_lang)) AS system_md5, md5(message) AS user_md5, length(message) AS user_chars, 0.3::DOUBLE AS temperature,
@@ -167,7 +212,7 @@ SELECT text_id, pos, u.model, m.provider, md5(replace(replace({q(translate.SYSTE
 r AS (SELECT job_id, sample, CASE WHEN job_id % 3 = 0 THEN 'openai' ELSE provider END AS provider, CASE WHEN job_id % 4 = 0 THEN model ELSE '' END AS model FROM s JOIN manifest USING (job_id))
 SELECT job_id, provider, coalesce(nullif(model, ''), CASE WHEN provider = 'anthropic' THEN {q(catalog.DETECTION['anthropic'])} ELSE {q(catalog.DETECTION['openai'])} END) AS model, md5({q(language.ASK)} || sample) AS prompt_md5 FROM r""",
     "lang_answer_clean": f"WITH {MANIFEST} SELECT job_id AS doc_id, CASE WHEN job_id % 4 = 3 THEN 'Unknown' ELSE source_lang END AS language FROM manifest",
-    "lang_detect": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 1000)), '\\p{L}+')) AS w FROM documents), p(code, w) AS (VALUES "
+    "lang_detect": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents), p(code, w) AS (VALUES "
     + ", ".join(f"({q(c)}, {q(w)})" for c, own in language.PROFILE.items() for w in own)
     + "), n AS (SELECT doc_id, code, count(*) AS n FROM w JOIN p USING (w) GROUP BY ALL), b AS (SELECT doc_id, arg_max(code, (n, code)) AS language FROM n GROUP BY doc_id) SELECT d.doc_id, coalesce(language, 'Unknown') AS language FROM documents d LEFT JOIN b USING (doc_id)",
     "progress_chapters": f"""WITH {CHAPTERS}, c AS (SELECT book_id, doc_idx, CASE WHEN doc_idx % 5 = 4 THEN 0 ELSE len(list_filter({pieces('html', H.SKIP)}, lambda x: {letter('x')})) END AS n, count(*) OVER (PARTITION BY book_id)::DOUBLE AS d FROM chapters),
@@ -180,5 +225,5 @@ SELECT book_id, doc_idx, block_no, round(CASE WHEN block_no IS NULL THEN (doc_id
     "job_state_ttl": """WITH g AS (SELECT user_id AS job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS events FROM s GROUP BY job_id, k""",
     "ingest_stream": f"SELECT doc_id, {letter('text')} AS translatable, ({tokens('length(text)')})::BIGINT AS tokens FROM documents",
-    "read_epub_chapters": "SELECT 'book-' || page_id || '.epub' AS path, 0::BIGINT AS doc_idx, 'page_' || page_id || '.xhtml' AS name, md5(html) AS html_md5 FROM pages",
+    "read_epub_chapters": "SELECT 'book-' || (page_id // 8) || '.epub' AS path, row_number() OVER (PARTITION BY page_id // 8 ORDER BY page_id DESC) - 1 AS doc_idx, 'page%20' || page_id || '.xhtml' AS name, md5(html) AS html_md5 FROM pages",
 }

@@ -6,6 +6,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,14 +16,16 @@ KINDS = ("application/xhtml+xml", "text/html")
 
 
 def documents(content: bytes) -> list[tuple[str, str]]:
-    """(name, html) of an archive's HTML documents, as its manifest lists them. Bytes that are no UTF-8 become U+FFFD."""
+    """(name, html) of an archive's HTML documents, as its manifest lists them; percent-encoded names are decoded, documents that are missing left out. Bytes that are no UTF-8 become U+FFFD."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         box = ElementTree.fromstring(archive.read("META-INF/container.xml"))
         package = next(x.get("full-path") for x in box.iter() if x.tag.endswith("rootfile"))
         root = posixpath.dirname(package)
         items = [x for x in ElementTree.fromstring(archive.read(package)).iter() if x.tag.endswith("}item") or x.tag == "item"]
         names = [x.get("href") for x in items if x.get("media-type") in KINDS]
-        return [(n, archive.read(posixpath.join(root, n)).decode("utf-8", "replace")) for n in names]
+        paths = [posixpath.normpath(posixpath.join(root, unquote(n or ""))) for n in names]
+        there = set(archive.namelist())
+        return [(n, archive.read(p).decode("utf-8", "replace")) for n, p in zip(names, paths) if p in there]
 
 
 def archive(names: list[str], pages: list[str]) -> bytes:
@@ -34,24 +37,25 @@ def archive(names: list[str], pages: list[str]) -> bytes:
         items = "".join(f'<item id="c{i}" href="{n}" media-type="{KINDS[0]}"/>' for i, n in enumerate(names))
         z.writestr("OEBPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest></package>')
         for n, page in zip(names, pages, strict=True):
-            z.writestr(f"OEBPS/{n}", page)
+            z.writestr(f"OEBPS/{unquote(n)}", page)
     return out.getvalue()
 
 
 def chapters(files: DataFrame, cap: int = 104_857_600) -> DataFrame:
-    """(path, doc_idx, name, html) of files (path, length, content), as spark.read.format("binaryFile") gives them. Larger files, and what is no archive, give no row."""
+    """(path, doc_idx, name, html, error) of files (path, length, content), as spark.read.format("binaryFile") gives them. Larger files give no row; what can't be read as a book gives one, with its error alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     found = documents(bytes(content))
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError):
-                    continue
-                if found:
-                    yield pd.DataFrame([(path, i, n, h) for i, (n, h) in enumerate(found)], columns=["path", "doc_idx", "name", "html"])
+                    rows = [(path, i, n, h, None) for i, (n, h) in enumerate(found)]
+                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as why:
+                    rows = [(path, None, None, None, f"{type(why).__name__}: {why}"[:60])]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "doc_idx", "name", "html", "error"]).astype({"doc_idx": "Int32"})
 
-    return files.where(files.length <= cap).select("path", "content").mapInPandas(run, "path string, doc_idx int, name string, html string")
+    return files.where(files.length <= cap).select("path", "content").mapInPandas(run, "path string, doc_idx int, name string, html string, error string")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -12,11 +12,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Chapters of a book that are numbered together: ids that fall into one span of this width.
+ID_SPAN = 4096
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, doc_idx, name, html): the pages of a host are the chapters of a book."""
-    pages = read(spark, sf_dir, "pages").withColumn("book_id", F.regexp_extract("url", HOST, 1))
-    order = Window.partitionBy("book_id").orderBy("page_id")
-    return pages.select("book_id", (F.row_number().over(order) - 1).alias("doc_idx"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("name"), "html")
+    """(book_id, doc_idx, name, html): the pages of a host are the chapters of a book, in order of page_id.
+
+    Pages are numbered within (book, span of ids), and counts of the spans, without any HTML, say where each begins: no task sorts a book.
+    """
+    pages = read(spark, sf_dir, "pages").withColumn("book_id", F.regexp_extract("url", HOST, 1)).withColumn("span", F.floor(F.col("page_id") / ID_SPAN))
+    before = Window.partitionBy("book_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pages.groupBy("book_id", "span").agg(F.count("*").alias("n")).select("book_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("book_id", "span").orderBy("page_id")) - 1
+    rows = pages.withColumn("within", within).join(starts, ["book_id", "span"])
+    return rows.select("book_id", (F.col("start") + F.col("within")).cast("int").alias("doc_idx"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("name"), "html")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

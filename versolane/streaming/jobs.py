@@ -14,8 +14,12 @@ from ..sources.views import as_job_events
 
 
 def shared(spark: SparkSession, tag: str) -> str:
-    """A new folder where driver and executors both write: in spark.checkpoint.dir, or a local one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder where driver and executors both write: in spark.checkpoint.dir, or a local one where that is unset and Spark is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
