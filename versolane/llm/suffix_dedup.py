@@ -9,7 +9,8 @@ knows the common prefixes merges them without comparing known prefixes again. Wh
 2. Duplicate detection before the exchange. Only anchors whose GRAM bytes occur in two documents are sorted at all. Hashes travel
    sorted and delta-coded, about three bytes each, and come back as bits.
 
-A suffix is written from its anchor on, then the text before the anchor backwards: sorting brings equal anchors together, and
+So what is sorted are suffixes from sampled places, cut where their windows end. Each is written from its anchor on, then the text
+before the anchor backwards, at most WIDTH bytes: a context. Sorting brings equal anchors together, and
 the common prefix lengths that the merge yields tell groups of equal anchors and equal contexts without looking at the strings.
 A context whose equal stands in an earlier document is removed whole. Where a group's contexts differ, their windows are compared.
 Anchors of more than `HOT` documents are sorted window by window instead and dealt by the window, so no group gathers in a task.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, _powers, let_go, mix, offsets, saved, slices
+from .common import BASE, BYTES, _powers, let_go, mix, offsets, saved, slices
 
 SPAN, GRAM = 50, 24
 REACH = SPAN - GRAM  # bytes on either side of the anchor's GRAM that a window can have
 WIDTH = GRAM + 2 * REACH + 2  # anchor, text after it, text before it backwards, both lengths
 BLOCK = 1 << 22
+PLACE = (1 << 18) - 1  # bits of a hash that give way to its place in a chunk
 HOT = 512
 LAST = (1 << 63) - 1  # stands for a null key: after all others
 
@@ -70,14 +73,14 @@ def units(flat: np.ndarray, off: np.ndarray, chunk: int = 1 << 17) -> tuple[np.n
             h = (h ^ x[o : o + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        low, at, span = h, np.arange(k, dtype=np.int32), 1
-        while span <= REACH + 1:  # the leftmost least hash of 2, 4, 8, ... places, then of REACH + 1
+        low, span = h & ~np.uint64(PLACE) | np.arange(k, dtype=np.uint64), 1
+        while span <= REACH + 1:  # the least of 2, 4, 8, ... places, then of REACH + 1; of equal hashes the leftmost
             step = min(span, REACH + 1 - span)
             if step == 0:
                 break
-            right = low[step:] < low[:-step]
-            low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+            low = np.minimum(low[step:], low[:-step])
             span += step
+        at = (low & np.uint64(PLACE)).astype(np.int32)
         fits = doc[begin : begin + m] == doc[begin + SPAN - 1 : begin + SPAN - 1 + m]
         edge = np.ones(m + 1, bool)
         edge[1:m] = (at[1:m] != at[: m - 1]) | (fits[1:] != fits[:-1]) | (doc[begin + 1 : begin + m] != doc[begin : begin + m - 1])
@@ -117,9 +120,10 @@ def _prints(anchor: np.ndarray, g: np.ndarray, off: np.ndarray, radixes: int) ->
     name = radix << np.uint64(32) | (g & np.uint64(0xFFFFFFFF))
     doc = np.searchsorted(off, anchor, side="right").astype(np.int64)
     u, at = np.unique(name, return_inverse=True)
-    pair = np.unique(at.astype(np.int64) << np.int64(32) | doc)
-    count = np.minimum(255, np.bincount(pair >> 32, minlength=len(u))).astype(np.uint8)
-    return (u >> np.uint64(32)).astype(np.int64), u.astype(np.uint32), count, at
+    pair = np.sort(at.astype(np.int64) << np.int64(32) | doc)
+    pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
+    texts = np.minimum(255, np.bincount(pair >> 32, minlength=len(u))).astype(np.uint8)
+    return (u >> np.uint64(32)).astype(np.int64), u.astype(np.uint32), texts, at
 
 
 def _send_prints(radixes: int):
@@ -127,13 +131,13 @@ def _send_prints(radixes: int):
         for batch in batches:
             for bid, _, off, flat, _ in _opened(batch):
                 anchor, _, _, g = units(flat, off)
-                radix, low, count, _ = _prints(anchor, g, off, radixes)
+                radix, low, texts, _ = _prints(anchor, g, off, radixes)
                 own, start = np.unique(radix, return_index=True)
                 ends = np.r_[start[1:], len(radix)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own), pa.array(np.full(len(own), bid, np.int64)),
-                        pa.array([_squeeze(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in zip(start, ends)], pa.binary()), pa.array([zstandard.compress(count[a:b].tobytes(), 3) for a, b in zip(start, ends)], pa.binary()),
+                        pa.array([_squeeze(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in zip(start, ends)], pa.binary()), pa.array([zstandard.compress(texts[a:b].tobytes(), 3) for a, b in zip(start, ends)], pa.binary()),
                     ], ["radix", "bid", "low", "count"]
                 )
 
@@ -251,15 +255,18 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
     place = [0] * len(runs)
     head = [r[0][0] if r[0] else None for r in runs] + [None] * (size - len(runs))
     loser, known = [0] * size, [0] * size
+    number = int.from_bytes
 
     def play(a: int, b: int, h: int) -> tuple[int, int, int]:
         """Winner, loser, common prefix of both; h bytes are known to be equal. An ended run loses."""
         x, y = head[a], head[b]
         if x is None or y is None:
             return (b, a, -1) if x is None else (a, b, -1)
-        differ = int.from_bytes(x[h:]) ^ int.from_bytes(y[h:])
-        d = len(x) - (differ.bit_length() + 7) // 8
-        return (a, b, d) if x <= y else (b, a, d)
+        p, q = x[h:], y[h:]
+        if p == q:
+            return a, b, len(x)
+        d = len(p) - ((number(p) ^ number(q)).bit_length() + 7) // 8
+        return (a, b, h + d) if p[d] < q[d] else (b, a, h + d)
 
     best = list(range(size))
     nodes = {size + i: i for i in best}
@@ -267,10 +274,11 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
         nodes[node], loser[node], known[node] = play(nodes[2 * node], nodes[2 * node + 1], 0)
     s, h = nodes[1], 0
     while head[s] is not None:
-        yield s, place[s], h
-        place[s] += 1
-        strings, common = runs[s]
         k = place[s]
+        yield s, k, h
+        k += 1
+        place[s] = k
+        strings, common = runs[s]
         if k < len(strings):
             head[s], h = strings[k], common[k]
         else:
@@ -286,81 +294,97 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             node >>= 1
 
 
-def _windows(row: bytes) -> tuple[bytes, int]:
-    """A context's text as it stood, and how many windows it has."""
-    after, before = row[-2], row[-1]
-    text = row[GRAM + REACH : GRAM + REACH + before][::-1] + row[: GRAM + after]
-    return text, len(text) - SPAN + 1
-
-
-def _decide(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(run, first window, last window) to remove, of the contexts of one anchor in order: (row, run, key, first window)."""
-    if group[0][0] == group[-1][0]:
-        least = min(x[2] for x in group)
-        for row, run, key, first in group:
-            if key > least:
-                yield run, first, first + _windows(row)[1] - 1
-        return
-    lowest: dict[bytes, int] = {}
-    prior = None
-    for row, _, key, _ in group:
-        if row == prior and key >= low:
-            continue
-        low = key
-        text, n = _windows(row)
-        for j in range(n):
-            w = text[j : j + SPAN]
-            if lowest.get(w, LAST + 1) > key:
-                lowest[w] = key
-        prior = row
-    for row, run, key, first in group:
-        text, n = _windows(row)
-        start = -1
-        for j in range(n):
-            if lowest[text[j : j + SPAN]] < key:
-                start = j if start < 0 else start
-            elif start >= 0:
-                yield run, first + start, first + j - 1
-                start = -1
-        if start >= 0:
-            yield run, first + start, first + n - 1
+def _cuts(rows: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, last window) to remove, of contexts (WIDTH bytes each) in groups of one anchor: windows that a smaller key of the group has too.
+
+    A window is told by the bytes it has before the anchor and after it. Windows meet by hashes of these; what would go is compared byte by byte.
+    """
+    after, before = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    n = after + before - REACH + 1
+    row = np.repeat(np.arange(len(rows)), n)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    p = before[row] - j
+    own, place = key[row], np.arange(REACH)
+    for salt in count(1):
+        sides = []
+        for begin in (GRAM, GRAM + REACH):
+            h = np.empty((REACH + 1, len(rows)), np.uint64)
+            h[0] = mix(group.astype(np.uint64) + np.uint64(salt << 40))
+            for t in range(REACH):
+                h[t + 1] = (h[t] ^ rows[:, begin + t]) * np.uint64(0x9FB21C651E98DF25)
+                h[t + 1] ^= h[t + 1] >> np.uint64(29)
+            sides.append(h)
+        w = mix(sides[0][REACH - p, row] * np.uint64(BASE) + sides[1][p, row])
+        order = np.argsort(w)
+        new = np.r_[True, w[order[1:]] != w[order[:-1]]]
+        least = np.minimum.reduceat(own[order], np.flatnonzero(new))
+        at = np.cumsum(new) - 1
+        first = own[order] == least[at]
+        known = np.empty(len(least), np.int64)
+        known[at[first]] = order[first]
+        gone, kept = order[~first], known[at[~first]]
+        x, y, q = rows[row[gone]], rows[row[kept]], p[gone, None]
+        same = ((x[:, GRAM : GRAM + REACH] == y[:, GRAM : GRAM + REACH]) | (place >= REACH - q)).all() and ((x[:, GRAM + REACH : -2] == y[:, GRAM + REACH : -2]) | (place >= q)).all()
+        if same and (p[gone] == p[kept]).all() and (group[row[gone]] == group[row[kept]]).all():
+            break
+    late = np.zeros(len(row), bool)
+    late[gone] = True
+    starts = np.flatnonzero(late & ((j == 0) | ~np.r_[False, late[:-1]]))
+    ends = np.flatnonzero(late & ((j == n[row] - 1) | ~np.r_[late[1:], False]))
+    return row[starts], j[starts], j[ends]
+
+
+def _strings(lcp: bytes, tails: bytes) -> tuple[np.ndarray, list[int]]:
+    """A front-coded run's strings as rows of bytes, and their common prefixes."""
+    common, data = np.frombuffer(zstandard.decompress(lcp), np.uint8), np.frombuffer(zstandard.decompress(tails), np.uint8)
+    full = np.zeros((len(common), WIDTH), np.uint8)
+    own = np.arange(WIDTH) >= common[:, None]
+    full[own] = data
+    # a byte under the common prefix is that of the last row whose own bytes reach so far up
+    full = full[np.maximum.accumulate(np.where(own, np.arange(len(common), dtype=np.int32)[:, None], 0), axis=0), np.arange(WIDTH)]
+    return full, common.tolist()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(batches, "part"):
         gone = {}
-        runs, keys, firsts, bids = [], [], [], []
+        full, common, keys, firsts, bids = [], [], [], [], []
         for r in rows:
             if not r["lcp"]:
                 gone.setdefault(r["bid"], []).append((_loose(r["keys"], np.uint32), _loose(r["firsts"], np.uint32)))
                 continue
-            lcp = np.frombuffer(zstandard.decompress(r["lcp"]), np.uint8)
-            tails = np.frombuffer(zstandard.decompress(r["tails"]), np.uint8)
-            full = np.zeros((len(lcp), WIDTH), np.uint8)
-            own = np.arange(WIDTH) >= lcp[:, None]
-            full[own] = tails
-            # a byte under the common prefix is that of the last row whose own bytes reach so far up
-            full = full[np.maximum.accumulate(np.where(own, np.arange(len(lcp))[:, None], 0), axis=0), np.arange(WIDTH)]
-            data = full.tobytes()
-            runs.append(([data[i : i + WIDTH] for i in range(0, len(data), WIDTH)], lcp.tolist()))
-            keys.append(_loose(r["keys"], np.int64).tolist())
-            firsts.append(_loose(r["firsts"], np.uint32).tolist())
+            strings, lcp = _strings(r["lcp"], r["tails"])
+            full.append(strings)
+            common.append(lcp)
+            keys.append(_loose(r["keys"], np.int64))
+            firsts.append(_loose(r["firsts"], np.uint32))
             bids.append(r["bid"])
-        found: dict[int, list[tuple[int, int]]] = {}
-        group: list[tuple[bytes, int, int, int]] = []
-        for s, k, h in merged(runs) if runs else ():
-            if h < GRAM and group:
-                if len(group) > 1:
-                    for run, a, b in _decide(group):
-                        found.setdefault(run, []).append((a, b))
-                group = []
-            group.append((runs[s][0][k], s, keys[s][k], firsts[s][k]))
-        if len(group) > 1:
-            for run, a, b in _decide(group):
-                found.setdefault(run, []).append((a, b))
-        for run, pairs in found.items():
-            both = np.array(pairs, np.uint32)
-            gone.setdefault(bids[run], []).append((both[:, 0], both[:, 1]))
+        if full:
+            runs = [([data[i : i + WIDTH] for i in range(0, len(data), WIDTH)], lcp) for data, lcp in zip((x.tobytes() for x in full), common)]
+            order = np.fromiter((s << 40 | k << 8 | h for s, k, h in merged(runs)), np.int64)
+            s, k, h = order >> 40, order >> 8 & 0xFFFFFFFF, order & 0xFF
+            del runs
+            at = np.cumsum([0, *map(len, keys)])[s] + k
+            full, key, first = np.concatenate(full), np.concatenate(keys)[at], np.concatenate(firsts)[at].astype(np.int64)
+            head = np.flatnonzero(np.r_[True, h[1:] < GRAM])  # where another anchor begins
+            many = np.diff(np.r_[head, len(s)])
+            alike = np.minimum.reduceat(np.where(h < GRAM, WIDTH, h), head) == WIDTH
+            # contexts that are all equal: those of later documents go whole
+            least = np.repeat(np.where(alike, np.minimum.reduceat(key, head), LAST), many)
+            late = np.flatnonzero(key > least)
+            out = [(s[late], first[late], first[late] + full[at[late], -2:].sum(axis=1, dtype=np.int64) - REACH)]
+            mixed = np.flatnonzero(np.repeat(~alike, many))
+            group = np.repeat(np.arange(len(head)), many)[mixed]
+            edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+            cuts = edges[np.minimum(np.searchsorted(edges, np.arange(1 << 14, len(mixed), 1 << 14)), len(edges) - 1)] if len(edges) else []
+            for part in np.split(np.arange(len(mixed)), np.unique(cuts)):
+                if len(part):
+                    own = mixed[part]
+                    row, a, b = _cuts(full[at[own]], group[part], key[own])
+                    out.append((s[own[row]], first[own[row]] + a, first[own[row]] + b))
+            run, a, b = (np.concatenate(x) for x in zip(*out))
+            for i in np.unique(run).tolist():
+                gone.setdefault(bids[i], []).append((a[run == i].astype(np.uint32), b[run == i].astype(np.uint32)))
         if gone:
             yield pa.RecordBatch.from_arrays([pa.array(list(gone), pa.int64()), *(pa.array([_squeeze(np.concatenate([x[c] for x in v])) for v in gone.values()], pa.binary()) for c in (0, 1))], ["bid", "a", "b"])
 
@@ -394,12 +418,12 @@ def _kept(texts: bool):
 def _removals(blocks: DataFrame, radixes: int, parts: int, hot: int) -> DataFrame:
     """(bid, a, b): first and last windows to remove of each block, written to the shared folder."""
     prints = blocks.select("bid", "keys", "off", "data").mapInArrow(_send_prints(radixes), "radix long, bid long, low binary, count binary")
-    judged = prints.repartition(radixes, "radix").sortWithinPartitions("radix").mapInArrow(_judge_prints(hot), "bid long, radix long, verdict binary")
+    judged = prints.repartitionById(radixes, F.col("radix").cast("int")).sortWithinPartitions("radix").mapInArrow(_judge_prints(hot), "bid long, radix long, verdict binary")
     verdicts = judged.groupBy("bid").agg(F.collect_list(F.struct("radix", "verdict")).alias("verdicts")).withColumnRenamed("bid", "b")
     # a block's verdicts and removals are bounded by the block
     told = blocks.join(verdicts, F.col("bid") == F.col("b")).select("bid", "keys", "off", "data", "verdicts")
     runs = told.mapInArrow(_runs(radixes, parts), "part long, bid long, lcp binary, tails binary, keys binary, firsts binary")
-    return saved(runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "bid long, a binary, b binary"), "removals")
+    return saved(runs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(_merge, "bid long, a binary, b binary"), "removals")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
