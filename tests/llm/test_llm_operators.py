@@ -437,3 +437,65 @@ def test_same_as_sql(spark, con, name):
     names = [x[0] for x in res.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, res.fetchall()))
+
+
+def test_many_texts_under_the_threshold(spark, monkeypatch):
+    """A group of texts alike by about 82 per cent, their origin not among them: hardly any pair is a link, and pairs that are none are no rows."""
+    draw = random.Random(11)
+    base = [f"b{i}" for i in range(600)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for p in draw.sample(range(2, 600, 5), 6):
+            w[p] = f"own{i}x{p}"
+        rows.append((i, " ".join(w), "en", "a"))
+    own = {r[0]: shingles(r[1]) for r in rows}
+    links = [(a, b) for a, b in itertools.combinations(own, 2) if 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])]
+    near = sum(100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]) for a, b in itertools.combinations(range(0, 400, 10), 2))
+    assert near > 700 and 20 < len(links) < 600
+    root = {i: i for i in own}
+    for _ in own:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    counts = {}
+
+    def saved(df, tag):
+        out = common.saved(df, tag)
+        counts[tag] = counts.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", saved)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == root
+    assert counts["cross"] <= 1000  # of 79,800 pairs
+
+
+def test_toxicity_scores_as_brute_force():
+    texts = ["the bad cat", "BAD, bad! worse2worst", "", None, "ééa " * 50, "x " * 9000]
+    draw = np.random.default_rng(3)
+    model = toxicity.Model(draw.normal(size=1 << 10).astype(np.float32), np.array([0.5, 1.5]))
+    severity, p = toxicity.scorer(model)(pa.array(texts))
+    for i, text in enumerate(texts):
+        found = set()
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+            word = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+            for own in (None, 4, 5, 6):
+                h = common.words(np.frombuffer(word[:own], np.uint8), np.array([0, len(word[:own])]), letters=True)[0][0]
+                found.add(int((h ^ np.uint64(own or 0)) >> np.uint64(54)))
+        at_least = 1 / (1 + np.exp(-(sum(float(model.weights[c]) for c in found) - model.thresholds))) if found else np.zeros(2)
+        assert abs(severity[i] - at_least.sum()) < 1e-6 and abs(p[i] - at_least[0]) < 1e-6
+
+
+def test_language_scores_as_brute_force():
+    texts = ["the cat sat", "Der Hund", "", "a", "été 12 là-bas", "x" * 3000]
+    draw = np.random.default_rng(5)
+    model = langid.Model(["a", "b", "c"], draw.normal(size=(1 << 12, 3)), draw.normal(size=3), 0.7, 0.0)
+    got = model.probabilities(*langid.subwords(pa.array(texts), 12))
+    for text, p in zip(texts, got):
+        plain = re.sub(rb"[^A-Za-z\x80-\xff]", b" ", text.encode()).lower()
+        grams = plain.split()
+        for g in (2, 3, 4):
+            grams += [plain[i : i + g] + bytes([g]) for i in range(len(plain) - g + 1) if (plain[i + 1] != 32 if g > 2 else plain[i : i + 2] != b"  ")]
+        assert len(grams) == len(langid.subwords(pa.array([text]), 12)[0])
+        alone = model.probabilities(*langid.subwords(pa.array([text]), 12))[0]
+        assert np.allclose(p, alone) and abs(p.sum() - 1) < 1e-9

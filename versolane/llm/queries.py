@@ -138,10 +138,26 @@ hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT doc_id) AS pages F
 often AS (SELECT host, x FROM t JOIN hosts USING (host) WHERE x <> '' GROUP BY host, x, pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) * 100 > pages * 5),
 rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM t ANTI JOIN often USING (host, x) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
-SELECT d.doc_id, d.source, n.n::BIGINT AS n_lines, (n.n - coalesce(rest.n, 0))::BIGINT AS n_dropped, coalesce(rest.text, '') AS text
+SELECT d.doc_id, d.source, (CASE WHEN d.text IS NULL THEN 0 ELSE n.n END)::BIGINT AS n_lines, (CASE WHEN d.text IS NULL THEN 0 ELSE n.n - coalesce(rest.n, 0) END)::BIGINT AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(rest.text, '') END AS text
 FROM documents d JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
 
 
+#: Equal words on every diagonal of a document and a test item; a diagonal counts if some 12 places in a row, or all of a shorter item, hold 80 per cent of equal words.
+OP7 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+d AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS p FROM dw),
+i AS (SELECT item_id, len(w) AS m, unnest(w) AS w, unnest(range(len(w))) AS k FROM iw),
+same AS (SELECT doc_id, item_id, p - k AS diagonal, p, n, m, least(12, m) AS size FROM d JOIN i USING (w)),
+enough AS (SELECT * FROM same WHERE least(n, diagonal + m) - greatest(0, diagonal) >= size QUALIFY 100 * count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= 80 * size),
+run AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS near FROM enough),
+pairs AS (SELECT doc_id, item_id, diagonal, count(*) AS equal_words FROM run GROUP BY ALL HAVING max(100 * least(near, size) >= 80 * size)),
+found AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(equal_words) AS n_equal FROM pairs GROUP BY doc_id)
+SELECT doc_id, coalesce(len(items), 0)::BIGINT AS n_items, coalesce(items, []) AS items, coalesce(n_equal, 0)::BIGINT AS n_equal, items IS NOT NULL AS contaminated, items IS NULL AS kept
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jump_sharding": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op9_quality_rules": OP9}
+    return {"op1_jump_sharding": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_quality_rules": OP9}
