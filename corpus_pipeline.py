@@ -24,9 +24,10 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def boilerplate_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: lines that many documents of their source hold are cut out; n_chars follows the text. Every document stays."""
-    cut = line_dedup.drop_boilerplate(docs)
+    aside = {c: f"__{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}  # the operator's own columns have these names
+    cut = line_dedup.drop_boilerplate(docs.withColumnsRenamed(aside))
     length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cut.select(*[length.alias(c) if c == "n_chars" else F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
