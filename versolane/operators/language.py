@@ -38,8 +38,8 @@ def detection_requests(samples: DataFrame, jobs: DataFrame, providers: DataFrame
 
 def score(text: Column) -> Column:
     """The language whose function words are most frequent in the text; ties go to the greater code; without any, Unknown."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+"), F.lit(0))
-    count = lambda own: F.size(F.filter(found, lambda w: w.isin(*own)))
-    hits = [F.struct(count(own).alias("n"), F.lit(code).alias("code")) for code, own in PROFILE.items()]
-    best = F.array_max(F.array(*hits))
-    return F.when(F.coalesce(best["n"], F.lit(0)) > 0, best["code"]).otherwise("Unknown")
+    count = lambda low, own: F.regexp_count(low, F.lit(f"(?<!\\p{{L}})(?:{'|'.join(own)})(?!\\p{{L}})"))
+    best = lambda low: F.array_max(F.array(*[F.struct(count(low, own).alias("n"), F.lit(code).alias("code")) for code, own in PROFILE.items()]))
+    named = lambda b: F.when(F.coalesce(b["n"], F.lit(0)) > 0, b["code"]).otherwise("Unknown")
+    # as one-element arrays, the lower-cased text and the best language are worked out once
+    return F.element_at(F.transform(F.transform(F.array(F.lower(text)), best), named), 1)
