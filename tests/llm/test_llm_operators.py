@@ -97,6 +97,18 @@ def test_slots_are_gapless(spark):
     assert all(r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) and r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 for r in got)
 
 
+def test_rows_are_written_to_their_shards(spark, tmp_path):
+    df = frame(spark, odd_rows() * 3)
+    sharding.write(df, str(tmp_path / "out"), shards=3)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["kept"]) for r in got))) == sorted(map(repr, ((r["doc_id"], r["text"], r["kept"]) for r in df.collect())))
+    want = {(r["doc_id"], r["slot"]): r["shard"] for r in sharding.shard(df, shards=3).collect()}
+    assert {r["shard"] for r in got} == set(want.values()) and len({(r["shard"], r["slot"]) for r in got}) == len(got)
+    assert {(r["doc_id"], r["shard"]) for r in got} == {(k, v) for (k, _), v in want.items()}
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def shingles(text, k=5):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -171,6 +183,14 @@ def test_quality_rules(spark):
     assert not got[105]["base_failed"] and not got[105]["kept"] and got[105]["n_lost_words"] == 70
 
 
+def test_frequent_lines_are_cut_from_kept_texts(spark):
+    own = " ".join(f"u{i}" for i in range(60))
+    rows = [(i, f"Menu  of the\n\n{own} v{i}\n menu of THE \nlast {i}", "en", "z") for i in range(12)] + [(50, own, "en", "y"), (51, None, "en", "z"), (52, "few", "en", "z")]
+    got = {r["doc_id"]: r for r in quality.cleaned(frame(spark, rows)).collect()}
+    assert all(got[i]["cleaned"] == f"\n{own} v{i}\nlast {i}" and got[i]["n_lost_words"] == 6 for i in range(12))
+    assert got[50]["cleaned"] == own and got[51]["cleaned"] is None and got[52]["cleaned"] is None
+
+
 def test_copies_of_a_text_keep_their_lines(spark):
     body = "\n".join(" ".join(f"b{i}x{j}" for j in range(20)) for i in range(5))
     rows = [(i, body, "en", "a") for i in range(40)] + [(100 + i, f"menu of the site\nown line {i} " + " ".join(f"o{i}x{j}" for j in range(60)), "en", "a") for i in range(40)]

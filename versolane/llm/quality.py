@@ -25,7 +25,7 @@ def word_array(text: Column) -> Column:
 
 
 def base(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the lines that hold a word. Null text: zeros."""
+    """key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the text as t and its lines that hold a word. Null text: zeros."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), t.alias("t"))
     rows = rows.select("key", "host", "t", word_array(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: solid(x) != "").alias("lines"))
@@ -43,40 +43,53 @@ def base(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "so
     gaps = F.zip_with(F.col("at"), F.slice(F.col("at"), 2, k), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     repeat = F.when(k > 0, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long"))
     return rows.select(
-        "key", "host", "lines", "n_words", F.length(solid(F.col("t"))).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "key", "host", "t", "lines", "n_words", F.length(solid(F.col("t"))).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
     )
 
 
-def normal(line: Column) -> Column:
-    """A line as it is compared: A-Z as a-z, runs of white space as one space, none at the ends."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_join(word_array(low), " ")
+def lower(line: Column | str) -> Column:
+    """A-Z as a-z, nothing else."""
+    return F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, line_docs: int = 10, line_percent: int = 5, depleted_percent: int = 50) -> DataFrame:
-    """One row per row of df: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words.
+def name(words: Column) -> Column:
+    """A line as it is compared: by the hash of its words with one space between them."""
+    return F.xxhash64(F.array_join(words, " "))
+
+
+def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, line_docs: int = 10, line_percent: int = 5, depleted_percent: int = 50) -> DataFrame:
+    """One row per row of df: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words, cleaned.
 
     A line is frequent on a host if at least `line_docs` of the host's distinct texts and over `line_percent` per cent of them hold it.
     Copies of one text are one text, so they don't make each other's lines frequent.
     A document is depleted, and rejected, if over `depleted_percent` per cent of its words stand in frequent lines.
+    cleaned is the text without its frequent lines, the other lines as they were and in order; null if the document is rejected.
     Repeated windows are found by 64-bit hashes within a text. Null hosts are one host of their own. Null and empty texts have no words and fail the base rule. Each row
-    of a repeated key is returned, with the words that all of them lose. Null keys are one such key.
+    of a repeated key is returned, with the lines that all of them lose. Null keys are one such key.
     Only key, text and host are read, whatever other columns are called. An empty table gives an empty result.
     """
     rows = base(df, key, text, host)
     page = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     held = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), page.alias("page"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    held = held.select("key", "host", "page", word_array(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("w")).where(F.size("w") > 0)
-    held = held.select("key", "host", "page", F.xxhash64(F.array_join("w", " ")).alias("line"), F.size("w").cast("long").alias("words"))
+    held = held.select("key", "host", "page", word_array(lower("line")).alias("w")).where(F.size("w") > 0)
+    held = held.select("key", "host", "page", name(F.col("w")).alias("line"), F.size("w").cast("long").alias("words"))
     held = saved(held.groupBy("key", "host", "page", "line").agg(F.sum("words").alias("words")), "lines")  # read twice, made once
     docs = df.select(F.coalesce(F.col(host), F.lit("")).alias("host"), page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     often = held.select("host", "page", "line").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
     often = often.join(docs, "host").where(F.col("n") * 100 > F.col("docs") * line_percent).select("host", "line")
-    lost = held.join(often, ["host", "line"]).groupBy(F.col("key").alias("k")).agg(F.sum("words").alias("lost"))
+    # a document's list is no longer than its lines; without `cleaned` it is not made
+    lost = held.join(often, ["host", "line"]).groupBy(F.col("key").alias("k")).agg(F.sum("words").alias("lost"), F.collect_set("line").alias("drops"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     out = rows.join(lost, F.col("key").eqNullSafe(F.col("k")), "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
+    kept = ~failed & (F.col("lost") * 100 <= F.col("n_words") * depleted_percent)
+    rest = F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("drops", name(word_array(lower(x))))), "\n")
     return out.select(
         F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("lost") * 100 <= F.col("n_words") * depleted_percent)).alias("kept"), F.col("lost").alias("n_lost_words"),
+        kept.alias("kept"), F.col("lost").alias("n_lost_words"), F.when(kept, F.when(F.col("drops").isNull(), F.col("t")).otherwise(rest)).alias("cleaned"),
     )
+
+
+def quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits: int) -> DataFrame:
+    """The verdicts of `cleaned`, without its texts."""
+    return cleaned(df, key, text, host, **limits).drop("cleaned")

@@ -53,24 +53,37 @@ def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(hi, F.lit(buckets)).cast("int")
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1024) -> DataFrame:
-    """One row per row of df: key, size, text_crc32, law, shard, slot, grown_shard.
+OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def placed(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1024) -> DataFrame:
+    """df's rows, whole, with where they go: size, text_crc32, law, shard, slot, grown_shard. `write` puts them there.
 
     Slots number a shard's rows without gaps from 0. No shard is sorted as a whole: rows are numbered within
     (shard, bucket), and `shards * buckets` counts, at most that many rows, give where each bucket starts.
     Null text: size 1, crc 0. Null keys hash as 0. Repeated rows each get a slot; which gets which is open.
-    Other columns of df are not read, whatever their names. An empty table gives an empty result.
+    Columns of df that have one of the names above are replaced; the others pass through. Those that nobody selects are not read or moved. An empty table gives an empty result.
     """
     bytes_ = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = df.select(F.col(key).alias("key"), (F.octet_length(bytes_).cast("long") + 1).alias("size"), F.crc32(bytes_).alias("crc"))
-    rows = rows.select("*", jump(F.col("key"), shards).alias("at"), bucket(F.col("key"), buckets).alias("bucket"))
-    rows = rows.select("key", "size", "crc", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown"), "bucket")
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("key", "crc")
-    return (
-        rows.withColumn("rank", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "bucket"])  # shards * buckets rows at most
-        .select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.col("grown").alias("grown_shard"))
-    )
+    kept = [c for c in df.columns if c.lower() not in OWN]
+    rows = df.select(*kept, F.col(key).alias("__key"), (F.octet_length(bytes_).cast("long") + 1).alias("size"), F.crc32(bytes_).alias("text_crc32"))
+    rows = rows.select("*", jump(F.col("__key"), shards).alias("__at"), bucket(F.col("__key"), buckets).alias("__bucket"))
+    rows = rows.select(*kept, "__key", "size", "text_crc32", F.col("__at.shard").alias("shard"), F.col("__at.grown").alias("grown_shard"), "__bucket")
+    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("shard", "__bucket").orderBy("__key", "text_crc32")
+    slot = (F.col("__start") + F.col("__rank") - 1).cast("long")
+    rows = rows.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "__bucket"])  # shards * buckets rows at most
+    return rows.select(*kept, "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
+
+
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1024) -> DataFrame:
+    """The digest of `placed`, one row per row of df: key, size, text_crc32, law, shard, slot, grown_shard. Only key and text are read."""
+    return placed(df.select(F.col(key).alias("__id"), F.col(text).alias("__text")), "__id", "__text", shards, buckets).select(F.col("__id").alias(key), *OWN)
+
+
+def write(df: DataFrame, out: str, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1024, **parquet: str) -> None:
+    """df's rows under out/shard=N, by slot within a file. A shard is dealt over tasks by ranges of slots, so a large one is no large task."""
+    rows = placed(df, key, text, shards, buckets)
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.options(**parquet).partitionBy("shard").parquet(out)
