@@ -6,9 +6,7 @@ so that rows hashed by different executors meet.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,19 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+#: Spark's own switch: the shuffle files of a query go when the query ends, on all executors.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df written as a table into the shared folder and read again: lineage ends there, and any executor can read it."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def let_go(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more; else they stay until the driver's JVM happens to collect."""
-    for _ in range(2):  # the first round frees what holds the plans, the second the shuffles they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    """df written as a table into the shared folder and read again: lineage ends there, and any executor can read it.
+
+    Nothing reads the write's shuffle files again, so they are removed when it ends; a lost executor's tasks can still be run again until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 18) -> Iterator[pa.RecordBatch]:

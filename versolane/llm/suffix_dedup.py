@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTES, _powers, let_go, mix, offsets, saved, slices
+from .common import BASE, BYTES, _powers, mix, offsets, saved, slices
 
 SPAN, GRAM = 50, 24
 REACH = SPAN - GRAM  # bytes on either side of the anchor's GRAM that a window can have
@@ -439,7 +439,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", texts
     total = blocks.agg(F.sum("size")).first()[0] or 0
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gone = _removals(blocks, max(width, total >> 24), max(width, total >> 23), hot)  # about a million hashes a radix, 200,000 suffixes a part
-    let_go(df.sparkSession)
     gone = gone.groupBy("bid").agg(F.collect_list(F.struct("a", "b")).alias("gone")).withColumnRenamed("bid", "g")
     last = blocks.join(gone, F.col("bid") == F.col("g"), "left").select("bid", "keys", "off", "data", "gone")
     out = last.mapInArrow(_kept(texts), f"key long, n_bytes long, n_removed long, n_spans long, {'kept binary' if texts else 'kept_sha256 string'}")
