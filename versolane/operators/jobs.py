@@ -10,11 +10,11 @@ from ..functions.text import EXTENSIONS, extension
 CAP = 104_857_600  # bytes
 
 
-def validated(manifest: DataFrame, models: DataFrame, providers: DataFrame) -> DataFrame:
+def validated(manifest: DataFrame, models: DataFrame, providers: DataFrame, *carry: str) -> DataFrame:
     """Each job with the provider its model belongs to, and the first rule that it breaks, null if none.
 
     Rules in order: a file name, a known extension, at most 100 MiB, two languages, a known model, an available provider.
-    Missing languages, provider and model take their defaults. The stated provider gives way to the model's.
+    Missing languages, provider and model take their defaults. The stated provider gives way to the model's. Columns named in `carry` go along.
     """
     rows = manifest.withColumns({"source_lang": F.coalesce("source_lang", F.lit("English")), "target_lang": F.coalesce("target_lang", F.lit("Italian")), "provider": F.coalesce("provider", F.lit("anthropic")), "model": F.coalesce("model", F.lit("claude-sonnet-4-20250514"))})
     own = models.select("model", F.col("provider").alias("own"))
@@ -28,7 +28,7 @@ def validated(manifest: DataFrame, models: DataFrame, providers: DataFrame) -> D
         .when(F.col("own").isNull(), "unknown model")
         .when(~F.coalesce("available", F.lit(False)), "provider not available")
     )
-    return rows.select("job_id", "original_filename", ext.alias("ext"), "source_lang", "target_lang", "model", F.coalesce("own", "provider").alias("provider"), error.alias("error"))
+    return rows.select("job_id", "original_filename", ext.alias("ext"), "source_lang", "target_lang", "model", F.coalesce("own", "provider").alias("provider"), error.alias("error"), *carry)
 
 
 def chapter_progress(units: DataFrame) -> DataFrame:

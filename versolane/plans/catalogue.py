@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import analyze, html_blocks, jobs, language, layout, segment, translate
-from ..sources import catalog, epub, views
+from ..sources import books, catalog, epub, views
 from ..streaming import jobs as live
 from .oracle import ORACLE
 
@@ -262,6 +262,37 @@ def ingest_stream(s: SparkSession, d: str) -> DataFrame:
     return s.read.option("recursiveFileLookup", "true").parquet(out)
 
 
+def upload_stream(s: SparkSession, d: str) -> DataFrame:
+    """Documents as uploads that arrive: each batch is validated, and what is valid is analysed."""
+    out = live.shared(s, "uploads")
+    held = s.read.parquet(f"{d}/documents.parquet").schema
+
+    def work(batch: DataFrame, number: int) -> None:
+        live.accepted(views.as_manifest(batch, "text"), catalog.models(s), catalog.providers(s)).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    live.ingest(s, f"{d}/documents.parquet*", held, work)
+    return s.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+def job_eviction_stream(s: SparkSession, d: str) -> DataFrame:
+    return live.evicted(s, d).select("job_id", *[F.unix_micros(c).alias(c) for c in ("first_ts", "last_ts")], "events")
+
+
+def job_download(s: SparkSession, d: str) -> DataFrame:
+    """Lookups where only the jobs of files with a name still have an output."""
+    asked = views.manifest(s, d)
+    rows = jobs.lookup(asked.select("job_id"), jobs.status(views.job_events(s, d)), asked.where("original_filename <> ''").select("job_id"))
+    return rows.select("job_id", F.col("code").cast("long").alias("code"))
+
+
+def publish_books(s: SparkSession, d: str) -> DataFrame:
+    """Every chapter written under its book and read again."""
+    out = live.shared(s, "books")
+    target = F.element_at(F.array(*map(F.lit, ("Italian", "English", "Spanish"))), (F.length("book_id") % 3 + 1).cast("int"))
+    books.write(views.chapters(s, d).withColumn("target_lang", target), out)
+    return books.read(s, out).select("book_id", F.col("doc_idx").cast("long").alias("doc_idx"), "name", "language", F.md5("html").alias("html_md5"))
+
+
 def html_block_rows(s: SparkSession, d: str) -> DataFrame:
     return html_blocks.blocks(views.read(s, d, "pages")).select("page_id", "block_no", "tag", "pre", "post", "inner_html")
 
@@ -294,7 +325,7 @@ _ALL = (
     src_chapters, src_pages, html_text, chapter_names, chapter_gate, word_char_counts, token_estimate, token_estimate_scaled, filter_translatable, filter_sendable, file_allowlist, output_naming, model_catalog,
     job_validation, analyze_books, analyze_paged, analyze_all, analysis_json, cost_by_model, chunk_paragraphs, chunk_context, reassemble_text, layout_block_text, layout_groups, layout_style, layout_group_style, prompt_requests,
     response_clean, translate_units, translate_attempts, failure_fallback, lang_sample, detect_requests, lang_answer_clean, lang_detect, progress_chapters, progress_pages, job_status, job_lookup, job_status_stream,
-    job_state_ttl, ingest_stream, html_leaf_blocks, reassemble_html, read_epub_chapters,
+    job_state_ttl, job_eviction_stream, job_download, ingest_stream, upload_stream, publish_books, html_leaf_blocks, reassemble_html, read_epub_chapters,
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import language, translate
@@ -13,9 +15,12 @@ def q(text: str) -> str:
 
 
 SPACE = T.SPACE
-trim = lambda x: f"regexp_replace({x}, {q(T.EDGES)}, '', 'g')"
+#: What Python calls white space, digits and ASCII punctuation, character by character: the SQL shares no pattern with the code.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+SILENT = WHITE + string.punctuation + "".join(c for c in map(chr, range(0x110000)) if c.isdigit())
+trim = lambda x: f"trim({x}, {q(WHITE)})"
 letter = lambda x: f"regexp_matches({x}, '\\p{{L}}')"
-sendable = lambda x: f"NOT regexp_matches({x}, {q(T.silent_pattern())})"
+sendable = lambda x: f"CASE WHEN regexp_matches({x}, '[A-Za-z]') THEN true ELSE length(trim({x}, {q(SILENT)})) > 0 END"
 tokens = lambda n: f"CASE WHEN {n} = 0 THEN 0 ELSE greatest(1, {n} // 4) END"
 scaled = lambda n: f"(CASE WHEN {n} > 50000 THEN floor(12500.0::DOUBLE * ({n} / 50000.0::DOUBLE)) ELSE {tokens(n)} END)::BIGINT"
 words = lambda x: f"len(regexp_extract_all({x}, {q(f'[^{SPACE}]+')}))::BIGINT"
@@ -166,7 +171,8 @@ PROMPT_MODEL = f"[{', '.join(q(m[0]) for m in catalog.MODELS)}][(text_id % {len(
 ORACLE: dict[str, str] = {
     "src_chapters": f"WITH {CHAPTERS} SELECT book_id, doc_idx, name, length(html) AS n FROM chapters",
     "src_pages": f"WITH {PAGED} SELECT book_id, page_no, text FROM paged",
-    "html_text": f"SELECT page_id, {plain('html')} AS text FROM pages",
+    "html_text": f"""WITH RECURSIVE {TREE}, x AS (SELECT page_id, i, {trim(unescape('tok'))} AS x FROM walk JOIN p USING (page_id, i) WHERE kind = 'text' AND NOT regexp_matches(tok, '(?is)^<[!?].*>$') AND NOT list_has_any(tags, {among(H.SKIP)}))
+SELECT pages.page_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS text FROM pages LEFT JOIN x USING (page_id) GROUP BY pages.page_id""",
     "chapter_names": f"WITH {CHAPTERS} SELECT book_id, doc_idx, {heading('html', 'name')} AS title FROM chapters",
     "chapter_gate": f"SELECT page_id, {letter(f'left({plain("html")}, 1000)')} AS translated FROM pages",
     "word_char_counts": f"SELECT doc_id, length(text) AS chars, {words('text')} AS words FROM documents",
@@ -224,6 +230,15 @@ SELECT book_id, doc_idx, block_no, round(CASE WHEN block_no IS NULL THEN (doc_id
     "job_status_stream": f"WITH {EVENTS} SELECT * FROM state",
     "job_state_ttl": """WITH g AS (SELECT user_id AS job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS events FROM s GROUP BY job_id, k""",
+    "job_eviction_stream": """WITH g AS (SELECT user_id AS job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS events FROM s GROUP BY job_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "job_download": f"WITH {EVENTS} SELECT d.doc_id AS job_id, (CASE WHEN status IS NULL THEN 404 WHEN status <> 'completed' THEN 400 WHEN d.doc_id % 11 = 0 THEN 404 ELSE 200 END)::BIGINT AS code FROM documents d LEFT JOIN state ON state.job_id = d.doc_id",
+    "upload_stream": f"""WITH {MODELS}, {MANIFEST}, j AS (SELECT j.*, d.text, m.provider AS own, CASE WHEN contains(original_filename, '.') THEN lower(regexp_extract(original_filename, '([^.]*)$', 1)) ELSE '' END AS ext FROM manifest j JOIN documents d ON d.doc_id = j.job_id LEFT JOIN models m ON m.model = j.model),
+e AS (SELECT *, CASE WHEN original_filename = '' THEN 'no file name' WHEN ext NOT IN ('epub', 'pdf') THEN 'bad extension' WHEN length > 104857600 THEN 'too large' WHEN source_lang = target_lang THEN 'same language'
+  WHEN own IS NULL THEN 'unknown model' WHEN own <> 'openai' THEN 'provider not available' END AS error FROM j)
+SELECT job_id, ext, coalesce(own, provider) AS provider, error, CASE WHEN error IS NULL THEN coalesce(length(text), 0) END AS chars, CASE WHEN error IS NULL THEN {words('text')} END AS words, CASE WHEN error IS NULL THEN ({tokens('length(text)')})::BIGINT END AS tokens FROM e""",
+    "publish_books": f"WITH {CHAPTERS} SELECT book_id, doc_idx, name, ['it', 'en', 'sp'][length(book_id) % 3 + 1] AS language, md5(html) AS html_md5 FROM chapters",
     "ingest_stream": f"SELECT doc_id, {letter('text')} AS translatable, ({tokens('length(text)')})::BIGINT AS tokens FROM documents",
     "read_epub_chapters": "SELECT 'book-' || (page_id // 8) || '.epub' AS path, row_number() OVER (PARTITION BY page_id // 8 ORDER BY page_id DESC) - 1 AS doc_idx, 'page%20' || page_id || '.xhtml' AS name, md5(html) AS html_md5 FROM pages",
 }

@@ -74,17 +74,21 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(job_id, original_filename, length, source_lang, target_lang, provider, model): one job for each document."""
+    return as_manifest(read(spark, sf_dir, "documents"))
+
+
+def as_manifest(documents: DataFrame, *carry: str) -> DataFrame:
+    """(job_id, original_filename, length, source_lang, target_lang, provider, model): one job for each document, streamed or not. Columns named in `carry` go along."""
     from .catalog import MODELS
 
     doc = F.col("doc_id")
     suffix = F.element_at(F.array(*map(F.lit, (".epub", ".epub", ".epub", ".PDF", ".PDF", ".txt", ""))), (doc % 7 + 1).cast("int"))
     names = F.array(*[F.lit(m[0]) for m in MODELS], F.lit("no-such-model"))
-    return read(spark, sf_dir, "documents").select(
+    return documents.select(
         doc.alias("job_id"), F.when(doc % 11 == 0, "").otherwise(F.concat(F.lit("Doc."), doc.cast("string"), suffix)).alias("original_filename"), F.col("n_chars").alias("length"),
         F.element_at(F.create_map(*map(F.lit, ("en", "English", "fr", "French", "de", "German", "es", "Spanish"))), F.col("lang")).alias("source_lang"),
         F.element_at(F.array(*map(F.lit, ("Italian", "English", "Spanish"))), (doc % 3 + 1).cast("int")).alias("target_lang"),
-        F.when(doc % 2 == 0, "openai").otherwise("anthropic").alias("provider"), F.element_at(names, (F.floor(doc / 3) % 14 + 1).cast("int")).alias("model"),
+        F.when(doc % 2 == 0, "openai").otherwise("anthropic").alias("provider"), F.element_at(names, (F.floor(doc / 3) % 14 + 1).cast("int")).alias("model"), *carry,
     )
 
 

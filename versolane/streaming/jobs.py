@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.jobs import status
+from ..functions.text import token_estimate, word_count
+from ..operators.jobs import status, validated
 from ..sources.views import as_job_events
 
 
@@ -30,7 +31,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
     return as_job_events(source.parquet(f"{sf_dir}/events.parquet*"))
 
 
-def drained(stream: DataFrame, key: str, mode: str = "update") -> DataFrame:
+def drained(stream: DataFrame, *key: str, mode: str = "update") -> DataFrame:
     """Runs a stream over all that is there; each micro-batch is written as a table, and the last row of each key is returned."""
     spark = stream.sparkSession
     out = shared(spark, "stream")
@@ -40,8 +41,8 @@ def drained(stream: DataFrame, key: str, mode: str = "update") -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "batch").alias("r"))
-    return last.select(key, *[f"r.{c}" for c in rows.columns if c not in (key, "batch")])
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), "batch").alias("r"))
+    return last.select(*key, *[f"r.{c}" for c in rows.columns if c not in (*key, "batch")])
 
 
 def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,3 +60,19 @@ def ingest(spark: SparkSession, folder: str, schema, work: Callable[[DataFrame,
     """Hands each new batch of rows under `folder` to `work` once; files that were seen are not seen again."""
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder)
     source.writeStream.foreachBatch(work).option("checkpointLocation", offsets or shared(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+
+
+def evicted(spark: SparkSession, sf_dir: str, files_per_batch: int = 10_000) -> DataFrame:
+    """Sessions of jobs that the stream has closed and forgotten once it has caught up; those the watermark hasn't passed are still held.
+
+    The watermark moves between batches: files that arrive together are never late for each other.
+    """
+    return drained(silent_jobs(event_stream(spark, sf_dir, files_per_batch)), "job_id", "first_ts", mode="append")
+
+
+def accepted(uploads: DataFrame, models: DataFrame, providers: DataFrame) -> DataFrame:
+    """(job_id, ext, provider, error, chars, words, tokens) of a batch of uploads (a manifest with text): the first broken rule, and what a valid upload holds."""
+    rows = validated(uploads, models, providers, "text")
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    text = F.col("text")
+    return rows.select("job_id", "ext", "provider", "error", good(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("chars"), good(word_count(text)).alias("words"), good(token_estimate(text)).alias("tokens"))
