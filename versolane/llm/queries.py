@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_output, toxicity
+from . import decontaminate, exact_dedup, langid, line_dedup, near_dedup, packing, periodic_runs, quality, sharding, suffix_dedup, token_output, toxicity
 from .common import read, shared_dir
 
 
@@ -59,8 +60,31 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", tokenizer())
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of which repeat their own words in loops: with h the CRC-32 of the decimal doc_id and g = h / 10 (both whole), where h ends in 0,
+    words from place a = g mod n on run through the first p = 1 + (n - a) / (3 + g mod 8) of them over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
+    rows = rows.withColumn("w", F.when(F.col("g").isNotNull(), F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))))
+    n = F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    turned = F.array_join(F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x)), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), turned).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped(read(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(*[x for c in ("start", "length", "period") for x in (r[c].cast("string"), F.lit("\n" if c == "period" else ","))])), "")
+    milli = F.floor(1000 * F.col("length") / F.col("period"))
+    return found.select("doc_id", "n_runs", "start", "length", "period", milli.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_token_output)}
+    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_token_output, op12_periodic_runs, op13_exact_dedup)}
 
 
 #: CRC-32 by its bytewise table, as a fold over the text's bytes; then the published jump loop as a recursion.
@@ -159,5 +183,12 @@ FROM documents LEFT JOIN found USING (doc_id)
 """
 
 
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jump_sharding": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_quality_rules": OP9}
+    return {"op1_jump_sharding": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_quality_rules": OP9, "op13_exact_dedup": OP13}
