@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, near_dedup, packing, periodic_runs, quality, sharding, suffix_dedup, token_output, toxicity
+from . import collocations, decontaminate, exact_dedup, langid, line_dedup, near_dedup, packing, periodic_runs, quality, sharding, suffix_dedup, token_output, toxicity
 from .common import read, shared_dir
 
 
@@ -60,6 +60,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", tokenizer())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """Documents, a tenth of which repeat their own words in loops: with h the CRC-32 of the decimal doc_id and g = h / 10 (both whole), where h ends in 0,
     words from place a = g mod n on run through the first p = 1 + (n - a) / (3 + g mod 8) of them over and over."""
@@ -84,7 +88,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_token_output, op12_periodic_runs, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_jump_sharding, op2_minhash_near_dedup, op3_line_dedup, op4_ordinal_toxicity, op5_language_id, op6_curve_packing, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_token_output, op11_collocations, op12_periodic_runs, op13_exact_dedup)}
 
 
 #: CRC-32 by its bytewise table, as a fold over the text's bytes; then the published jump loop as a recursion.
@@ -183,6 +187,48 @@ FROM documents LEFT JOIN found USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS words FROM w, range(1, 6) r(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, words, count(*) AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, words, n AS a FROM f WHERE m > 1 AND n >= 100),
+cuts AS (
+  SELECT c.lang, c.words, c.a, k, x.n AS l, y.n AS r, total.n AS n, ((1000::HUGEINT * c.a * total.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM c JOIN range(1, 5) r(k) ON k < c.m JOIN f x ON x.lang = c.lang AND x.words = c.words[:k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1:] JOIN total ON total.lang = c.lang),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+held AS (SELECT c.lang, c.words[i : i + s - 1] AS words, max(c.a) AS longer FROM c JOIN range(2, 5) q(s) ON s < c.m JOIN range(1, 5) r(i) ON i + s - 1 <= c.m GROUP BY ALL),
+kept AS (SELECT low.lang, array_to_string(low.words, ' ') AS phrase, a, l, r, n, score FROM low LEFT JOIN held ON held.lang = low.lang AND held.words = low.words WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+#: Equal words of a document at each distance, in islands; of runs with the same words the smallest distance is the period.
+OP12 = r"""
+WITH table_ AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [0::BIGINT,0,0,0,0,0,0,0]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+crc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM documents, table_),
+cut AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM crc),
+turned AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM cut),
+words AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i, len(w) AS n FROM turned),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM turned d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP13 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -191,4 +237,4 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jump_sharding": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_quality_rules": OP9, "op13_exact_dedup": OP13}
+    return {"op1_jump_sharding": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_quality_rules": OP9, "op11_collocations": OP11, "op12_periodic_runs": OP12, "op13_exact_dedup": OP13}
