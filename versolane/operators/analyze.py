@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import heading, plain_text
@@ -53,3 +55,47 @@ def priced(analysis: DataFrame, models: DataFrame, expansion: float = 1.0) -> Da
     tokens = F.col("estimated_tokens") / F.lit(1e6)
     rows = rows.select("book_id", "model", (tokens * F.col("input_cost")).alias("input_usd"), (tokens * F.lit(expansion) * F.col("output_cost")).alias("output_usd"))
     return rows.withColumn("total_usd", F.col("input_usd") + F.col("output_usd"))
+
+
+def heads(pieces: DataFrame, cap: int = 50_000, part: int = 512) -> DataFrame:
+    """(book_id, head, length) of (book_id, idx, piece): the first `cap` characters of a book's pieces put together in order, and the length of all.
+
+    Lengths by part of a book say where each part begins; text moves only for pieces that reach into the head. No task holds a book.
+    """
+    rows = pieces.select("book_id", F.floor(F.col("idx") / part).alias("part"), "idx", "piece").where(F.length("piece") > 0)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("book_id", "part").agg(F.sum(F.length("piece")).alias("n"))
+    parts = parts.select(F.col("book_id").alias("b"), F.col("part").alias("p"), "n", F.coalesce(F.sum("n").over(before.partitionBy("book_id")), F.lit(0)).alias("start"))
+    near = rows.join(parts.where(F.col("start") < cap), F.col("book_id").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
+    inner = Window.partitionBy("book_id", "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum(F.length("piece")).over(inner), F.lit(0))
+    cut = near.select("book_id", "idx", at.alias("at"), "piece").where(F.col("at") < cap).select("book_id", "idx", F.left("piece", (F.lit(cap) - F.col("at")).cast("int")).alias("piece"))
+    head = cut.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", "piece"))).alias("all"))  # cap characters at most
+    total = parts.groupBy("b").agg(F.sum("n").alias("length"))
+    return head.select("book_id", F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("head")).join(total, F.col("book_id").eqNullSafe(F.col("b"))).drop("b")
+
+
+def encoded_estimate(pieces: DataFrame, count: Callable[[Column], Column], cap: int = 50_000) -> DataFrame:
+    """(book_id, estimated_tokens): tokens of a book's first `cap` characters by `count` (see `functions.text.token_counter`), scaled up to its length."""
+    rows = heads(pieces, cap).select("book_id", count(F.col("head")).alias("tokens"), "length")
+    return rows.select("book_id", F.when(F.col("length") > cap, F.floor(F.col("tokens") * (F.col("length") / F.lit(float(cap))))).otherwise(F.col("tokens")).cast("long").alias("estimated_tokens"))
+
+
+def chapter_pieces(chapters: DataFrame) -> DataFrame:
+    """(book_id, idx, piece): the texts of chapters that count, each with a line end."""
+    return chapter_texts(chapters).where(F.length(trim_ws(F.col("text"))) > 10).select("book_id", F.col("doc_idx").alias("idx"), F.concat("text", F.lit("\n")).alias("piece"))
+
+
+def page_pieces(pages: DataFrame) -> DataFrame:
+    """(book_id, idx, piece): the texts of pages (book_id, page_no, text) that hold any, each with a line end."""
+    return pages.where(F.length("text") > 0).select("book_id", F.col("page_no").alias("idx"), F.concat("text", F.lit("\n")).alias("piece"))
+
+
+def merged(partials: DataFrame, names: int = 30) -> DataFrame:
+    """The analysis of books that came in volumes: (book_id, volume) and the columns of `books`, one row for each volume, put together."""
+    rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.col("num_chapters") == 0, "volume"))
+    # the first volumes with any name hold all that are listed
+    some = partials.withColumn("c", F.when(rank <= names, F.struct("volume", "chapter_names")))
+    out = some.groupBy("book_id").agg(*[F.sum(c).alias(c) for c in ("total_chars", "total_words", "num_chapters")], F.array_sort(F.collect_list("c")).alias("c"))
+    listed = F.slice(F.flatten(F.transform("c", lambda x: x["chapter_names"])), 1, names)
+    return out.select("book_id", "total_chars", "total_words", "num_chapters", listed.alias("chapter_names"), scaled_estimate(F.col("total_chars") + F.col("num_chapters")).alias("estimated_tokens"))

@@ -10,12 +10,14 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_response, sendable
+from ..sources import shelf
 from ..sources.catalog import COMPLETION_CAP
+from . import batches
+from .batches import Batch
 
 Backend = Callable[[str, str], "str | None"]
 
@@ -72,9 +74,9 @@ def run_units(units: DataFrame, backend: Backend, scope: str = "seq_key", order:
     rows = units.select(scope, order, *carry, F.col(text).alias("text"), sendable(F.col(text)).alias("send"))
     rows = rows.repartition(scope).sortWithinPartitions(scope, order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, context = object(), ""
-        for batch in batches:
+        for batch in parts:
             answers = []
             for key, source, send in zip(batch[scope], batch["text"], batch["send"]):
                 if key != here:
@@ -92,33 +94,20 @@ def run_units(units: DataFrame, backend: Backend, scope: str = "seq_key", order:
     return out.select(scope, order, *carry, "text", done.alias("translated"), "attempts", "error")
 
 
-def stored(units: DataFrame, store: str, backend: Backend, scope: str = "seq_key", order: str = "pos", text: str = "text", **how) -> DataFrame:
-    """run_units, its rows written to the folder `store` and read from there: a plan that uses them never calls a backend twice.
+def stored(units: DataFrame, store: str, backend: Backend, scope: str = "seq_key", order: str = "pos", text: str = "text", settings: str = "", batch: Batch | None = None, **how) -> DataFrame:
+    """The units' translations, kept in the folder `store`: its newest version holds exactly these units, and a plan that reads it calls no backend.
 
-    A rerun over the same folder leaves out scopes that are finished: all their units are there, with the texts they have now, and none failed.
-    Of a scope that was run more than once the last run counts.
+    A request that was answered before, in this run or an earlier one, isn't sent again, even if the run that sent it failed: `batches` says how requests are told apart. `settings` names what else
+    answers depend on, such as model and languages; other settings ask anew. A failed unit is asked again, and those behind it if its answer changes their context.
+    `batch` is a backend that takes many requests a call; without it `backend` is called for each. A version appears whole or not at all.
     """
     spark = units.sparkSession
-    rows = units
-    try:
-        before = spark.read.parquet(store)
-    except AnalysisException:  # nothing there yet
-        before = None
-    turn = 0
-    if before is not None:
-        turn = (before.agg(F.max("turn")).first()[0] or 0) + 1
-        last = _last(before, scope).where("error IS NULL").select(F.col(scope).alias("s"), F.col(order).alias("o"), F.col("text").alias("t"))
-        same = units.join(last, (F.col(scope) == F.col("s")) & (F.col(order) == F.col("o")) & F.col(text).eqNullSafe(F.col("t")), "left")
-        open_ = same.where("s IS NULL").select(F.col(scope).alias("open")).distinct()
-        rows = units.join(open_, F.col(scope) == F.col("open"), "left_semi")
-    run_units(rows, backend, scope, order, text, **how).withColumn("turn", F.lit(turn)).write.mode("append").parquet(store)
-    return _last(spark.read.parquet(store), scope).drop("turn")
-
-
-def _last(rows: DataFrame, scope: str) -> DataFrame:
-    """Of each scope the rows of its last run."""
-    last = rows.groupBy(F.col(scope).alias("l")).agg(F.max("turn").alias("m"))
-    return rows.join(last, (F.col(scope) == F.col("l")) & (F.col("turn") == F.col("m")), "left_semi")
+    _, folder = shelf.latest(spark, store)
+    known = spark.read.parquet(folder).where("request IS NOT NULL AND error IS NULL").select(F.col(scope).cast("string").alias("scope"), F.col(order).cast("string").alias("place"), "request", "answer") if folder else None
+    done = batches.fresh(units, batch or batches.singly(backend), f"{store}/journal", scope=scope, order=order, text=text, settings=settings, known=known, **how)
+    kept = shelf.publish(done, store)
+    shelf.remove(spark, f"{store}/journal")  # the version holds its answers now
+    return kept
 
 
 def attempts_report(done: DataFrame) -> DataFrame:

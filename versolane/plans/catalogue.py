@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import analyze, html_blocks, jobs, language, layout, segment, translate
 from ..sources import books, catalog, epub, views
 from ..streaming import jobs as live
+from . import service
 from .oracle import ORACLE
 
 
@@ -211,7 +212,7 @@ def lang_answer_clean(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", T.clean_answer(answer).alias("language"))
 
 
-def lang_detect(s: SparkSession, d: str) -> DataFrame:
+def lang_function_words(s: SparkSession, d: str) -> DataFrame:
     return views.read(s, d, "documents").select("doc_id", language.score(F.col("text")).alias("language"))
 
 
@@ -324,14 +325,14 @@ def read_epub_chapters(s: SparkSession, d: str) -> DataFrame:
 _ALL = (
     src_chapters, src_pages, html_text, chapter_names, chapter_gate, word_char_counts, token_estimate, token_estimate_scaled, filter_translatable, filter_sendable, file_allowlist, output_naming, model_catalog,
     job_validation, analyze_books, analyze_paged, analyze_all, analysis_json, cost_by_model, chunk_paragraphs, chunk_context, reassemble_text, layout_block_text, layout_groups, layout_style, layout_group_style, prompt_requests,
-    response_clean, translate_units, translate_attempts, failure_fallback, lang_sample, detect_requests, lang_answer_clean, lang_detect, progress_chapters, progress_pages, job_status, job_lookup, job_status_stream,
+    response_clean, translate_units, translate_attempts, failure_fallback, lang_sample, detect_requests, lang_answer_clean, lang_function_words, progress_chapters, progress_pages, job_status, job_lookup, job_status_stream,
     job_state_ttl, job_eviction_stream, job_download, ingest_stream, upload_stream, publish_books, html_leaf_blocks, reassemble_html, read_epub_chapters,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL} | {"html_blocks": html_block_rows}
+    return {f.__name__: f for f in (*_ALL, *service.QUERIES)} | {"html_blocks": html_block_rows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | service.ORACLE

@@ -218,7 +218,7 @@ SELECT text_id, pos, u.model, m.provider, md5(replace(replace({q(translate.SYSTE
 r AS (SELECT job_id, sample, CASE WHEN job_id % 3 = 0 THEN 'openai' ELSE provider END AS provider, CASE WHEN job_id % 4 = 0 THEN model ELSE '' END AS model FROM s JOIN manifest USING (job_id))
 SELECT job_id, provider, coalesce(nullif(model, ''), CASE WHEN provider = 'anthropic' THEN {q(catalog.DETECTION['anthropic'])} ELSE {q(catalog.DETECTION['openai'])} END) AS model, md5({q(language.ASK)} || sample) AS prompt_md5 FROM r""",
     "lang_answer_clean": f"WITH {MANIFEST} SELECT job_id AS doc_id, CASE WHEN job_id % 4 = 3 THEN 'Unknown' ELSE source_lang END AS language FROM manifest",
-    "lang_detect": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents), p(code, w) AS (VALUES "
+    "lang_function_words": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents), p(code, w) AS (VALUES "
     + ", ".join(f"({q(c)}, {q(w)})" for c, own in language.PROFILE.items() for w in own)
     + "), n AS (SELECT doc_id, code, count(*) AS n FROM w JOIN p USING (w) GROUP BY ALL), b AS (SELECT doc_id, arg_max(code, (n, code)) AS language FROM n GROUP BY doc_id) SELECT d.doc_id, coalesce(language, 'Unknown') AS language FROM documents d LEFT JOIN b USING (doc_id)",
     "progress_chapters": f"""WITH {CHAPTERS}, c AS (SELECT book_id, doc_idx, CASE WHEN doc_idx % 5 = 4 THEN 0 ELSE len(list_filter({pieces('html', H.SKIP)}, lambda x: {letter('x')})) END AS n, count(*) OVER (PARTITION BY book_id)::DOUBLE AS d FROM chapters),

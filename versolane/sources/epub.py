@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 KINDS = ("application/xhtml+xml", "text/html")
@@ -41,6 +44,16 @@ def archive(names: list[str], pages: list[str]) -> bytes:
     return out.getvalue()
 
 
+def put(folder: str, name: str, content: bytes) -> None:
+    """Writes a file into a folder that workers share, whole or not at all. Any folder that pyarrow's file systems reach."""
+    files, base = fs.FileSystem.from_uri(folder) if re.match("[a-z0-9+]+:", folder) else (fs.LocalFileSystem(), folder)
+    files.create_dir(base, recursive=True)
+    draft = f"{base}/_{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as out:
+        out.write(content)
+    files.move(draft, f"{base}/{name}")
+
+
 def chapters(files: DataFrame, cap: int = 104_857_600) -> DataFrame:
     """(path, doc_idx, name, html, error) of files (path, length, content), as spark.read.format("binaryFile") gives them. Larger files give no row; what can't be read as a book gives one, with its error alone."""
 
