@@ -29,7 +29,9 @@ MARKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes(10 if c in MARKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of the pair filter: 16 MB in a worker, at most 2 million rows of 64 bits on their way there. Two bits a pair.
 FILTER_BITS = 27
-BATCH = 1 << 22
+BATCH = 1 << 21
+#: As many languages are sent to all workers; with more, their totals are joined by a shuffle.
+LANGUAGES = 10_000
 
 
 class _Text:
@@ -85,7 +87,7 @@ def pair_filter(texts: DataFrame, least: int) -> np.ndarray:
     often = texts.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     low, high = F.col("pair").bitwiseAND((1 << FILTER_BITS) - 1), F.shiftrightunsigned("pair", 64 - FILTER_BITS)
     cell = often.select(F.explode(F.array(low, high)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    got = cell.toArrow()  # 2 ** (FILTER_BITS - 6) rows at most, whatever the input
+    got = saved(cell, "pairs").toArrow()  # 2 ** (FILTER_BITS - 6) rows at most, whatever the input; once written, the pairs' shuffle files go
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
     out[np.asarray(got["cell"].combine_chunks())] = np.asarray(got["bits"].combine_chunks())
     return out.view(np.uint8)
@@ -115,7 +117,12 @@ def _windows(known):
             single = lead[:, 1] < 0
             often = np.bincount(lead[single, 0], minlength=len(text.words))
             one = np.flatnonzero(often)
-            more, times = np.unique(lead[~single], axis=0, return_counts=True) if not single.all() else (np.zeros((0, SIZE), np.int32), np.zeros(0, np.int64))
+            many = np.flatnonzero(~single)
+            same = lead[many, 0].astype(np.int64)
+            for k in range(1, SIZE):
+                _, same = np.unique(same * (len(text.words) + 1) + lead[many, k] + 1, return_inverse=True)
+            _, at, times = np.unique(same, return_index=True, return_counts=True)
+            more = lead[many[at]]
             words = pa.array(text.words, pa.binary()).cast(pa.string())
             empty = np.full(len(one), -1)
             columns = [np.concatenate([one if k == 0 else empty, more[:, k]]) for k in range(SIZE)]
@@ -154,6 +161,8 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     """
     sums = saved(counted(df, text, lang, least), "phrases")
     total = sums.where("size = 0").select(F.col("lang").alias("of"), F.col("n").alias("total"))
+    if total.limit(LANGUAGES + 1).count() <= LANGUAGES:
+        total = F.broadcast(total)  # a row for each language
     known = sums.where("size > 0").select("lang", F.array_join("words", " ").alias("part"), "n")
     phrases = sums.where("size > 1").select("lang", "size", "words", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"))
     cuts = phrases.select("lang", "phrase", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("words", 1, k), " ").alias("head"), F.array_join(F.slice("words", k + 1, F.col("size") - k), " ").alias("tail")))).alias("c")).select("lang", "phrase", "a", "c.*")
