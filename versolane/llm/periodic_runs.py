@@ -98,8 +98,9 @@ def stretches(ids: np.ndarray) -> list[tuple[int, int]]:
     for a, b, q in zip(begin.tolist(), end.tolist(), most.tolist()):
         if b - a >= 3:
             a, b = max(0, a - q), min(n, b + 2)
-            if out and a < out[-1][1]:
-                a, b = out[-1][0], max(b, out.pop()[1])
+            while out and a < out[-1][1]:  # a later stretch of long periods may reach back over several
+                c, d = out.pop()
+                a, b = min(a, c), max(b, d)
             out.append((a, b))
     return out
 
