@@ -43,6 +43,46 @@ def chapter_progress(units: DataFrame) -> DataFrame:
     return rows.select("book_id", "doc_idx", "block_no", F.when(F.col("block_no").isNull(), (F.col("doc_idx") + 1) / F.col("d")).otherwise(inside).alias("progress"))
 
 
+#: How every book ends: it is saved, then done.
+CLOSING = (("saving", 0.99, "Saving the book"), ("done", 1.0, "Done"))
+EMPTY = ("done", 1.0, "Done: nothing to translate")
+SHOWN = 60  # characters of an error that are shown
+
+
+def totals(units: DataFrame) -> DataFrame:
+    """(book_id, doc_idx, blocks, chapters, units) of (book_id, doc_idx, block_no): what a chapter and its book hold. A chapter that is skipped, or that failed, is one unit without block_no."""
+    each = units.groupBy("book_id", "doc_idx").agg(F.count("block_no").alias("blocks"), F.count("*").alias("n"))
+    book = each.groupBy(F.col("book_id").alias("b")).agg(F.count("*").alias("chapters"), F.sum("n").alias("units"))
+    return each.join(book, F.col("book_id").eqNullSafe(F.col("b"))).select("book_id", "doc_idx", "blocks", "chapters", "units")
+
+
+def placed(answers: DataFrame, held: DataFrame) -> DataFrame:
+    """Answers (book_id, doc_idx, block_no from 0, error), streamed or not, with where a job stands after each: step, progress, message.
+
+    A block stands within its chapter, under 0.99. A chapter that is skipped or has failed stands at its end, the failure with the start of its error.
+    """
+    rows = answers.join(held, ["book_id", "doc_idx"])
+    chapter = F.concat(F.lit("Chapter "), (F.col("doc_idx") + 1).cast("string"), F.lit("/"), F.col("chapters").cast("string"))
+    inside = F.least(F.col("doc_idx") / F.col("chapters") + (F.col("block_no") + 1) / F.greatest("blocks", F.lit(1)) / F.col("chapters"), F.lit(0.99))
+    failed, block = F.col("error").isNotNull(), F.col("block_no").isNotNull()
+    step = F.when(failed, "failed").when(block, "block").otherwise("skipped")
+    progress = F.when(failed | ~block, (F.col("doc_idx") + 1) / F.col("chapters")).otherwise(inside)
+    told = F.when(failed, F.concat(F.lit(" - failed: "), F.left("error", F.lit(SHOWN)))).when(block, F.concat(F.lit(" - block "), (F.col("block_no") + 1).cast("string"), F.lit("/"), F.col("blocks").cast("string"))).otherwise(F.lit(" - skipped, no text"))
+    return rows.select("book_id", "doc_idx", "block_no", step.alias("step"), progress.alias("progress"), F.concat(chapter, told).alias("message"), "units")
+
+
+def book_progress(answers: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(book_id, doc_idx, block_no, step, progress, message): `placed` for answers that are all there, with the rows that close each book. Books of `of` (book_id) without any unit are done at once."""
+    rows = placed(answers, totals(answers)).drop("units")
+    end = F.explode(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(progress).alias("progress"), F.lit(message).alias("message")) for step, progress, message in CLOSING])).alias("c")
+    closed = answers.select("book_id").distinct().select("book_id", end).select("book_id", "c.*")
+    if of is not None:
+        step, progress, message = EMPTY
+        empty = of.select("book_id").distinct().join(answers.select("book_id"), "book_id", "left_anti")
+        closed = closed.unionByName(empty.select("book_id", F.lit(step).alias("step"), F.lit(progress).alias("progress"), F.lit(message).alias("message")))
+    return rows.unionByName(closed, allowMissingColumns=True)
+
+
 def page_progress(groups: DataFrame, pages: DataFrame) -> DataFrame:
     """(book_id, page_no, gid, started, grouped, progress): a page's start, its start of translation, and where the job stands after each group."""
     total = pages.groupBy("book_id").agg(F.count("*").cast("double").alias("p"))

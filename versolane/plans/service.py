@@ -8,11 +8,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html as H
+from ..functions import sql
 from ..functions import text as T
-from ..operators import analyze, batches, detection, language, profiles, translate
-from ..sources import books, catalog, epub, views
+from ..operators import analyze, batches, detection, jobs, language, profiles, translate
+from ..sources import books, catalog, epub, epub_source, views
 from ..streaming import jobs as live
-from ..streaming import machine, uploads
+from ..streaming import machine, progress, uploads
 from . import oracle as O
 from .oracle import q
 
@@ -122,7 +124,54 @@ def publish_versions(s: SparkSession, d: str) -> DataFrame:
     return books.published(s, out).join(now, "book_id").select("book_id", F.col("doc_idx").cast("long").alias("doc_idx"), "name", "language", F.md5("html").alias("html_md5"), "renewed", "n_chapters")
 
 
-QUERIES = (job_machine, job_machine_stream, translate_batches, translate_stored, lang_ask, lang_detect, token_estimate_encoded, upload_books_stream, publish_versions)
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """A block for each text node with a letter, in order; every fifth chapter is skipped, every seventh fails."""
+    rows = views.chapters(s, d).select("book_id", "doc_idx", F.filter(H.pieces(F.col("html"), H.SKIP), lambda x: T.translatable(x)).alias("p"))
+    whole = (F.col("doc_idx") % 5 == 4) | (F.col("doc_idx") % 7 == 3)
+    rows = rows.withColumn("p", F.when(whole, F.array().cast("array<string>")).otherwise(F.col("p")))
+    error = F.when(F.col("doc_idx") % 7 == 3, F.concat(F.lit("no answer for "), F.col("book_id"), F.lit(" in any of three attempts, the last of them too late")))
+    return rows.select("book_id", "doc_idx", F.posexplode_outer("p").alias("block_no", "t"), error.alias("error")).select("book_id", "doc_idx", "block_no", "error")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("book_id", F.col("doc_idx").cast("long").alias("doc_idx"), F.col("block_no").cast("long").alias("block_no"), "step", F.round("progress", 9).alias("progress"), "message")
+
+
+def progress_books(s: SparkSession, d: str) -> DataFrame:
+    """Where each book stands after each unit, its closing rows, and a book without any chapter."""
+    of = views.chapters(s, d).select("book_id").union(s.createDataFrame([("nothing",)], "book_id string"))
+    return _shown(jobs.book_progress(_answers(s, d), of))
+
+
+def progress_stream(s: SparkSession, d: str) -> DataFrame:
+    """The rows of `progress_books` as answers are stored, in three micro-batches."""
+    folder, out = live.shared(s, "answers"), live.shared(s, "bars")
+    answers = _answers(s, d)
+    for part in range(3):
+        answers.where(F.pmod(F.xxhash64("book_id", "doc_idx", "block_no"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = s.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = progress.bars(stream, jobs.totals(answers))
+    start = lambda: rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", live.shared(s, "offsets")).trigger(availableNow=True).start()
+    machine.with_timers(s, start).awaitTermination()
+    return _shown(s.read.schema(progress.ROWS).parquet(out))
+
+
+def epub_source_heads(s: SparkSession, d: str) -> DataFrame:
+    """The first three chapters of every volume, read by the data source with its filter pushed down, from archives on disk."""
+    folder = live.shared(s, "archives")
+    _volumes(s, d, folder)
+    rows = epub_source.read(s, folder).where("doc_idx < 3")
+    return rows.select(F.regexp_extract("path", "([^/]*)\\.epub$", 1).alias("file"), F.col("doc_idx").cast("long").alias("doc_idx"), "name", F.md5("html").alias("html_md5"))
+
+
+def html_blocks_sql(s: SparkSession, d: str) -> DataFrame:
+    """Blocks and functions named in SQL."""
+    sql.register(s)
+    return s.sql("""SELECT p.page_id, CAST(b.block_no AS BIGINT) AS block_no, b.tag, b.pre, b.post, b.inner_html, word_count(b.inner_html) AS words, token_estimate(b.inner_html) AS tokens, sendable(b.inner_html) AS sendable
+        FROM {pages} p, LATERAL html_blocks(p.html) b WHERE translatable(b.inner_html)""", pages=views.read(s, d, "pages"))
+
+
+QUERIES = (progress_books, progress_stream, epub_source_heads, html_blocks_sql, job_machine, job_machine_stream, translate_batches, translate_stored, lang_ask, lang_detect, token_estimate_encoded, upload_books_stream, publish_versions)
 
 MACHINE = """WITH RECURSIVE ev AS (
   SELECT event_id, user_id AS job_id, epoch_us(ts) // 1000 AS at_ms, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' END AS kind,
@@ -152,6 +201,13 @@ far AS (SELECT doc_id, langs.lang, sum(CASE WHEN known.rank IS NULL THEN 300 ELS
 best AS (SELECT doc_id, lang, distance FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
 SELECT d.doc_id, coalesce(best.lang, 'Unknown') AS language, best.distance FROM documents d LEFT JOIN best USING (doc_id)"""
 
+PROGRESS = f"""WITH {O.CHAPTERS}, c AS (SELECT book_id, doc_idx, doc_idx % 7 = 3 AS bad, CASE WHEN doc_idx % 5 = 4 OR doc_idx % 7 = 3 THEN 0 ELSE len(list_filter({O.pieces('html', H.SKIP)}, lambda x: {O.letter('x')})) END AS n, count(*) OVER (PARTITION BY book_id) AS d FROM chapters),
+u AS (SELECT *, unnest(CASE WHEN n = 0 THEN [NULL] ELSE range(n) END) AS block_no, 'Chapter ' || (doc_idx + 1) || '/' || d AS chapter FROM c)
+SELECT book_id, doc_idx, block_no, CASE WHEN bad THEN 'failed' WHEN block_no IS NULL THEN 'skipped' ELSE 'block' END AS step,
+  round(CASE WHEN block_no IS NULL THEN (doc_idx + 1) / d ELSE least(doc_idx / d + (block_no + 1) / n / d, 0.99::DOUBLE) END, 9) AS progress,
+  chapter || CASE WHEN bad THEN ' - failed: ' || left('no answer for ' || book_id || ' in any of three attempts, the last of them too late', 60) WHEN block_no IS NULL THEN ' - skipped, no text' ELSE ' - block ' || (block_no + 1) || '/' || n END AS message FROM u
+UNION ALL SELECT book_id, NULL, NULL, step, progress, message FROM (SELECT DISTINCT book_id FROM chapters) CROSS JOIN (VALUES ('saving', 0.99::DOUBLE, 'Saving the book'), ('done', 1.0::DOUBLE, 'Done')) v(step, progress, message)"""
+
 _HEAD = "CASE WHEN length(t) > 50000 THEN floor(len(regexp_extract_all(left(t, 50000), '[A-Za-z]{1,6}|[^A-Za-z]')) * (length(t) / 50000.0::DOUBLE))::BIGINT ELSE len(regexp_extract_all(t, '[A-Za-z]{1,6}|[^A-Za-z]'))::BIGINT END"
 
 ORACLE: dict[str, str] = {
@@ -166,6 +222,11 @@ SELECT doc_id AS job_id, CASE WHEN kind = '2' THEN 'French' WHEN kind IS NULL OR
     "token_estimate_encoded": f"""WITH {O.CHAPTERS}, x AS (SELECT book_id, doc_idx, {O.plain('html')} AS text FROM chapters), b AS (SELECT book_id, string_agg(text || chr(10), '' ORDER BY doc_idx) AS t FROM x WHERE length({O.trim('text')}) > 10 GROUP BY book_id),
 p AS (SELECT source AS book_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE length(text) > 0 GROUP BY source)
 SELECT book_id, {_HEAD} AS estimated_tokens, 'epub' AS file_type FROM b UNION ALL SELECT book_id, {_HEAD}, 'pdf' FROM p""",
+    "progress_books": f"{PROGRESS} UNION ALL SELECT 'nothing', NULL, NULL, 'done', 1.0, 'Done: nothing to translate'",
+    "progress_stream": PROGRESS,
+    "epub_source_heads": f"""WITH {O.CHAPTERS}, v AS (SELECT *, doc_idx // 8 AS volume, doc_idx % 8 AS i FROM chapters), f AS (SELECT *, book_id || '.vol-' || volume AS file FROM v UNION ALL SELECT *, book_id || '.vol-' || volume || '.again' FROM v WHERE volume % 3 = 0)
+SELECT file, i AS doc_idx, name, md5(html) AS html_md5 FROM f WHERE i < 3""",
+    "html_blocks_sql": f"WITH RECURSIVE {O.TREE} SELECT page_id, block_no, tag, pre, post, inner_html, {O.words('inner_html')} AS words, ({O.tokens('length(inner_html)')})::BIGINT AS tokens, {O.sendable('inner_html')} AS sendable FROM blk",
     "upload_books_stream": O.ORACLE["analyze_books"],
     "publish_versions": f"WITH {O.CHAPTERS} SELECT book_id, doc_idx, name, ['it', 'en', 'sp'][length(book_id) % 3 + 1] AS language, md5(html) AS html_md5, length(book_id) % 3 <> 0 AS renewed, count(*) OVER (PARTITION BY book_id) AS n_chapters FROM chapters",
 }

@@ -22,8 +22,8 @@ def partials(files: DataFrame) -> DataFrame:
     own = named.join(first, ["content_hash", "path"], "left_semi").dropDuplicates(["content_hash"])
     # the hash stands for the file in what follows
     chapters = epub.chapters(own.select(F.col("content_hash").alias("path"), "length", "content")).withColumnRenamed("path", "book_id")
-    told = analyze.books(chapters.where("doc_idx IS NOT NULL"), chapters.select("book_id")).withColumnRenamed("book_id", "content_hash").drop("estimated_tokens")
-    bad = chapters.where("error IS NOT NULL").groupBy(F.col("book_id").alias("content_hash")).agg(F.min("error").alias("error"))
+    told = analyze.books(chapters.where("html IS NOT NULL"), chapters.select("book_id")).withColumnRenamed("book_id", "content_hash").drop("estimated_tokens")
+    bad = chapters.where("doc_idx IS NULL").groupBy(F.col("book_id").alias("content_hash")).agg(F.min("error").alias("error"))
     volume = F.coalesce(F.nullif(F.regexp_extract("path", VOLUME, 2), F.lit("")).cast("long"), F.lit(0).cast("long"))
     rows = told.join(bad, "content_hash", "left").join(first, "content_hash")
     return rows.select("content_hash", F.regexp_extract("path", VOLUME, 1).alias("book_id"), volume.alias("volume"), "total_chars", "total_words", "num_chapters", "chapter_names", "error")
