@@ -523,3 +523,39 @@ def test_language_scores_as_brute_force():
         assert len(grams) == len(langid.subwords(pa.array([text]), 12)[0])
         alone = model.probabilities(*langid.subwords(pa.array([text]), 12))[0]
         assert np.allclose(p, alone) and abs(p.sum() - 1) < 1e-9
+
+
+def test_repeated_and_null_keys_are_judged_by_their_own_text(spark):
+    menu, body = " ".join(f"m{i}" for i in range(20)), lambda k: " ".join(f"b{k}x{i}" for i in range(60))
+    rows = [(i, f"{menu}\n{body(i)}", "en", "h") for i in range(12)]  # 20 of 80 words stand in a frequent line
+    rows += [(100, f"{menu}\n{body(100)}", "en", "h")] * 3 + [(None, f"{menu}\n{body(k)}", "en", "h") for k in (200, 201, 202)] + [(300, f"{menu}\n{body(300)}", "en", "h"), (300, f"{menu}\n{menu}\n{menu}\n{body(301)}", "en", "h")]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_lost_words"], r["kept"], r["cleaned"]) for r in quality.cleaned(frame(spark, rows)).collect()), key=str)
+    want = [(k, len(t.split()), 20 if t.count(menu) == 1 else 60, True, t.split("\n")[-1]) for k, t, _, _ in rows]
+    assert got == sorted(want, key=str)
+
+
+def test_quality_of_odd_rows(spark):
+    got = sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in quality.quality(frame(spark, odd_rows())).collect())
+    text = odd_rows()[3][1]
+    long = (len(text.split()), len(text.replace(" ", "")), 0, 0, len(text.split()), True, False)
+    same = (6, 19, 0, 0, 0, True, False)
+    want = [("1", *[0] * 5, True, False), ("2", *[0] * 5, True, False), ("3", *[0] * 5, True, False), ("4", *long), ("5", *long), ("6", *same), ("6", *same), ("7", *same), ("None", *same), ("8", 3, 7, 0, 0, 0, True, False), ("9", 2, 6, 0, 0, 0, True, False)]
+    assert got == sorted(want)
+
+
+def test_boilerplate_of_odd_rows(spark):
+    rows = [(i, f"menu\n own {i} ", "en", "h") for i in range(5)] + [(7, "menu\nx", "en", "h"), (7, " menu \ny", "en", "h"), (None, "menu\nz", "en", "h"), (None, "menu\nz", "en", "h"), (8, None, "en", "h"), (9, "", "en", None)]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_boilerplate(frame(spark, rows)).collect()), key=str)
+    want = [(i, 2, 1, f" own {i} ") for i in range(5)] + [(7, 2, 1, "x"), (7, 2, 1, "y"), (None, 2, 0, "menu\nz"), (None, 2, 0, "menu\nz"), (8, 0, 0, None), (9, 1, 0, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_samples_of_very_large_tables(spark):
+    """A share under a millionth still takes rows; of a table with rows an empty sample is an error."""
+    rows = spark.range(20_000_000)
+    for share in (4e-7, 1e-6, 1e-5):
+        assert 0.2 * 2e7 * share < rows.where(common.sampled("id", share)).count() < 5 * 2e7 * share
+    assert spark.range(100).where(common.sampled("id", 1.0)).count() == 100
+    docs = spark.createDataFrame([(i, "some text", "en") for i in range(1, 9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="sampled"):
+        langid.train(docs, fit_rows=1e-12)

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and U+0009 to U+000D.
@@ -39,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def sampled(key: Column | str, share: float) -> Column:
+    """True for about `share` of the keys, by 63 bits of a hash, however small the share is."""
+    h = F.xxhash64(key)
+    # its lowest 20 bits count most
+    place = F.shiftleft(h.bitwiseAND((1 << 20) - 1), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
+    return F.lit(True) if share >= 1 else place < F.lit(max(1, int(share * (1 << 63))))
+
+
 #: Spark's own switch: the shuffle files of a query go when the query ends, on all executors.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, _powers, mix, offsets, slices, words
+from .common import BYTES, _powers, mix, offsets, sampled, slices, words
 
 GRAMS = (2, 3, 4)
 
@@ -141,8 +141,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.coalesce(~held_out("key"), F.lit(False)) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    got = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text").mapInArrow(_counted(bits), "lang string, idx array<int>, share array<float>").toArrow()
+    total = rows.count()
+    got = rows.where(sampled("key", fit_rows / max(1, total))).select("lang", "text").mapInArrow(_counted(bits), "lang string, idx array<int>, share array<float>").toArrow()
+    if total and not got.num_rows:
+        raise ValueError(f"no row of {total} was sampled")
     if not got.num_rows:
         return Model([], np.zeros((1 << bits, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
     flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in got[c].chunks])

@@ -33,7 +33,7 @@ def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", hos
     often = held.select("__host", "__page", "__line").distinct().groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     often = often.join(pages, "__host").where(F.col("__n") * 100 > F.col("__pages") * percent).select("__host", "__line")
     # a page's list is no longer than its lines; a host's is bounded by its lines a page * 100 / percent
-    drops = held.join(often, ["__host", "__line"]).groupBy("__key").agg(F.collect_set("__line").alias("__drops")).withColumnRenamed("__key", "__k")
+    drops = held.where(F.col("__key").isNotNull()).join(often, ["__host", "__line"]).groupBy("__key").agg(F.collect_set("__line").alias("__drops")).withColumnRenamed("__key", "__k")
     lines = F.split(F.col(text), "\n")
     rest = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("__drops", _line(x)) | (F.regexp_replace(x, EDGES, "") == "")))
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]

@@ -25,25 +25,25 @@ def word_array(text: Column) -> Column:
 
 
 def base(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the text as t and its lines that hold a word. Null text: zeros."""
+    """key, host, page, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the text as t and its lines that hold a word. Null text: zeros. page is a hash of the text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), t.alias("t"))
-    rows = rows.select("key", "host", "t", word_array(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: solid(x) != "").alias("lines"))
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(t).alias("page"), t.alias("t"))
+    rows = rows.select("key", "host", "page", "t", word_array(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: solid(x) != "").alias("lines"))
     n = F.size("w")
     # 64-bit hashes of all three-word windows; only a text that repeats one has them sorted with their places
     grams = F.when(n >= 3, F.transform(F.slice(F.col("w"), 1, n - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
-    rows = rows.select("key", "host", "t", "lines", n.cast("long").alias("n_words"), grams.alias("grams"))
+    rows = rows.select("key", "host", "page", "t", "lines", n.cast("long").alias("n_words"), grams.alias("grams"))
     again = F.size(F.array_distinct("grams")) < F.size("grams")
     three = F.when(again, F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
-    rows = rows.select("key", "host", "t", "lines", "n_words", three.alias("three"))
+    rows = rows.select("key", "host", "page", "t", "lines", "n_words", three.alias("three"))
     m = F.size("three")
     next_, last = F.slice(F.col("three"), 2, m), F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice(F.col("three"), 1, m - 1))
-    rows = rows.select("key", "host", "t", "lines", "n_words", F.when(F.col("three").isNotNull(), F.array_sort(F.filter(F.zip_with(F.zip_with(F.col("three"), next_, lambda x, y: F.struct(x["i"].alias("i"), x["g"].alias("g"), (x["g"] == y["g"]).alias("same"))), last, lambda x, y: F.when(x["same"] | (x["g"] == y["g"]), x["i"])), lambda i: i.isNotNull()))).alias("at"))
+    rows = rows.select("key", "host", "page", "t", "lines", "n_words", F.when(F.col("three").isNotNull(), F.array_sort(F.filter(F.zip_with(F.zip_with(F.col("three"), next_, lambda x, y: F.struct(x["i"].alias("i"), x["g"].alias("g"), (x["g"] == y["g"]).alias("same"))), last, lambda x, y: F.when(x["same"] | (x["g"] == y["g"]), x["i"])), lambda i: i.isNotNull()))).alias("at"))
     k = F.size("at")
     gaps = F.zip_with(F.col("at"), F.slice(F.col("at"), 2, k), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     repeat = F.when(k > 0, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long"))
     return rows.select(
-        "key", "host", "t", "lines", "n_words", F.length(solid(F.col("t"))).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "key", "host", "page", "t", "lines", "n_words", F.length(solid(F.col("t"))).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
     )
 
@@ -66,7 +66,7 @@ def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     A document is depleted, and rejected, if over `depleted_percent` per cent of its words stand in frequent lines.
     cleaned is the text without its frequent lines, the other lines as they were and in order; null if the document is rejected.
     Repeated windows are found by 64-bit hashes within a text. Null hosts are one host of their own. Null and empty texts have no words and fail the base rule. Each row
-    of a repeated key is returned, with the lines that all of them lose. Null keys are one such key.
+    is judged by its own text, also where its key is null or repeated.
     Only key, text and host are read, whatever other columns are called. An empty table gives an empty result.
     """
     rows = base(df, key, text, host)
@@ -78,10 +78,15 @@ def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     docs = df.select(F.coalesce(F.col(host), F.lit("")).alias("host"), page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     often = held.select("host", "page", "line").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
     often = often.join(docs, "host").where(F.col("n") * 100 > F.col("docs") * line_percent).select("host", "line")
-    # a document's list is no longer than its lines; without `cleaned` it is not made
-    lost = held.join(often, ["host", "line"]).groupBy(F.col("key").alias("k")).agg(F.sum("words").alias("lost"), F.collect_set("line").alias("drops"))
+    # a text's list is no longer than its lines; without `cleaned` it is not made
+    of = [F.col("key").alias("k"), F.col("host").alias("h"), F.col("page").alias("p")]
+    lost = held.join(often, ["host", "line"]).groupBy(*of).agg(F.sum("words").alias("all_lost"), F.collect_set("line").alias("drops"))
+    # rows alike in key, host and text are summed together: each has its share of what they lose
+    again = df.select(F.col(key).alias("k2"), F.coalesce(F.col(host), F.lit("")).alias("h2"), page.alias("p2")).groupBy("k2", "h2", "p2").agg(F.count("*").alias("alike")).where("alike > 1")
+    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")) & (F.col("p") == F.col("p2"))
+    lost = lost.join(again, same, "left").select("k", "h", "p", "drops", F.expr("all_lost div coalesce(alike, 1)").alias("lost"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    out = rows.join(lost, F.col("key").eqNullSafe(F.col("k")), "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
+    out = rows.join(lost, F.col("key").eqNullSafe(F.col("k")) & (F.col("host") == F.col("h")) & (F.col("page") == F.col("p")), "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
     kept = ~failed & (F.col("lost") * 100 <= F.col("n_words") * depleted_percent)
     rest = F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("drops", name(word_array(lower(x))))), "\n")
     return out.select(

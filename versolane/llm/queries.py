@@ -118,7 +118,8 @@ FROM placed p JOIN crc c ON p.doc_id = c.doc_id
 """
 
 OP9 = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH r AS (SELECT doc_id AS id, row_number() OVER () AS doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+d AS MATERIALIZED (SELECT * FROM r),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 three AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
 twice AS (SELECT doc_id, i FROM three QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -134,9 +135,9 @@ counts AS (
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+SELECT d.id AS doc_id, counts.* EXCLUDE (doc_id), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words * 100 <= n_words * 50 AS kept
-FROM counts
+FROM counts JOIN d USING (doc_id)
 """
 
 

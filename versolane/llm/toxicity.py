@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, slices, words
+from .common import offsets, sampled, slices, words
 
 
 @dataclass
@@ -119,8 +119,10 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Null labels, keys and texts are left out. Without any labelled row the model gives every text the same low score.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("grade"))
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * fit_rows)
+    total = rows.count()
+    rows = rows.where(sampled("k", fit_rows / max(1, total))).limit(2 * fit_rows)
+    if total and rows.isEmpty():
+        raise ValueError(f"no row of {total} was sampled")
     chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(rows), F.col("key") == F.col("k"))  # at most 2 * fit_rows
     got = chosen.select("grade", "text").mapInArrow(_features(bits), "grade int, idx array<int>").toArrow()
     held = got["idx"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
