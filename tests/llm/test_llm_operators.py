@@ -559,3 +559,48 @@ def test_samples_of_very_large_tables(spark):
     docs = spark.createDataFrame([(i, "some text", "en") for i in range(1, 9)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="sampled"):
         langid.train(docs, fit_rows=1e-12)
+
+
+def test_pieces_are_packed_or_raw():
+    draw = np.random.default_rng(4)
+    n = np.array([0, 700, 3, 0, 1, 2000, 5])
+    values, packed = draw.integers(0, 1 << 40, n.sum()), np.array([False, True, False, True, False, True, False])
+    for flags in (packed, np.zeros(7, bool), np.ones(7, bool)):
+        cells = suffix_dedup._cells(values, n, flags, suffix_dedup._squeeze)
+        got, counts = suffix_dedup._values(cells, flags, np.int64, lambda x: suffix_dedup._loose(x, np.int64))
+        order = suffix_dedup._order(flags)
+        pieces = np.split(values, np.cumsum(n)[:-1])
+        assert counts.tolist() == n[order].tolist() and got.tolist() == np.concatenate([pieces[i] for i in order]).tolist()
+
+
+def test_a_block_costs_the_same_however_many_parts_there_are(monkeypatch):
+    """What a block sends grows with its text alone: not with the radixes and parts that a larger input is dealt into."""
+    import time
+
+    draw = np.random.default_rng(1)
+    letters = draw.integers(97, 123, 1 << 21, dtype=np.uint8).tobytes().decode()
+    texts = [letters[i : i + 3000] for i in range(0, len(letters), 3000)]
+    monkeypatch.setattr(suffix_dedup.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+    block = next(suffix_dedup._blocks(1 << 22)([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])]))
+
+    def stage(radixes, parts):
+        """CPU seconds, and rows, of a block of which every seventh anchor is found twice."""
+        t = time.process_time()
+        prints = pa.Table.from_batches(suffix_dedup._send_prints(radixes)([block]))
+        spent = time.process_time() - t
+        packed = suffix_dedup._flags(prints["packed"])
+        low, n = suffix_dedup._values(prints["low"], packed, np.uint32, lambda x: np.cumsum(suffix_dedup._loose(x, np.uint32), dtype=np.uint32))
+        order = suffix_dedup._order(packed)
+        cells = suffix_dedup._cells((low % 7 == 0).astype(np.uint8), n, packed[order], suffix_dedup._plain)
+        told = pa.StructArray.from_arrays([pa.array(np.asarray(prints["radix"])[order]), pa.array(packed[order]), cells], ["radix", "packed", "verdict"])
+        told = pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)
+        t = time.process_time()
+        runs = pa.Table.from_batches(suffix_dedup._runs(radixes, parts)([pa.RecordBatch.from_arrays([*block.columns[:1], *block.columns[2:], told], ["bid", "keys", "off", "data", "verdicts"])]))
+        firsts, _ = suffix_dedup._values(runs["firsts"].combine_chunks(), suffix_dedup._flags(runs["packed"]), np.uint32, lambda x: suffix_dedup._loose(x, np.uint32))
+        return spent + time.process_time() - t, prints.num_rows + runs.num_rows, sorted(firsts.tolist())
+
+    small = min((stage(64, 64) for _ in range(3)), key=lambda x: x[0])
+    anchors = len(suffix_dedup.units(*common.offsets(pa.array(texts)))[0])
+    for radixes, parts in ((1_920, 3_840), (64_000, 128_000), (6_000_000, 12_000_000)):  # 30 GB, 1 TB, 100 TB
+        large = min((stage(radixes, parts) for _ in range(3)), key=lambda x: x[0])
+        assert large[0] < 1.5 * small[0] and large[1] <= 2 * anchors and large[2] == small[2]

@@ -19,7 +19,7 @@ Anchors of more than `HOT` documents are sorted window by window instead and dea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -38,6 +38,9 @@ BLOCK = 1 << 22
 PLACE = (1 << 18) - 1  # bits of a hash that give way to its place in a chunk
 HOT = 512
 LAST = (1 << 63) - 1  # stands for a null key: after all others
+MANY = 512  # hashes, or numbers of removals, from which a piece is packed
+TAILS = 1 << 11  # bytes of suffixes from which a piece is packed
+UNITS = 1 << 16  # suffixes of a block that are sorted at once, about
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -52,6 +55,38 @@ def _loose(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def _plain(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
+
+
+def _bytes(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8)
+
+
+def _cells(values: np.ndarray, counts: np.ndarray, packed: np.ndarray, pack: Callable[[np.ndarray], bytes]) -> pa.Array:
+    """A binary cell for each piece of values: packed, or its bytes as they are. Small pieces are many, so they are never handled one by one."""
+    ends, raw, size = np.r_[0, np.cumsum(counts)], np.ascontiguousarray(values).tobytes(), values.itemsize
+    if not packed.any():
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * size).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+    return pa.array([pack(values[a:b]) if p else raw[a * size : b * size] for a, b, p in zip(ends[:-1].tolist(), ends[1:].tolist(), packed.tolist())], pa.binary())
+
+
+def _values(cells: pa.Array, packed: np.ndarray, kind: type, unpack: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What _cells has put away and how many values each cell has: packed cells first, see _order."""
+    some = [unpack(x) for x in cells.filter(pa.array(packed)).to_pylist()] if packed.any() else []
+    flat, off = offsets(cells.filter(pa.array(~packed)) if packed.any() else cells)
+    size = np.dtype(kind).itemsize
+    return np.concatenate([*some, np.frombuffer(flat.tobytes(), kind)]), np.r_[np.array([len(x) for x in some], np.int64), np.diff(off) // size]
+
+
+def _order(packed: np.ndarray) -> np.ndarray:
+    return np.r_[np.flatnonzero(packed), np.flatnonzero(~packed)]
+
+
+def _flags(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy(), bool)
+
+
 def units(flat: np.ndarray, off: np.ndarray, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window, hash) of each run of windows that share an anchor. No window crosses the edge of a text.
 
@@ -133,47 +168,60 @@ def _send_prints(radixes: int):
                 anchor, _, _, g = units(flat, off)
                 radix, low, texts, _ = _prints(anchor, g, off, radixes)
                 own, start = np.unique(radix, return_index=True)
-                ends = np.r_[start[1:], len(radix)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own), pa.array(np.full(len(own), bid, np.int64)),
-                        pa.array([_squeeze(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in zip(start, ends)], pa.binary()), pa.array([zstandard.compress(texts[a:b].tobytes(), 3) for a, b in zip(start, ends)], pa.binary()),
-                    ], ["radix", "bid", "low", "count"]
-                )
+                n = np.diff(np.r_[start, len(radix)])
+                packed = n >= MANY
+                cells = _cells(low, n, packed, lambda x: _squeeze(np.diff(x, prepend=np.uint32(0)))), _cells(texts, n, packed, _plain)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), bid, np.int64)), pa.array(packed), *cells], ["radix", "bid", "packed", "low", "count"])
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[dict]]]:
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.Table]]:
     """Rows of a sorted partition, one group at a time."""
-    key, rows = None, []
+    key, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row[by] != key and rows:
-                yield key, rows
-                rows = []
-            key = row[by]
-            rows.append(row)
-    if rows:
-        yield key, rows
+        name = np.asarray(batch[by])
+        edge = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(name)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            if a < b:
+                if held and name[a] != key:
+                    yield key, pa.Table.from_batches(held)
+                    held = []
+                key = int(name[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
 
 
 def _judge_prints(hot: int):
     """For each block's hashes of a radix: 0 if in one text only, 1 if in more, 2 if in over `hot`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for radix, rows in _grouped(batches, "radix"):
-            lows = [np.cumsum(_loose(r["low"], np.uint32), dtype=np.uint32) for r in rows]
-            counts = np.concatenate([np.frombuffer(zstandard.decompress(r["count"]), np.uint8) for r in rows])
-            u, at = np.unique(np.concatenate(lows), return_inverse=True)
+        for radix, rows in _groups(batches, "radix"):
+            packed = _flags(rows["packed"])
+            low, n = _values(rows["low"], packed, np.uint32, lambda x: np.cumsum(_loose(x, np.uint32), dtype=np.uint32))
+            counts, _ = _values(rows["count"], packed, np.uint8, _bytes)
+            u, at = np.unique(low, return_inverse=True)
             total = np.bincount(at, counts)
             verdict = ((total > 1).astype(np.uint8) + (total > hot))[at].astype(np.uint8)
-            ends = np.cumsum([len(x) for x in lows])
-            yield pa.RecordBatch.from_arrays([pa.array([r["bid"] for r in rows], pa.int64()), pa.array([radix] * len(rows), pa.int64()), pa.array([zstandard.compress(verdict[e - len(x) : e].tobytes(), 3) for x, e in zip(lows, ends)], pa.binary())], ["bid", "radix", "verdict"])
+            order = _order(packed)
+            cells = _cells(verdict, n, packed[order], _plain)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(rows["bid"])[order]), pa.array(np.full(len(order), radix, np.int64)), pa.array(packed[order]), cells], ["bid", "radix", "packed", "verdict"])
 
     return run
 
 
+def _verdicts(told: pa.Array | None) -> np.ndarray:
+    """A block's verdicts, radix by radix."""
+    if told is None or not len(told):
+        return np.zeros(0, np.uint8)
+    packed = _flags(told.field("packed"))
+    got, n = _values(told.field("verdict"), packed, np.uint8, _bytes)
+    start, by = np.cumsum(n) - n, np.argsort(np.asarray(told.field("radix"))[_order(packed)])
+    n = n[by]
+    return got[np.repeat(start[by] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def contexts(flat: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """One row of WIDTH bytes for each unit; equal rows mean equal contexts, and rows sort by anchor, text after, text before."""
     after, before = last + SPAN - anchor - GRAM, anchor - first
@@ -188,19 +236,17 @@ def contexts(flat: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.n
     return row
 
 
+RUN = ["part", "bid", "packed", "lcp", "tails", "keys", "firsts"]
+
+
 def _runs(radixes: int, parts: int):
-    """Sorted, front-coded runs of a block's suffixes, one for each part; and what the block decides by itself (part = any, kind 0)."""
+    """Sorted, front-coded runs of a block's suffixes, one for each part that has any; and what the block decides by itself: a row without lcp, for any part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, keys, off, flat, i in _opened(batch):
                 anchor, first, last, g = units(flat, off)
-                radix, _, _, at = _prints(anchor, g, off, radixes)
-                verdict = np.zeros(len(radix), np.uint8)
-                for v in batch["verdicts"][i].as_py() or []:
-                    a, b = np.searchsorted(radix, [v["radix"], v["radix"] + 1])
-                    verdict[a:b] = np.frombuffer(zstandard.decompress(v["verdict"]), np.uint8)
-                verdict = verdict[at]
+                verdict = _verdicts(batch["verdicts"][i].values)[_prints(anchor, g, off, radixes)[3]]
                 cold, hot = verdict == 1, verdict == 2
                 n = (last - first + 1)[hot]
                 single = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -213,32 +259,38 @@ def _runs(radixes: int, parts: int):
                 if not len(anchor):
                     continue
                 key = keys[np.searchsorted(off, anchor, side="right") - 1]
-                out = []
                 gone_a, gone_b = [], []
                 order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                for p in range(parts):
-                    own = order[cuts[p] : cuts[p + 1]]
+                heads = np.flatnonzero(np.r_[True, part[order[1:]] != part[order[:-1]]])
+                cuts = heads[np.minimum(np.searchsorted(heads, np.arange(UNITS, len(order), UNITS)), len(heads) - 1)]
+                for own in np.split(order, np.unique(cuts)):
                     if not len(own):
                         continue
+                    # all parts of these units at once: sorted by context, then by part
                     rows = contexts(flat, anchor[own], first[own], last[own])
                     rank = np.argsort(rows.view(f"S{WIDTH}").reshape(-1), kind="stable")
+                    rank = rank[np.argsort(part[own[rank]], kind="stable")]
                     own, rows = own[rank], rows[rank]
-                    new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
+                    new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1) | (part[own[1:]] != part[own[:-1]])]
                     group = np.cumsum(new) - 1
                     least = np.minimum.reduceat(key[own], np.flatnonzero(new))[group]
                     stays = key[own] == least
                     gone_a.append(first[own[~stays]])
                     gone_b.append(last[own[~stays]])
                     own, rows = own[stays], rows[stays]
+                    fresh = np.r_[True, part[own[1:]] != part[own[:-1]]]
                     differ = rows[1:] != rows[:-1]
                     lcp = np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)].astype(np.uint8)
+                    lcp[fresh] = 0
                     tails = rows[np.arange(WIDTH) >= lcp[:, None]]
-                    out.append((p, zstandard.compress(lcp.tobytes(), 3), zstandard.compress(tails.tobytes(), 3), _squeeze(key[own]), _squeeze(first[own].astype(np.uint32))))
-                empty = b""
-                out.append((bid % parts, empty, empty, _squeeze(np.concatenate(gone_a).astype(np.uint32)), _squeeze(np.concatenate(gone_b).astype(np.uint32))))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([bid] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "bid", "lcp", "tails", "keys", "firsts"])
+                    head = np.flatnonzero(fresh)
+                    n, size = np.diff(np.r_[head, len(own)]), np.add.reduceat(WIDTH - lcp.astype(np.int64), head)
+                    packed = size >= TAILS
+                    cells = _cells(lcp, n, packed, _plain), _cells(tails, size, packed, _plain), _cells(key[own], n, packed, _squeeze), _cells(first[own].astype(np.uint32), n, packed, _squeeze)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[own[head]].astype(np.int64)), pa.array(np.full(len(head), bid, np.int64)), pa.array(packed), *cells], RUN)
+                a, b = (pa.array([_squeeze(np.concatenate(x).astype(np.uint32))], pa.binary()) for x in (gone_a, gone_b))
+                nothing = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([bid % parts], pa.int64()), pa.array([bid], pa.int64()), pa.array([True]), nothing, nothing, a, b], RUN)
 
     return run
 
@@ -334,59 +386,60 @@ def _cuts(rows: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     return row[starts], j[starts], j[ends]
 
 
-def _strings(lcp: bytes, tails: bytes) -> tuple[np.ndarray, list[int]]:
-    """A front-coded run's strings as rows of bytes, and their common prefixes."""
-    common, data = np.frombuffer(zstandard.decompress(lcp), np.uint8), np.frombuffer(zstandard.decompress(tails), np.uint8)
+def _strings(common: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Front-coded runs, one behind the other, as rows of bytes."""
     full = np.zeros((len(common), WIDTH), np.uint8)
     own = np.arange(WIDTH) >= common[:, None]
     full[own] = data
     # a byte under the common prefix is that of the last row whose own bytes reach so far up
-    full = full[np.maximum.accumulate(np.where(own, np.arange(len(common), dtype=np.int32)[:, None], 0), axis=0), np.arange(WIDTH)]
-    return full, common.tolist()
+    return full[np.maximum.accumulate(np.where(own, np.arange(len(common), dtype=np.int32)[:, None], 0), axis=0), np.arange(WIDTH)]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _grouped(batches, "part"):
-        gone = {}
-        full, common, keys, firsts, bids = [], [], [], [], []
-        for r in rows:
-            if not r["lcp"]:
-                gone.setdefault(r["bid"], []).append((_loose(r["keys"], np.uint32), _loose(r["firsts"], np.uint32)))
-                continue
-            strings, lcp = _strings(r["lcp"], r["tails"])
-            full.append(strings)
-            common.append(lcp)
-            keys.append(_loose(r["keys"], np.int64))
-            firsts.append(_loose(r["firsts"], np.uint32))
-            bids.append(r["bid"])
-        if full:
-            runs = [([data[i : i + WIDTH] for i in range(0, len(data), WIDTH)], lcp) for data, lcp in zip((x.tobytes() for x in full), common)]
-            order = np.fromiter((s << 40 | k << 8 | h for s, k, h in merged(runs)), np.int64)
-            s, k, h = order >> 40, order >> 8 & 0xFFFFFFFF, order & 0xFF
-            del runs
-            at = np.cumsum([0, *map(len, keys)])[s] + k
-            full, key, first = np.concatenate(full), np.concatenate(keys)[at], np.concatenate(firsts)[at].astype(np.int64)
-            head = np.flatnonzero(np.r_[True, h[1:] < GRAM])  # where another anchor begins
-            many = np.diff(np.r_[head, len(s)])
-            alike = np.minimum.reduceat(np.where(h < GRAM, WIDTH, h), head) == WIDTH
-            # contexts that are all equal: those of later documents go whole
-            least = np.repeat(np.where(alike, np.minimum.reduceat(key, head), LAST), many)
-            late = np.flatnonzero(key > least)
-            out = [(s[late], first[late], first[late] + full[at[late], -2:].sum(axis=1, dtype=np.int64) - REACH)]
-            mixed = np.flatnonzero(np.repeat(~alike, many))
-            group = np.repeat(np.arange(len(head)), many)[mixed]
-            edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-            cuts = edges[np.minimum(np.searchsorted(edges, np.arange(1 << 14, len(mixed), 1 << 14)), len(edges) - 1)] if len(edges) else []
-            for part in np.split(np.arange(len(mixed)), np.unique(cuts)):
-                if len(part):
-                    own = mixed[part]
-                    row, a, b = _cuts(full[at[own]], group[part], key[own])
-                    out.append((s[own[row]], first[own[row]] + a, first[own[row]] + b))
-            run, a, b = (np.concatenate(x) for x in zip(*out))
-            for i in np.unique(run).tolist():
-                gone.setdefault(bids[i], []).append((a[run == i].astype(np.uint32), b[run == i].astype(np.uint32)))
-        if gone:
-            yield pa.RecordBatch.from_arrays([pa.array(list(gone), pa.int64()), *(pa.array([_squeeze(np.concatenate([x[c] for x in v])) for v in gone.values()], pa.binary()) for c in (0, 1))], ["bid", "a", "b"])
+    for _, rows in _groups(batches, "part"):
+        done = np.asarray(rows["lcp"].is_null())
+        if done.any():
+            yield rows.filter(pa.array(done)).select(["bid", "packed", "keys", "firsts"]).rename_columns(["bid", "packed", "a", "b"]).combine_chunks().to_batches()[0]
+            rows = rows.filter(pa.array(~done))
+        if not rows.num_rows:
+            continue
+        packed = _flags(rows["packed"])
+        common, n = _values(rows["lcp"], packed, np.uint8, _bytes)
+        full = _strings(common, _values(rows["tails"], packed, np.uint8, _bytes)[0])
+        key, _ = _values(rows["keys"], packed, np.int64, lambda x: _loose(x, np.int64))
+        first, _ = _values(rows["firsts"], packed, np.uint32, lambda x: _loose(x, np.uint32))
+        bids, ends = np.asarray(rows["bid"])[_order(packed)], np.r_[0, np.cumsum(n)]
+        data, lcps = full.tobytes(), common.tolist()
+        runs = [([data[i : i + WIDTH] for i in range(a * WIDTH, b * WIDTH, WIDTH)], lcps[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        order = np.fromiter((s << 40 | k << 8 | h for s, k, h in merged(runs)), np.int64)
+        s, k, h = order >> 40, order >> 8 & 0xFFFFFFFF, order & 0xFF
+        del runs, data, lcps
+        at = ends[s] + k
+        key, first = key[at], first[at].astype(np.int64)
+        head = np.flatnonzero(np.r_[True, h[1:] < GRAM])  # where another anchor begins
+        many = np.diff(np.r_[head, len(s)])
+        alike = np.minimum.reduceat(np.where(h < GRAM, WIDTH, h), head) == WIDTH
+        # contexts that are all equal: those of later documents go whole
+        least = np.repeat(np.where(alike, np.minimum.reduceat(key, head), LAST), many)
+        late = np.flatnonzero(key > least)
+        out = [(s[late], first[late], first[late] + full[at[late], -2:].sum(axis=1, dtype=np.int64) - REACH)]
+        mixed = np.flatnonzero(np.repeat(~alike, many))
+        group = np.repeat(np.arange(len(head)), many)[mixed]
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+        cuts = edges[np.minimum(np.searchsorted(edges, np.arange(1 << 14, len(mixed), 1 << 14)), len(edges) - 1)] if len(edges) else []
+        for part in np.split(np.arange(len(mixed)), np.unique(cuts)):
+            if len(part):
+                own = mixed[part]
+                row, a, b = _cuts(full[at[own]], group[part], key[own])
+                out.append((s[own[row]], first[own[row]] + a, first[own[row]] + b))
+        run, a, b = (np.concatenate(x) for x in zip(*out))
+        if len(run):
+            by = np.argsort(bids[run], kind="stable")
+            of = bids[run][by]
+            head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            n = np.diff(np.r_[head, len(of)])
+            packed = n >= MANY
+            yield pa.RecordBatch.from_arrays([pa.array(of[head]), pa.array(packed), *(_cells(x[by].astype(np.uint32), n, packed, _squeeze) for x in (a, b))], ["bid", "packed", "a", "b"])
 
 
 def _kept(texts: bool):
@@ -394,9 +447,11 @@ def _kept(texts: bool):
         for batch in batches:
             for _, keys, off, flat, i in _opened(batch):
                 change = np.zeros(len(flat) + 1, np.int32)
-                for g in batch["gone"][i].as_py() or []:
-                    np.add.at(change, _loose(g["a"], np.uint32).astype(np.int64), 1)
-                    np.add.at(change, _loose(g["b"], np.uint32).astype(np.int64) + SPAN, -1)
+                gone = batch["gone"][i].values
+                if gone is not None:
+                    a, b = (_values(gone.field(c), _flags(gone.field("packed")), np.uint32, lambda x: _loose(x, np.uint32))[0].astype(np.int64) for c in ("a", "b"))
+                    np.add.at(change, a, 1)
+                    np.add.at(change, b + SPAN, -1)
                 cover = np.cumsum(change[:-1]) > 0
                 edge = cover.copy()
                 edge[1:] &= ~cover[:-1]
@@ -417,20 +472,20 @@ def _kept(texts: bool):
 
 def _removals(blocks: DataFrame, radixes: int, parts: int, hot: int) -> DataFrame:
     """(bid, a, b): first and last windows to remove of each block, written to the shared folder."""
-    prints = blocks.select("bid", "keys", "off", "data").mapInArrow(_send_prints(radixes), "radix long, bid long, low binary, count binary")
-    judged = prints.repartitionById(radixes, F.col("radix").cast("int")).sortWithinPartitions("radix").mapInArrow(_judge_prints(hot), "bid long, radix long, verdict binary")
-    verdicts = judged.groupBy("bid").agg(F.collect_list(F.struct("radix", "verdict")).alias("verdicts")).withColumnRenamed("bid", "b")
+    prints = blocks.select("bid", "keys", "off", "data").mapInArrow(_send_prints(radixes), "radix long, bid long, packed boolean, low binary, count binary")
+    judged = prints.repartitionById(radixes, F.col("radix").cast("int")).sortWithinPartitions("radix").mapInArrow(_judge_prints(hot), "bid long, radix long, packed boolean, verdict binary")
+    verdicts = judged.groupBy("bid").agg(F.collect_list(F.struct("radix", "packed", "verdict")).alias("verdicts")).withColumnRenamed("bid", "b")
     # a block's verdicts and removals are bounded by the block
     told = blocks.join(verdicts, F.col("bid") == F.col("b")).select("bid", "keys", "off", "data", "verdicts")
-    runs = told.mapInArrow(_runs(radixes, parts), "part long, bid long, lcp binary, tails binary, keys binary, firsts binary")
-    return saved(runs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(_merge, "bid long, a binary, b binary"), "removals")
+    runs = told.mapInArrow(_runs(radixes, parts), "part long, bid long, packed boolean, lcp binary, tails binary, keys binary, firsts binary")
+    return saved(runs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(_merge, "bid long, packed boolean, a binary, b binary"), "removals")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """One row per row of df: key, n_bytes, n_removed, n_spans, kept_sha256 (or, with texts, the kept bytes themselves as kept).
 
     Removed is each byte that a string of 50 bytes covers which also starts in a row with a smaller key. Strings are judged on the input.
-    The key is a whole number; a null key counts as larger than all others. Rows with the same key don't remove from each other.
+    The key is a whole number under 2 ** 63 - 1; a null key counts as larger than all others. Rows with the same key don't remove from each other.
     Null texts are empty: 0 bytes. Texts under 50 bytes lose nothing. Only key and text are read, whatever other columns are called.
     An empty table gives an empty result. Blocks hold about `block` bytes of text; a longer text is a block of its own. What is exchanged: hashes of anchors, suffixes of anchors found twice, and each block of text twice.
     """
@@ -439,7 +494,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", texts
     total = blocks.agg(F.sum("size")).first()[0] or 0
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gone = _removals(blocks, max(width, total >> 24), max(width, total >> 23), hot)  # about a million hashes a radix, 200,000 suffixes a part
-    gone = gone.groupBy("bid").agg(F.collect_list(F.struct("a", "b")).alias("gone")).withColumnRenamed("bid", "g")
+    gone = gone.groupBy("bid").agg(F.collect_list(F.struct("packed", "a", "b")).alias("gone")).withColumnRenamed("bid", "g")
     last = blocks.join(gone, F.col("bid") == F.col("g"), "left").select("bid", "keys", "off", "data", "gone")
     out = last.mapInArrow(_kept(texts), f"key long, n_bytes long, n_removed long, n_spans long, {'kept binary' if texts else 'kept_sha256 string'}")
     return out.withColumnRenamed("key", key)
