@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, blank
+from ..functions.text import SPACE
 
 GAP = f"(\n[{SPACE}]*\n)"
+INK = f"[^{SPACE}]"
 MARK = "\u0001"
 
 
@@ -21,17 +22,16 @@ def _pack(parts: Column, glue: str, size: int) -> Column:
 
     The fold goes over lengths: its state is where the chunk begins, how long it is and whether it shows any ink. Text is joined once, at the end.
     """
-    told = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), (~blank(p)).alias("ink")))
+    told = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.rlike(INK).alias("ink")))
     start = F.struct(F.array().cast("array<struct<a:int,k:int>>").alias("out"), F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(False).alias("ink"))
     closed = lambda s: F.array_append(s["out"], F.struct(s["a"].alias("a"), (s["i"] - s["a"]).alias("k")))
 
     def step(s: Column, p: Column) -> Column:
-        full = s["ink"] & (s["n"] + p["n"] + len(glue) > size)
-        fresh = full | (s["n"] == 0)
-        return F.struct(
-            F.when(full, closed(s)).otherwise(s["out"]).alias("out"), (s["i"] + 1).alias("i"), F.when(fresh, s["i"]).otherwise(s["a"]).alias("a"),
-            F.when(fresh, p["n"]).otherwise(s["n"] + len(glue) + p["n"]).alias("n"), (p["ink"] | (~full & s["ink"])).alias("ink"),
-        )
+        """One question, whether the chunk is full, decides the whole state; so it is asked once a part."""
+        state = lambda out, a, n, ink: F.struct(out.alias("out"), (s["i"] + 1).alias("i"), a.alias("a"), n.alias("n"), ink.alias("ink"))
+        first = s["n"] == 0
+        longer = state(s["out"], F.when(first, s["i"]).otherwise(s["a"]), F.when(first, p["n"]).otherwise(s["n"] + len(glue) + p["n"]), p["ink"] | s["ink"])
+        return F.when(s["ink"] & (s["n"] + p["n"] + len(glue) > size), state(closed(s), s["i"], p["n"], p["ink"])).otherwise(longer)
 
     cuts = F.aggregate(told, start, step, lambda s: F.when(s["ink"], closed(s)).otherwise(s["out"]))
     return F.transform(cuts, lambda c: F.array_join(F.slice(parts, c["a"] + 1, c["k"]), glue))

@@ -192,7 +192,7 @@ def failure_fallback(s: SparkSession, d: str) -> DataFrame:
 
 
 def lang_sample(s: SparkSession, d: str) -> DataFrame:
-    a = language.chapter_sample(views.chapters(s, d)).withColumn("file_type", F.lit("epub"))
+    a = language.chapter_sample(views.first_chapters(s, d, 3)).withColumn("file_type", F.lit("epub"))
     b = language.page_sample(views.paged(s, d)).select(F.col("book_id").cast("string").alias("book_id"), "sample", F.lit("pdf").alias("file_type"))
     return a.unionByName(b)
 

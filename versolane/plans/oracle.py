@@ -36,21 +36,8 @@ def unescape(x: str) -> str:
     return x
 
 
-def pieces(html: str, skip: tuple[str, ...]) -> str:
-    bare = f"regexp_replace(regexp_replace({html}, {q(H.dropped_pattern(skip) if skip else '(?s)<!--.*?-->')}, chr(1), 'g'), {q(H.TAG)}, chr(1), 'g')"
-    return f"list_filter(list_transform(string_split({bare}, chr(1)), lambda x: {trim(unescape('x'))}), lambda x: x <> '')"
-
-
-plain = lambda html, skip=H.SKIP: f"array_to_string({pieces(html, skip)}, ' ')"
-
-
-def heading(html: str, otherwise: str) -> str:
-    shown = f"regexp_replace({html}, {q(H.dropped_pattern(('script', 'style')))}, chr(1), 'g')"
-    return f"coalesce(nullif(left(array_to_string({pieces(f'regexp_extract({shown}, {q(H.HEADING)}, 1)', ())}, ''), 80), ''), {otherwise})"
-
-
 HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
-CHAPTERS = f"chapters AS (SELECT {HOST} AS book_id, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS doc_idx, 'page_' || page_id || '.xhtml' AS name, html FROM pages)"
+CHAPTERS = f"chapters AS (SELECT page_id, {HOST} AS book_id, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS doc_idx, 'page_' || page_id || '.xhtml' AS name, html FROM pages)"
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
 PAGED = LINES + ", paged AS (SELECT doc_id AS book_id, i // 8 AS page_no, string_agg(t, chr(10) ORDER BY i) AS text FROM lines GROUP BY doc_id, i // 8)"
 LONG = "texts AS (SELECT conv_id AS text_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
@@ -67,13 +54,6 @@ SPANS = (
     "line_text AS (SELECT book_id, page_no, block_no, line_no, string_agg(text, '' ORDER BY span_no) AS t FROM spans GROUP BY ALL), "
     f"block_text AS (SELECT book_id, page_no, block_no, {trim('string_agg(t, chr(10) ORDER BY line_no)')} AS text FROM line_text GROUP BY ALL)"
 )
-BOOKS = (
-    CHAPTERS + f", t AS (SELECT book_id, doc_idx, {plain('html')} AS text, {heading('html', 'name')} AS title FROM chapters), "
-    f"k AS (SELECT *, length({trim('text')}) > 10 AS ok FROM t), "
-    f"books AS (SELECT book_id, coalesce(sum(length(text)) FILTER (ok), 0)::BIGINT AS total_chars, coalesce(sum({words('text')}) FILTER (ok), 0)::BIGINT AS total_words, count(*) FILTER (ok) AS num_chapters, "
-    "coalesce(list_slice(list(title ORDER BY doc_idx) FILTER (ok), 1, 30), []) AS chapter_names FROM k GROUP BY book_id), "
-    f"analysis AS (SELECT *, {scaled('(total_chars + num_chapters)')} AS estimated_tokens FROM books)"
-)
 PAGED_BOOKS = (
     f"pb AS (SELECT source AS book_id, sum(length(text))::BIGINT AS total_chars, sum({words('text')})::BIGINT AS total_words, count(*) AS num_pages, sum(CASE WHEN length(text) > 0 THEN length(text) + 1 ELSE 0 END)::BIGINT AS n FROM documents GROUP BY source), "
     f"panalysis AS (SELECT book_id, total_chars, total_words, num_pages, {scaled('n')} AS estimated_tokens FROM pb)"
@@ -156,6 +136,29 @@ TREE = (
 )
 
 
+#: Text nodes of the tree with the elements they stand in; a page's text; its first heading.
+NODES = TREE + f", node AS (SELECT page_id, i, {trim(unescape('tok'))} AS x, tags, ids FROM walk JOIN p USING (page_id, i) WHERE kind = 'text' AND NOT regexp_matches(tok, '(?is)^<[!?].*>$'))"
+
+
+def shown(skip: tuple[str, ...] = H.SKIP) -> str:
+    """shown (page_id, text, n): nodes outside `skip` joined by a space, and how many hold a letter."""
+    own = f"x <> '' AND NOT list_has_any(tags, {among(skip)})"
+    return f"shown AS (SELECT page_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER ({own}), '') AS text, count(x) FILTER ({own} AND {letter('x')}) AS n FROM pages LEFT JOIN node USING (page_id) GROUP BY page_id)"
+
+
+HEADS = (
+    "top AS (SELECT page_id, min(first) AS first FROM born WHERE tag IN ('h1', 'h2', 'h3') AND kind = 'start' GROUP BY page_id), "
+    "head AS (SELECT page_id, nullif(left(coalesce(string_agg(x, '' ORDER BY i), ''), 80), '') AS title FROM top LEFT JOIN node USING (page_id) WHERE contains(ids, first) GROUP BY page_id)"
+)
+BOOKS = (
+    f"{NODES}, {shown()}, {HEADS}, {CHAPTERS}, titled AS (SELECT book_id, doc_idx, text, coalesce(title, name) AS title FROM chapters JOIN shown USING (page_id) LEFT JOIN head USING (page_id)), "
+    f"counted AS (SELECT *, length({trim('text')}) > 10 AS ok FROM titled), "
+    f"books AS (SELECT book_id, coalesce(sum(length(text)) FILTER (ok), 0)::BIGINT AS total_chars, coalesce(sum({words('text')}) FILTER (ok), 0)::BIGINT AS total_words, count(*) FILTER (ok) AS num_chapters, "
+    "coalesce(list_slice(list(title ORDER BY doc_idx) FILTER (ok), 1, 30), []) AS chapter_names FROM counted GROUP BY book_id), "
+    f"analysis AS (SELECT *, {scaled('(total_chars + num_chapters)')} AS estimated_tokens FROM books)"
+)
+
+
 def bare(x: str) -> str:
     return unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
 
@@ -171,10 +174,9 @@ PROMPT_MODEL = f"[{', '.join(q(m[0]) for m in catalog.MODELS)}][(text_id % {len(
 ORACLE: dict[str, str] = {
     "src_chapters": f"WITH {CHAPTERS} SELECT book_id, doc_idx, name, length(html) AS n FROM chapters",
     "src_pages": f"WITH {PAGED} SELECT book_id, page_no, text FROM paged",
-    "html_text": f"""WITH RECURSIVE {TREE}, x AS (SELECT page_id, i, {trim(unescape('tok'))} AS x FROM walk JOIN p USING (page_id, i) WHERE kind = 'text' AND NOT regexp_matches(tok, '(?is)^<[!?].*>$') AND NOT list_has_any(tags, {among(H.SKIP)}))
-SELECT pages.page_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS text FROM pages LEFT JOIN x USING (page_id) GROUP BY pages.page_id""",
-    "chapter_names": f"WITH {CHAPTERS} SELECT book_id, doc_idx, {heading('html', 'name')} AS title FROM chapters",
-    "chapter_gate": f"SELECT page_id, {letter(f'left({plain("html")}, 1000)')} AS translated FROM pages",
+    "html_text": f"WITH RECURSIVE {NODES}, {shown()} SELECT page_id, text FROM shown",
+    "chapter_names": f"WITH RECURSIVE {NODES}, {HEADS}, {CHAPTERS} SELECT book_id, doc_idx, coalesce(title, name) AS title FROM chapters LEFT JOIN head USING (page_id)",
+    "chapter_gate": f"WITH RECURSIVE {NODES}, {shown()} SELECT page_id, {letter('left(text, 1000)')} AS translated FROM shown",
     "word_char_counts": f"SELECT doc_id, length(text) AS chars, {words('text')} AS words FROM documents",
     "token_estimate": f"SELECT doc_id, ({tokens('length(text)')})::BIGINT AS tokens FROM documents",
     "token_estimate_scaled": f"WITH b AS (SELECT source AS book_id, sum(length(text) + 1)::BIGINT AS n FROM documents WHERE length(text) > 0 GROUP BY source) SELECT book_id, {scaled('n')} AS tokens FROM b",
@@ -187,11 +189,11 @@ SELECT pages.page_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '
 SELECT job_id, original_filename, ext, source_lang, target_lang, model, coalesce(own, provider) AS provider,
   CASE WHEN original_filename = '' THEN 'no file name' WHEN ext NOT IN ('epub', 'pdf') THEN 'bad extension' WHEN length > 104857600 THEN 'too large' WHEN source_lang = target_lang THEN 'same language'
     WHEN own IS NULL THEN 'unknown model' WHEN own <> 'openai' THEN 'provider not available' END AS error FROM j""",
-    "analyze_books": f"WITH {BOOKS} SELECT * FROM analysis",
+    "analyze_books": f"WITH RECURSIVE {BOOKS} SELECT * FROM analysis",
     "analyze_paged": f"WITH {PAGED_BOOKS} SELECT * FROM panalysis",
-    "analyze_all": f"WITH {BOOKS}, {PAGED_BOOKS} SELECT book_id, 'epub' AS file_type, total_chars, total_words, num_chapters, NULL::BIGINT AS num_pages, chapter_names, estimated_tokens FROM analysis UNION ALL SELECT book_id, 'pdf', total_chars, total_words, NULL, num_pages, NULL, estimated_tokens FROM panalysis",
-    "analysis_json": f"WITH {BOOKS} SELECT book_id, total_chars, total_words, num_chapters, estimated_tokens, chapter_names[1] AS first_name FROM analysis",
-    "cost_by_model": f"WITH {BOOKS}, {MODELS}, p AS (SELECT book_id, model, estimated_tokens / 1e6 * input_cost AS input_usd, estimated_tokens / 1e6 * 1.0::DOUBLE * output_cost AS output_usd FROM analysis, models) SELECT *, input_usd + output_usd AS total_usd FROM p",
+    "analyze_all": f"WITH RECURSIVE {BOOKS}, {PAGED_BOOKS} SELECT book_id, 'epub' AS file_type, total_chars, total_words, num_chapters, NULL::BIGINT AS num_pages, chapter_names, estimated_tokens FROM analysis UNION ALL SELECT book_id, 'pdf', total_chars, total_words, NULL, num_pages, NULL, estimated_tokens FROM panalysis",
+    "analysis_json": f"WITH RECURSIVE {BOOKS} SELECT book_id, total_chars, total_words, num_chapters, estimated_tokens, chapter_names[1] AS first_name FROM analysis",
+    "cost_by_model": f"WITH RECURSIVE {BOOKS}, {MODELS}, costs AS (SELECT book_id, model, estimated_tokens / 1e6 * input_cost AS input_usd, estimated_tokens / 1e6 * 1.0::DOUBLE * output_cost AS output_usd FROM analysis, models) SELECT *, input_usd + output_usd AS total_usd FROM costs",
     "chunk_paragraphs": f"WITH {LONG}, everything AS (SELECT 'c' || text_id AS text_id, text FROM texts UNION ALL SELECT 'd' || doc_id, text FROM documents), {chunked('everything')} SELECT text_id, pos, chunk FROM chunks",
     "chunk_context": f"WITH {LONG}, {chunked('texts')}, {CONTEXT} SELECT text_id, pos, length(chunk) AS n, context FROM with_context",
     "reassemble_text": f"WITH {LONG}, {chunked('texts')} SELECT text_id, string_agg(chunk, chr(10) ORDER BY pos) AS text FROM chunks GROUP BY text_id",
@@ -213,7 +215,7 @@ SELECT text_id, pos, u.model, m.provider, md5(replace(replace({q(translate.SYSTE
     "translate_units": f"WITH RECURSIVE {CHAIN} SELECT seq_key, pos, translated FROM chain",
     "translate_attempts": "SELECT conv_id AS seq_key, turn AS pos, least(turn % 4 + 1, 3) AS attempts, (2 ** (least(turn % 4 + 1, 3) - 1) - 1)::BIGINT AS waited, CASE WHEN turn % 4 = 3 THEN 'failed' ELSE 'ok' END AS outcome FROM conversations",
     "failure_fallback": f"WITH RECURSIVE {FAILING}, n AS (SELECT *, sum(bad::INT) OVER (PARTITION BY seq_key)::BIGINT AS n_failed FROM chain) SELECT seq_key, pos, n_failed, CASE WHEN n_failed > 0 THEN source ELSE translated END AS as_chapter, CASE WHEN bad THEN source ELSE translated END AS as_group FROM n",
-    "lang_sample": f"WITH {CHAPTERS}, {PAGED}, t AS (SELECT book_id, doc_idx, {plain('html', H.SAMPLE_SKIP)} AS text FROM chapters WHERE doc_idx < 3), f AS (SELECT book_id, left(arg_min(text, doc_idx), 1000) AS sample, 'epub' AS file_type FROM t WHERE length(text) > 50 GROUP BY book_id UNION ALL SELECT book_id::VARCHAR, left(text, 1000), 'pdf' FROM paged WHERE page_no = 0) SELECT * FROM f WHERE length({trim('sample')}) >= 20",
+    "lang_sample": f"WITH RECURSIVE {NODES}, {shown(H.SAMPLE_SKIP)}, {CHAPTERS}, {PAGED}, early AS (SELECT book_id, doc_idx, text FROM chapters JOIN shown USING (page_id) WHERE doc_idx < 3), f AS (SELECT book_id, left(arg_min(text, doc_idx), 1000) AS sample, 'epub' AS file_type FROM early WHERE length(text) > 50 GROUP BY book_id UNION ALL SELECT book_id::VARCHAR, left(text, 1000), 'pdf' FROM paged WHERE page_no = 0) SELECT * FROM f WHERE length({trim('sample')}) >= 20",
     "detect_requests": f"""WITH {PAGED}, {MANIFEST}, s AS (SELECT book_id AS job_id, left(text, 1000) AS sample FROM paged WHERE page_no = 0 AND length({trim('left(text, 1000)')}) >= 20),
 r AS (SELECT job_id, sample, CASE WHEN job_id % 3 = 0 THEN 'openai' ELSE provider END AS provider, CASE WHEN job_id % 4 = 0 THEN model ELSE '' END AS model FROM s JOIN manifest USING (job_id))
 SELECT job_id, provider, coalesce(nullif(model, ''), CASE WHEN provider = 'anthropic' THEN {q(catalog.DETECTION['anthropic'])} ELSE {q(catalog.DETECTION['openai'])} END) AS model, md5({q(language.ASK)} || sample) AS prompt_md5 FROM r""",
@@ -221,7 +223,7 @@ SELECT job_id, provider, coalesce(nullif(model, ''), CASE WHEN provider = 'anthr
     "lang_function_words": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents), p(code, w) AS (VALUES "
     + ", ".join(f"({q(c)}, {q(w)})" for c, own in language.PROFILE.items() for w in own)
     + "), n AS (SELECT doc_id, code, count(*) AS n FROM w JOIN p USING (w) GROUP BY ALL), b AS (SELECT doc_id, arg_max(code, (n, code)) AS language FROM n GROUP BY doc_id) SELECT d.doc_id, coalesce(language, 'Unknown') AS language FROM documents d LEFT JOIN b USING (doc_id)",
-    "progress_chapters": f"""WITH {CHAPTERS}, c AS (SELECT book_id, doc_idx, CASE WHEN doc_idx % 5 = 4 THEN 0 ELSE len(list_filter({pieces('html', H.SKIP)}, lambda x: {letter('x')})) END AS n, count(*) OVER (PARTITION BY book_id)::DOUBLE AS d FROM chapters),
+    "progress_chapters": f"""WITH RECURSIVE {NODES}, {shown()}, {CHAPTERS}, c AS (SELECT book_id, doc_idx, CASE WHEN doc_idx % 5 = 4 THEN 0 ELSE n END AS n, count(*) OVER (PARTITION BY book_id)::DOUBLE AS d FROM chapters JOIN shown USING (page_id)),
 u AS (SELECT *, unnest(CASE WHEN n = 0 THEN [NULL] ELSE range(n) END) AS block_no FROM c)
 SELECT book_id, doc_idx, block_no, round(CASE WHEN block_no IS NULL THEN (doc_idx + 1) / d ELSE least(doc_idx / d + (block_no + 1) / n / d, 0.99::DOUBLE) END, 9) AS progress FROM u""",
     "progress_pages": f"WITH RECURSIVE {GROUPS}, tot AS (SELECT doc_id AS book_id, count(DISTINCT i // 8)::DOUBLE AS p FROM lines GROUP BY doc_id), n AS (SELECT book_id, page_no, gid, count(*) OVER (PARTITION BY book_id, page_no) AS n FROM boxes) SELECT book_id, page_no, gid, round(page_no / p, 9) AS started, round(page_no / p + 0.3::DOUBLE / p, 9) AS grouped, round(least((page_no + (gid + 1) / n) / p, 0.99::DOUBLE), 9) AS progress FROM n JOIN tot USING (book_id)",

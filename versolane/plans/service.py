@@ -201,7 +201,7 @@ far AS (SELECT doc_id, langs.lang, sum(CASE WHEN known.rank IS NULL THEN 300 ELS
 best AS (SELECT doc_id, lang, distance FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
 SELECT d.doc_id, coalesce(best.lang, 'Unknown') AS language, best.distance FROM documents d LEFT JOIN best USING (doc_id)"""
 
-PROGRESS = f"""WITH {O.CHAPTERS}, c AS (SELECT book_id, doc_idx, doc_idx % 7 = 3 AS bad, CASE WHEN doc_idx % 5 = 4 OR doc_idx % 7 = 3 THEN 0 ELSE len(list_filter({O.pieces('html', H.SKIP)}, lambda x: {O.letter('x')})) END AS n, count(*) OVER (PARTITION BY book_id) AS d FROM chapters),
+PROGRESS = f"""WITH RECURSIVE {O.NODES}, {O.shown()}, {O.CHAPTERS}, c AS (SELECT book_id, doc_idx, doc_idx % 7 = 3 AS bad, CASE WHEN doc_idx % 5 = 4 OR doc_idx % 7 = 3 THEN 0 ELSE n END AS n, count(*) OVER (PARTITION BY book_id) AS d FROM chapters JOIN shown USING (page_id)),
 u AS (SELECT *, unnest(CASE WHEN n = 0 THEN [NULL] ELSE range(n) END) AS block_no, 'Chapter ' || (doc_idx + 1) || '/' || d AS chapter FROM c)
 SELECT book_id, doc_idx, block_no, CASE WHEN bad THEN 'failed' WHEN block_no IS NULL THEN 'skipped' ELSE 'block' END AS step,
   round(CASE WHEN block_no IS NULL THEN (doc_idx + 1) / d ELSE least(doc_idx / d + (block_no + 1) / n / d, 0.99::DOUBLE) END, 9) AS progress,
@@ -219,9 +219,9 @@ ORACLE: dict[str, str] = {
 SELECT doc_id AS job_id, CASE WHEN kind = '2' THEN 'French' WHEN kind IS NULL OR kind IN ('0', '1', '3') THEN 'Unknown' ELSE 'German' END AS language,
   CASE WHEN kind IS NULL THEN 'not asked' WHEN kind = '0' THEN 'failed: ' || CASE WHEN doc_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END || ' is busy' WHEN kind IN ('1', '3') THEN 'not recognised' ELSE 'answered' END AS outcome FROM documents LEFT JOIN s ON job_id = doc_id""",
     "lang_detect": PROFILES,
-    "token_estimate_encoded": f"""WITH {O.CHAPTERS}, x AS (SELECT book_id, doc_idx, {O.plain('html')} AS text FROM chapters), b AS (SELECT book_id, string_agg(text || chr(10), '' ORDER BY doc_idx) AS t FROM x WHERE length({O.trim('text')}) > 10 GROUP BY book_id),
-p AS (SELECT source AS book_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE length(text) > 0 GROUP BY source)
-SELECT book_id, {_HEAD} AS estimated_tokens, 'epub' AS file_type FROM b UNION ALL SELECT book_id, {_HEAD}, 'pdf' FROM p""",
+    "token_estimate_encoded": f"""WITH RECURSIVE {O.NODES}, {O.shown()}, {O.CHAPTERS}, x AS (SELECT book_id, doc_idx, text FROM chapters JOIN shown USING (page_id)), b AS (SELECT book_id, string_agg(text || chr(10), '' ORDER BY doc_idx) AS t FROM x WHERE length({O.trim('text')}) > 10 GROUP BY book_id),
+books AS (SELECT source AS book_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE length(text) > 0 GROUP BY source)
+SELECT book_id, {_HEAD} AS estimated_tokens, 'epub' AS file_type FROM b UNION ALL SELECT book_id, {_HEAD}, 'pdf' FROM books""",
     "progress_books": f"{PROGRESS} UNION ALL SELECT 'nothing', NULL, NULL, 'done', 1.0, 'Done: nothing to translate'",
     "progress_stream": PROGRESS,
     "epub_source_heads": f"""WITH {O.CHAPTERS}, v AS (SELECT *, doc_idx // 8 AS volume, doc_idx % 8 AS i FROM chapters), f AS (SELECT *, book_id || '.vol-' || volume AS file FROM v UNION ALL SELECT *, book_id || '.vol-' || volume || '.again' FROM v WHERE volume % 3 = 0)

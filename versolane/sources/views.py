@@ -29,6 +29,16 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book_id", (F.col("start") + F.col("within")).cast("int").alias("doc_idx"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("name"), "html")
 
 
+def first_chapters(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(book_id, doc_idx, name, html): the first n chapters of each book. Ids are ranked without any HTML, which only those pages bring along."""
+    ids = read(spark, sf_dir, "pages").select(F.regexp_extract("url", HOST, 1).alias("book_id"), "page_id").withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(64)))
+    # n of each part of a book first, so no task ranks a book
+    some = ids.withColumn("k", F.row_number().over(Window.partitionBy("book_id", "part").orderBy("page_id"))).where(F.col("k") <= n)
+    some = some.withColumn("doc_idx", F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")) - 1).where(F.col("doc_idx") < n).select("book_id", "doc_idx", "page_id")
+    rows = some.join(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return rows.select("book_id", "doc_idx", F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("name"), "html")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, i, t): the lines of each document."""
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
