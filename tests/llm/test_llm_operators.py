@@ -604,3 +604,11 @@ def test_a_block_costs_the_same_however_many_parts_there_are(monkeypatch):
     for radixes, parts in ((1_920, 3_840), (64_000, 128_000), (6_000_000, 12_000_000)):  # 30 GB, 1 TB, 100 TB
         large = min((stage(radixes, parts) for _ in range(3)), key=lambda x: x[0])
         assert large[0] < 1.5 * small[0] and large[1] <= 2 * anchors and large[2] == small[2]
+
+
+def test_what_goes_to_a_worker_follows_the_seeds():
+    import pickle
+
+    draw = random.Random(2)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(draw.randrange(1, 31))) for _ in range(2000)]
+    assert len(pickle.dumps(decontaminate.Block(texts))) < 16 << 20  # 144 MB with filters of one size

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, offsets, slices, words
 
-TABLE = 22
+TABLE = 22  # bits of a mask's filter at most; it has 16 to 32 places a seed
 
 
 def masks(size: int, percent: int, sliding: bool) -> set[str]:
@@ -75,8 +75,9 @@ class Block:
             fit = np.isin(counts[np.searchsorted(self.off, at, side="right") - 1], list(own))
             at, s = at[fit], s[fit]
             order = np.argsort(s, kind="stable")
-            maybe = np.zeros(1 << TABLE, bool)
-            maybe[s >> np.uint64(64 - TABLE)] = True
+            bits = max(10, min(TABLE, (16 * len(s)).bit_length()))
+            maybe = np.zeros(1 << bits, bool)
+            maybe[s >> np.uint64(64 - bits)] = True
             self.seeds[mask] = s[order], at[order], maybe
 
 
@@ -90,7 +91,7 @@ def overlaps(h: np.ndarray, off: np.ndarray, block: Block, window: int, percent:
     found = []
     for mask, (known, places, maybe) in block.seeds.items():
         at, s = seeds(h, off, mask)
-        some = maybe[s >> np.uint64(64 - TABLE)]
+        some = maybe[s >> np.uint64(65 - len(maybe).bit_length())]
         at, s = at[some], s[some]
         lo, hi = np.searchsorted(known, s), np.searchsorted(known, s, side="right")
         n = hi - lo
@@ -101,15 +102,27 @@ def overlaps(h: np.ndarray, off: np.ndarray, block: Block, window: int, percent:
     # an offset may stand twice where a text is empty: the last such text is the one that has the word
     lines = np.unique(np.stack([text, item, hits[:, 0] - hits[:, 1] + block.off[item]], 1), axis=0)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for t, i, start in lines.tolist():
+    # an item within the window is compared whole, all places of all such items at once
+    size = np.diff(block.off)[lines[:, 1]]
+    t, i, start = lines[size <= window].T
+    m = size[size <= window]
+    inside = (start >= off[t]) & (start + m <= off[t + 1])
+    t, i, start, m = t[inside], i[inside], start[inside], m[inside]
+    equal = np.zeros(len(m), np.int64)
+    for j in range(int(m.max(initial=0))):
+        on = np.flatnonzero(j < m)
+        equal[on] += h[start[on] + j] == block.h[block.off[i[on]] + j]
+    enough = 100 * equal >= percent * m
+    for pair, same in zip(zip(t[enough].tolist(), i[enough].tolist()), zip(equal[enough].tolist(), m[enough].tolist())):
+        best[pair] = max(best.get(pair, (0, 0)), same)
+    for t, i, start in lines[size > window].tolist():
         own = block.h[block.off[i] : block.off[i + 1]]
         lo, hi = max(start, int(off[t])), min(start + len(own), int(off[t + 1]))
-        size = min(window, len(own))
-        if hi - lo < size:
+        if hi - lo < window:
             continue
         same = h[lo:hi] == own[lo - start : hi - start]
         total = np.r_[0, np.cumsum(same)]
-        if (100 * (total[size:] - total[:-size]) >= percent * size).any():
+        if (100 * (total[window:] - total[:-window]) >= percent * window).any():
             best[t, i] = max(best.get((t, i), (0, 0)), (int(total[-1]), hi - lo))
     return ((t, i, *v) for (t, i), v in best.items())
 
