@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +23,77 @@ SPACE = 32
 MOST = 1000
 
 
-def letters(text: str) -> np.ndarray:
-    """Code points of a text with a space for each run of anything but letters, and one at both ends; A-Z as a-z."""
-    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    kinds, at = np.unique(raw, return_inverse=True)
-    kept = np.array([c + 32 if 65 <= c <= 90 else c if unicodedata.category(chr(c))[0] == "L" else SPACE for c in kinds.tolist()], np.int64)
-    x = np.r_[SPACE, kept[at] if len(raw) else np.zeros(0, np.int64), SPACE]
-    return x[np.r_[True, (x[1:] != SPACE) | (x[:-1] != SPACE)]]
+@cache
+def letter(c: int) -> int:
+    """A letter's code point, A-Z as a-z; a space for anything else."""
+    return c + 32 if 65 <= c <= 90 else c if unicodedata.category(chr(c))[0] == "L" else SPACE
 
 
-def grams(text: str) -> np.ndarray:
-    """All sequences of one to three characters without a space inside and not of a space alone, as numbers that sort as the sequences do."""
-    x = letters(text)
-    word = x != SPACE
-    one, two = x[word], (x[:-1] << 2 * SHIFT | x[1:] << SHIFT)[word[:-1] | word[1:]] if len(x) > 1 else x[:0]
-    three = (x[:-2] << 2 * SHIFT | x[1:-1] << SHIFT | x[2:])[word[1:-1]] if len(x) > 2 else x[:0]
-    return np.concatenate([one << 2 * SHIFT, two, three])
+def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(characters in order, place of each of the text's among them): a space for each run of anything but letters, and one at both ends."""
+    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    if len(raw) and int(raw.max()) < 1 << 16:
+        kinds = np.flatnonzero(np.bincount(raw))
+        where = np.zeros(int(kinds[-1]) + 1, np.int64)
+        where[kinds] = np.arange(len(kinds))
+        at = where[raw]
+    else:
+        kinds, at = np.unique(raw, return_inverse=True)
+    known, of = np.unique(np.array([*map(letter, kinds.tolist()), SPACE], np.int64), return_inverse=True)
+    x = np.r_[of[-1], of[at] if len(raw) else of[:0], of[-1]]
+    word = x != of[-1]
+    return known, x[np.r_[True, word[1:] | word[:-1]]]
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sequences of one to three characters without a space inside and not of a space alone, as numbers that sort as the sequences do, and how often each stands in the text."""
+    known, x = letters(text)
+    width = len(known) + 1
+    word, x = known[x] != SPACE, x + 1
+    one = x[word] * width**2
+    two = (x[:-1] * width**2 + x[1:] * width)[word[:-1] | word[1:]] if len(x) > 1 else one[:0]
+    three = (x[:-2] * width**2 + x[1:-1] * width + x[2:])[word[1:-1]] if len(x) > 2 else one[:0]
+    codes = np.concatenate([one, two, three])
+    if width**3 <= 1 << 18:  # few letters: counted without sorting
+        n = np.bincount(codes)
+        u = np.flatnonzero(n)
+        n = n[u]
+    else:
+        u, n = np.unique(codes, return_counts=True)
+    full = np.r_[0, known]
+    return full[u // width**2] << 2 * SHIFT | full[u // width % width] << SHIFT | full[u % width], n
 
 
 def profile(text: str, size: int) -> np.ndarray:
     """The text's sequences, the most frequent first, of equal ones the smaller first."""
-    u, n = np.unique(grams(text), return_counts=True)
+    u, n = counted(text)
     return u[np.argsort(-n, kind="stable")][:size]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by language, summed over a partition before they leave it: as many rows as there are sequences, not texts."""
+    held: dict[str, tuple[list, list, int]] = {}
+
+    def summed(us: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, at = np.unique(np.concatenate(us), return_inverse=True)
+        return u, np.bincount(at, np.concatenate(ns)).astype(np.int64)
+
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            u, n = np.unique(grams(text), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            us, ns, size = held.get(lang, ([], [], 0))
+            u, n = counted(text)
+            us.append(u)
+            ns.append(n)
+            size += len(u)
+            if size > 1 << 20:
+                u, n = summed(us, ns)
+                us, ns, size = [u], [n], 0  # what is new since counts, so sums stay few
+            held[lang] = us, ns, size
+    for lang, (us, ns, _) in held.items():
+        u, n = summed(us, ns)
+        for a in range(0, len(u), 1 << 16):
+            part = u[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[a : a + (1 << 16)])], ["lang", "gram", "n"])
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE) -> DataFrame:

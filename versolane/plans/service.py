@@ -87,6 +87,13 @@ def token_estimate_encoded(s: SparkSession, d: str) -> DataFrame:
     return html.unionByName(analyze.encoded_estimate(analyze.page_pieces(pages), count).withColumn("file_type", F.lit("pdf")))
 
 
+def analyze_requested(s: SparkSession, d: str) -> DataFrame:
+    """The analysis of the books that were asked for, one of which has no chapter."""
+    chapters = views.chapters(s, d)
+    asked = chapters.select("book_id").where(F.length("book_id") % 2 == 0).union(s.createDataFrame([("nothing",)], "book_id string"))
+    return analyze.books(chapters.join(asked.distinct(), "book_id", "left_semi"), asked)
+
+
 def _volumes(s: SparkSession, d: str, folder: str, pages: int = 8) -> int:
     """Each book as archives of eight chapters, written where a stream finds them; of every third volume a second delivery under another name. Returns how many files there are."""
     import pandas as pd
@@ -171,7 +178,7 @@ def html_blocks_sql(s: SparkSession, d: str) -> DataFrame:
         FROM {pages} p, LATERAL html_blocks(p.html) b WHERE translatable(b.inner_html)""", pages=views.read(s, d, "pages"))
 
 
-QUERIES = (progress_books, progress_stream, epub_source_heads, html_blocks_sql, job_machine, job_machine_stream, translate_batches, translate_stored, lang_ask, lang_detect, token_estimate_encoded, upload_books_stream, publish_versions)
+QUERIES = (analyze_requested, progress_books, progress_stream, epub_source_heads, html_blocks_sql, job_machine, job_machine_stream, translate_batches, translate_stored, lang_ask, lang_detect, token_estimate_encoded, upload_books_stream, publish_versions)
 
 MACHINE = """WITH RECURSIVE ev AS (
   SELECT event_id, user_id AS job_id, epoch_us(ts) // 1000 AS at_ms, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' END AS kind,
@@ -222,6 +229,7 @@ SELECT doc_id AS job_id, CASE WHEN kind = '2' THEN 'French' WHEN kind IS NULL OR
     "token_estimate_encoded": f"""WITH RECURSIVE {O.NODES}, {O.shown()}, {O.CHAPTERS}, x AS (SELECT book_id, doc_idx, text FROM chapters JOIN shown USING (page_id)), b AS (SELECT book_id, string_agg(text || chr(10), '' ORDER BY doc_idx) AS t FROM x WHERE length({O.trim('text')}) > 10 GROUP BY book_id),
 books AS (SELECT source AS book_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE length(text) > 0 GROUP BY source)
 SELECT book_id, {_HEAD} AS estimated_tokens, 'epub' AS file_type FROM b UNION ALL SELECT book_id, {_HEAD}, 'pdf' FROM books""",
+    "analyze_requested": f"WITH RECURSIVE {O.BOOKS} SELECT * FROM analysis WHERE length(book_id) % 2 = 0 UNION ALL SELECT 'nothing', 0, 0, 0, [], 0",
     "progress_books": f"{PROGRESS} UNION ALL SELECT 'nothing', NULL, NULL, 'done', 1.0, 'Done: nothing to translate'",
     "progress_stream": PROGRESS,
     "epub_source_heads": f"""WITH {O.CHAPTERS}, v AS (SELECT *, doc_idx // 8 AS volume, doc_idx % 8 AS i FROM chapters), f AS (SELECT *, book_id || '.vol-' || volume AS file FROM v UNION ALL SELECT *, book_id || '.vol-' || volume || '.again' FROM v WHERE volume % 3 = 0)

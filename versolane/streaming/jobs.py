@@ -15,8 +15,8 @@ from ..sources.views import as_job_events
 
 
 def shared(spark: SparkSession, tag: str) -> str:
-    """A new folder where driver and executors both write: in spark.checkpoint.dir, or a local one where that is unset and Spark is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where driver and executors both write: in spark.checkpoint.dir, in the context's checkpoint folder, or in a local one where both are unset and Spark is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
