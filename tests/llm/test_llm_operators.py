@@ -612,3 +612,16 @@ def test_what_goes_to_a_worker_follows_the_seeds():
     draw = random.Random(2)
     texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(draw.randrange(1, 31))) for _ in range(2000)]
     assert len(pickle.dumps(decontaminate.Block(texts))) < 16 << 20  # 144 MB with filters of one size
+
+
+def test_sequences_follow_the_curve(spark):
+    """Documents stand in order of place, then key; and neighbours in the sequences share a language more often than documents at random do."""
+    docs = documents(spark).where("text IS NOT NULL AND lang IS NOT NULL")
+    place = {r["key"]: r["place"] for r in packing.tokenized(docs, "doc_id", "text", queries.tokenizer(), 1).select("key", "place").collect()}
+    got = packing.pack(docs.repartition(3), queries.tokenizer(), length=256).orderBy("sequence_id", "offset").collect()
+    order = list(dict.fromkeys(r["doc_id"] for r in got))
+    assert order == sorted(place, key=lambda k: (place[k], k)) and len(set(place.values())) > len(place) // 2
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    near = np.mean([lang[a] == lang[b] for a, b in itertools.pairwise(order)])
+    shares = np.unique(list(lang.values()), return_counts=True)[1] / len(lang)
+    assert near > 1.5 * (shares**2).sum()
