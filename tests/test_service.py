@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from versolane.operators import analyze, batches, detection, profiles, translate
+from versolane.operators import analyze, batches, detection, jobs, profiles, translate
 from versolane.sources import books, epub, shelf
 from versolane.streaming import machine, uploads
 
@@ -237,14 +237,14 @@ def test_detection_in_flight(spark):
     assert [prompts[n] for n, _, _ in order].index("a") < [prompts[n] for n, _, _ in order].index("late")
     assert outcome["slow"] == (None, "timed out") and outcome["bad"][1] == ("failed: " + "y" * 100)[:60] and outcome["late"] == ("'late'.\n", "answered")
     rows = spark.createDataFrame([(i, "p", "m", x) for i, x in enumerate(["a", "bad", "Unknown"])], "job_id int, provider string, model string, prompt string")
-    jobs = spark.createDataFrame([(i,) for i in range(4)], "job_id int")
+    all_jobs = spark.createDataFrame([(i,) for i in range(4)], "job_id int")
 
     def quick(provider, model, prompt):
         if prompt == "bad":
             raise ValueError("no")
         return f"'{prompt}'.\n"
 
-    got = {r["job_id"]: (r["language"], r["outcome"]) for r in detection.detected(jobs, rows, quick, width=2).collect()}
+    got = {r["job_id"]: (r["language"], r["outcome"]) for r in detection.detected(all_jobs, rows, quick, width=2).collect()}
     assert got == {0: ("a", "answered"), 1: ("Unknown", "failed: no"), 2: ("Unknown", "not recognised"), 3: ("Unknown", "not asked")}
 
 
@@ -345,6 +345,11 @@ def test_books_are_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert books.publish(chapters_of(spark, second), out) == 2
     assert shown() == [("a", 0, "new"), ("b", 0, "3"), ("c", 0, "4")]
     assert {r["book_id"]: r["n_chapters"] for r in books.manifest(spark, out).collect()} == {"a": 1, "b": 1, "c": 1}
+    # what is staged and not committed can't be downloaded
+    state = spark.createDataFrame([("a", "completed"), ("b", "processing"), ("staged", "completed")], "job_id string, status string")
+    shelf.stage(chapters_of(spark, [("staged", 0, "5")]), f"{out}/data", ("book_id",))
+    asked = spark.createDataFrame([("a",), ("b",), ("staged",), ("unknown",)], "job_id string")
+    assert {r["job_id"]: r["code"] for r in jobs.lookup(asked, state, books.outputs(spark, out)).collect()} == {"a": 200, "b": 400, "staged": 404, "unknown": 404}
 
 
 def test_one_of_two_writers_commits_a_version(spark, tmp_path):

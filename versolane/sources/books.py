@@ -43,6 +43,11 @@ def manifest(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(kind).parquet(folder) if folder else spark.createDataFrame([], kind)
 
 
+def outputs(spark: SparkSession, out: str) -> DataFrame:
+    """(job_id) of the books that can be downloaded: those in the newest manifest, see `operators.jobs.lookup`."""
+    return manifest(spark, out).select(F.col("book_id").alias("job_id"))
+
+
 def publish(chapters: DataFrame, out: str) -> int:
     """Publishes books on the shelf `out` and returns the shelf's version.
 
