@@ -352,10 +352,17 @@ def test_books_are_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert {r["job_id"]: r["code"] for r in jobs.lookup(asked, state, books.outputs(spark, out)).collect()} == {"a": 200, "b": 400, "staged": 404, "unknown": 404}
 
 
-def test_one_of_two_writers_commits_a_version(spark, tmp_path):
+def test_one_of_two_writers_commits_a_version(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "shelf")
     folders = [shelf.stage(spark.range(n), out) for n in (1, 2)]
     shelf.commit(spark, out, folders[0], 1)
     with pytest.raises(shelf.Taken):
         shelf.commit(spark, out, folders[1], 1)
     assert shelf.latest(spark, out) == (1, folders[0])
+    monkeypatch.setattr(shelf, "versions", lambda *a: [])  # both looked before either committed
+    with pytest.raises(shelf.Taken):
+        shelf.commit(spark, out, folders[1], 1)
+    monkeypatch.undo()
+    assert shelf.latest(spark, out) == (1, folders[0])
+    shelf.commit(spark, out, folders[1], 2)
+    assert shelf.latest(spark, out) == (2, folders[1])

@@ -25,7 +25,16 @@ def versions(spark: SparkSession, shelf: str) -> list[tuple[int, str]]:
     if not files.exists(at):
         return []
     found = sorted(x.getPath().getName() for x in files.listStatus(at))
-    return [(int(name.split("-")[0]), f"{shelf}/staged/{name.split('-', 1)[1]}") for name in found if name[0].isdigit()]
+    return [(int(name), f"{shelf}/staged/{_line(spark, f'{shelf}/versions/{name}')}") for name in found if name.isdigit()]
+
+
+def _line(spark: SparkSession, path: str) -> str:
+    at, files = _place(spark, path)
+    source = files.open(at)
+    try:
+        return source.readUTF()
+    finally:
+        source.close()
 
 
 def latest(spark: SparkSession, shelf: str) -> tuple[int, str | None]:
@@ -51,17 +60,20 @@ def commit(spark: SparkSession, shelf: str, folder: str, number: int) -> None:
         raise Taken(f"version {number} of {shelf}")
     name = folder.rsplit("/", 1)[1]
     draft, files = _place(spark, f"{shelf}/drafts/{name}")
-    files.create(draft, True).close()
-    # the lock has no folder in its name, so two writers of one version meet in it
-    lock, _ = _place(spark, f"{shelf}/locks/{number:09d}")
+    out = files.create(draft, True)
+    out.writeUTF(name)
+    out.close()
+    final, _ = _place(spark, f"{shelf}/versions/{number:09d}")
+    files.mkdirs(final.getParent())
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        files.create(lock, False).close()
+        # without the option to overwrite: what is there stays there
+        context.rename(draft, final, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
     except Py4JJavaError as why:
-        raise Taken(f"version {number} of {shelf}") from why
-    final, _ = _place(spark, f"{shelf}/versions/{number:09d}-{name}")
-    files.mkdirs(final.getParent())
-    if not files.rename(draft, final):
-        raise OSError(f"version {number} of {shelf} can't be put in place")
+        if files.exists(final):
+            raise Taken(f"version {number} of {shelf}") from why
+        raise
 
 
 def publish(df: DataFrame, shelf: str) -> DataFrame:
