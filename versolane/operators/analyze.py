@@ -24,11 +24,11 @@ def books(chapters: DataFrame, of: DataFrame | None = None, names: int = 30, par
     rows = chapter_texts(chapters).select("book_id", "doc_idx", F.coalesce("text", F.lit("")).alias("text"), heading(F.col("html"), F.col("name")).alias("title"))
     counts = F.length(trim_ws(F.col("text"))) > 10
     rows = rows.select("book_id", F.floor(F.col("doc_idx") / part).alias("part"), F.when(counts, F.length("text")).alias("n"), F.when(counts, word_count(F.col("text"))).alias("w"), F.when(counts, F.struct("doc_idx", "title")).alias("c"))
-    some = rows.groupBy("book_id", "part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("c").alias("k"), F.slice(F.array_sort(F.collect_list("c")), 1, names).alias("c"))
+    some = rows.groupBy("book_id", "part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("c").alias("k"), F.slice(F.sort_array(F.collect_list("c")), 1, names).alias("c"))
     # the first parts with any name hold all that are listed
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.col("k") == 0, "part"))
     some = some.withColumn("c", F.when(rank <= names, F.col("c")))
-    out = some.groupBy("book_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_chars"), F.coalesce(F.sum("w"), F.lit(0)).alias("total_words"), F.sum("k").alias("num_chapters"), F.array_sort(F.flatten(F.collect_list("c"))).alias("c"))
+    out = some.groupBy("book_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_chars"), F.coalesce(F.sum("w"), F.lit(0)).alias("total_words"), F.sum("k").alias("num_chapters"), F.sort_array(F.flatten(F.collect_list("c"))).alias("c"))
     out = out.select("book_id", "total_chars", "total_words", "num_chapters", F.transform(F.slice("c", 1, names), lambda x: x["title"]).alias("chapter_names"))
     if of is not None:
         out = of.select("book_id").distinct().join(out, "book_id", "left").select("book_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_chars", "total_words", "num_chapters")], F.coalesce("chapter_names", F.array().cast("array<string>")).alias("chapter_names"))
@@ -70,7 +70,7 @@ def heads(pieces: DataFrame, cap: int = 50_000, part: int = 512) -> DataFrame:
     inner = Window.partitionBy("book_id", "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum(F.length("piece")).over(inner), F.lit(0))
     cut = near.select("book_id", "idx", at.alias("at"), "piece").where(F.col("at") < cap).select("book_id", "idx", F.left("piece", (F.lit(cap) - F.col("at")).cast("int")).alias("piece"))
-    head = cut.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", "piece"))).alias("all"))  # cap characters at most
+    head = cut.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("idx", "piece"))).alias("all"))  # cap characters at most
     total = parts.groupBy("b").agg(F.sum("n").alias("length"))
     return head.select("book_id", F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("head")).join(total, F.col("book_id").eqNullSafe(F.col("b"))).drop("b")
 
@@ -96,6 +96,6 @@ def merged(partials: DataFrame, names: int = 30) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.col("num_chapters") == 0, "volume"))
     # the first volumes with any name hold all that are listed
     some = partials.withColumn("c", F.when(rank <= names, F.struct("volume", "chapter_names")))
-    out = some.groupBy("book_id").agg(*[F.sum(c).alias(c) for c in ("total_chars", "total_words", "num_chapters")], F.array_sort(F.collect_list("c")).alias("c"))
+    out = some.groupBy("book_id").agg(*[F.sum(c).alias(c) for c in ("total_chars", "total_words", "num_chapters")], F.sort_array(F.collect_list("c")).alias("c"))
     listed = F.slice(F.flatten(F.transform("c", lambda x: x["chapter_names"])), 1, names)
     return out.select("book_id", "total_chars", "total_words", "num_chapters", listed.alias("chapter_names"), scaled_estimate(F.col("total_chars") + F.col("num_chapters")).alias("estimated_tokens"))

@@ -97,7 +97,7 @@ def leaves(found: DataFrame) -> DataFrame:
 
 def splice(pages: DataFrame, done: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, html): each page with the inner HTML of its blocks replaced by `done` (key, begin, end, translated); tags and attributes stay. Built in: pieces of the source between the places."""
-    parts = done.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "translated"))).alias("p"))
+    parts = done.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "translated"))).alias("p"))
     rows = pages.select(key, html).join(parts, F.col(key) == F.col("k"), "left")
     before = lambda x, i: F.substring(F.col(html), F.when(i == 0, F.lit(1)).otherwise(F.get("p", i - 1)["end"] + 1), x["begin"] - F.when(i == 0, F.lit(0)).otherwise(F.get("p", i - 1)["end"]))
     body = F.array_join(F.transform("p", lambda x, i: F.concat(before(x, i), x["translated"])), "")

@@ -15,7 +15,7 @@ def block_text(spans: DataFrame) -> DataFrame:
 
     Only text blocks count. spans keeps, in order, the style of spans that hold a letter. One shuffle: lines are joined within a block.
     """
-    rows = spans.where("block_type = 0").groupBy(*PAGE, "block_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "span_no", "text", "font", "size", "color"))).alias("s"))
+    rows = spans.where("block_type = 0").groupBy(*PAGE, "block_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "span_no", "text", "font", "size", "color"))).alias("s"))
     # a span that begins a line brings the newline before it
     text = F.transform("s", lambda x, i: F.when((i > 0) & (F.get("s", i - 1)["line_no"] != x["line_no"]), F.concat(F.lit("\n"), x["text"])).otherwise(x["text"]))
     rows = rows.select(*PAGE, "block_no", trim_ws(F.array_join(text, "")).alias("text"), F.filter("s", lambda x: translatable(x["text"])).alias("spans"))
@@ -30,7 +30,7 @@ def groups(blocks: DataFrame, gap: float = 5.0, shift: float = 50.0) -> DataFram
     If blocks have spans (as block_text gives them), a group has those of its blocks, in order: see style.
     """
     more = [c for c in ("spans",) if c in blocks.columns]
-    rows = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_no", "x1", "y1", "text", *more))).alias("b"))
+    rows = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "block_no", "x1", "y1", "text", *more))).alias("b"))
     start = F.struct(F.lit(-1).alias("gid"), *[F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")], F.array().cast("array<int>").alias("ids"))
 
     def step(s: Column, b: Column) -> Column:
@@ -42,7 +42,7 @@ def groups(blocks: DataFrame, gap: float = 5.0, shift: float = 50.0) -> DataFram
     ids = F.aggregate("b", start, step, lambda s: s["ids"])
     rows = rows.select(*PAGE, "b", ids.alias("ids")).select(*PAGE, F.posexplode(F.arrays_zip("b", "ids")).alias("at", "z"))
     rows = rows.select(*PAGE, F.col("z.ids").alias("gid"), "at", "z.b.text", "z.b.x0", "z.b.y0", "z.b.x1", "z.b.y1", "z.b.block_no", *[f"z.b.{c}" for c in more])
-    rows = rows.groupBy(*PAGE, "gid").agg(F.array_sort(F.collect_list(F.struct("at", "text", "block_no", *more))).alias("t"), *[F.min(k).alias(k) for k in ("x0", "y0")], *[F.max(k).alias(k) for k in ("x1", "y1")])
+    rows = rows.groupBy(*PAGE, "gid").agg(F.sort_array(F.collect_list(F.struct("at", "text", "block_no", *more))).alias("t"), *[F.min(k).alias(k) for k in ("x0", "y0")], *[F.max(k).alias(k) for k in ("x1", "y1")])
     return rows.select(*PAGE, "gid", F.size("t").cast("long").alias("n_blocks"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "x0", "y0", "x1", "y1", *[F.flatten(F.transform("t", lambda x: x[c])).alias(c) for c in more])
 
 

@@ -61,5 +61,5 @@ def with_context(cut: DataFrame, last: int = 800) -> DataFrame:
 
 def joined(parts: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     """(key, text): parts in order, joined by newlines."""
-    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("all"))
+    rows = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("all"))
     return rows.select(key, F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias("text"))

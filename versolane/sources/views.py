@@ -57,7 +57,7 @@ def source_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(text_id, text): the turns of a conversation are the paragraphs of a text."""
-    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("text_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return turns.select("text_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
