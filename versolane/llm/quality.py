@@ -34,11 +34,11 @@ def base(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "so
     grams = F.when(n >= 3, F.transform(F.slice(F.col("w"), 1, n - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
     rows = rows.select("key", "host", "page", "t", "lines", n.cast("long").alias("n_words"), grams.alias("grams"))
     again = F.size(F.array_distinct("grams")) < F.size("grams")
-    three = F.when(again, F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    three = F.when(again, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
     rows = rows.select("key", "host", "page", "t", "lines", "n_words", three.alias("three"))
     m = F.size("three")
     next_, last = F.slice(F.col("three"), 2, m), F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice(F.col("three"), 1, m - 1))
-    rows = rows.select("key", "host", "page", "t", "lines", "n_words", F.when(F.col("three").isNotNull(), F.array_sort(F.filter(F.zip_with(F.zip_with(F.col("three"), next_, lambda x, y: F.struct(x["i"].alias("i"), x["g"].alias("g"), (x["g"] == y["g"]).alias("same"))), last, lambda x, y: F.when(x["same"] | (x["g"] == y["g"]), x["i"])), lambda i: i.isNotNull()))).alias("at"))
+    rows = rows.select("key", "host", "page", "t", "lines", "n_words", F.when(F.col("three").isNotNull(), F.sort_array(F.filter(F.zip_with(F.zip_with(F.col("three"), next_, lambda x, y: F.struct(x["i"].alias("i"), x["g"].alias("g"), (x["g"] == y["g"]).alias("same"))), last, lambda x, y: F.when(x["same"] | (x["g"] == y["g"]), x["i"])), lambda i: i.isNotNull()))).alias("at"))
     k = F.size("at")
     gaps = F.zip_with(F.col("at"), F.slice(F.col("at"), 2, k), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     repeat = F.when(k > 0, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long"))
