@@ -27,6 +27,8 @@ from .common import components, mix, offsets, saved, slices, windows, words
 PERMS, BITS, BANDS, ROWS = 512, 4, 48, 5
 #: Members of a bucket that one task pairs with the rest of it; leaves that one task compares with their hub.
 DEAL, LEAVES = 1024, 256
+#: A round that links fewer than one in so many of the nodes that met any other is the last one.
+ROUND = 100
 _A, _B = (mix(np.arange(1, PERMS + 1, dtype=np.uint64) * np.uint64(k)).astype(np.uint32) | np.uint32(1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
@@ -193,7 +195,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     def placed() -> DataFrame:
         return met.select("band", "key").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
 
-    turn, open_ = 0, True
+    # rounds only leave less to the last step, which is complete without them: one that links little is the last
+    turn, open_, nodes_met = 0, True, sized.count()
     while open_:
         at = saved(placed(), "placed")
         of = at.groupBy("band", "root").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("hub"))
@@ -201,8 +204,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         mains = mains.withColumnRenamed("root", "main")
         pairs = at.join(mains, "band").where("root <> main").select("hub", F.col("key").alias("leaf")).distinct()
         links = confirmed(pairs.join(a, "hub").join(b, "leaf").where(near).select("hub", "leaf"))
-        turn, open_ = turn + 1, not links.isEmpty()
-        if open_:
+        linked = links.count()
+        turn, open_ = turn + 1, linked * ROUND > nodes_met
+        if linked:
             roots = joined(roots, links)
 
     rest = saved(at.join(mains.select("band", "main", F.ceil(F.col("n") / DEAL).alias("deals")), "band").join(sized, "key"), "rest")
@@ -212,9 +216,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     cross = x.join(y, (F.col("band") == F.col("bucket")) & (F.col("deal") == F.col("dealt")) & (F.col("ra") != F.col("rb")) & once & near)
     roots = joined(roots, confirmed(saved(cross.select("hub", "leaf").distinct(), "cross")))
 
-    rows = all_.select("key", "n", "same").join(nodes, "same", "left").join(roots, "node", "left")
-    part = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("key"))
-    rows = rows.select(F.col("key"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), part).alias("component_id"))
+    # all texts without words have one digest, and need no join
+    rows = all_.where("n > 0").select("key", "n", "same").join(nodes, "same", "left").join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("part"))
+    rows = rows.union(all_.where("n = 0").select("key", "n", "key"))
+    rows = rows.select(F.col("key"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.col("part")).alias("component_id"))
     return rows.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
