@@ -63,3 +63,14 @@ def test_sessions_close_behind_the_watermark(spark, tmp_path):
     streamed.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     closed = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert closed and closed < {tuple(r) for r in batch}
+
+
+def test_context_of_a_page_reads_references_as_html_does(spark, tmp_path):
+    # a reference without its semicolon, as cut titles end with, and ones that only look like it
+    heads = ["und&amp", "a &ampb; &ltimes; &copysr; &notit; &am", "&#65;&#x41&#0;&#128;&#xD800;&#1;b &#; &mdash", "&amp;lt; &eacute l&eacute;ve"]
+    pages = [(i, "http://a", f"<html><head><title>{x}</title></head><body><p>first</p><p>{x}</p><p>last</p></body></html>") for i, x in enumerate(heads)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r.page_id: r.html for r in catalogue.queries()["reassemble_html"](spark, str(tmp_path)).collect()}
+    assert got == dict(c.execute(f"select page_id, html from ({catalogue.oracle_sql()['reassemble_html']})").fetchall())

@@ -16,7 +16,7 @@ class _Blocks(HTMLParser):
     """Collects elements with their places in the source. An end tag closes up to the nearest open tag of its name; one without is ignored."""
 
     def __init__(self, source: str):
-        super().__init__(convert_charrefs=False)
+        super().__init__(convert_charrefs=True)  # without it the parser ends at "&#" that no number follows
         self.found, self.open, self.clock = [], [], 0
         starts, at = [0], 0
         for line in source.split("\n"):

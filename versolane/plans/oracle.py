@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from html.entities import html5
 
 from ..functions import html as H
 from ..functions import text as T
@@ -159,8 +160,24 @@ BOOKS = (
 )
 
 
+#: References as HTML reads them: a known name ends with a semicolon, an old one also without, and then the longest that the text begins with counts. Names of the given pages are looked up first.
+CHARACTERS = "MAP {" + ", ".join(f"{q('&' + k)}: {q(v)}" for k, v in html5.items()) + "}"
+PIECE = "(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)|[^&]+|&"
+OLD = "^&(?:" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)) + ")"
+ODD = "MAP {0: chr(65533), 13: chr(13), " + ", ".join(f"{c}: {q(bytes([c]).decode('cp1252', 'ignore') or chr(c))}" for c in range(128, 160)) + "}"
+
+
+def decoded(x: str) -> str:
+    code = "CASE WHEN regexp_matches(p, '^&#[xX]') THEN coalesce(try_cast('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1) AS BIGINT), 1114112) ELSE coalesce(try_cast(regexp_extract(p, '^&#([0-9]+)', 1) AS BIGINT), 1114112) END"
+    silent = "c BETWEEN 1 AND 8 OR c = 11 OR c BETWEEN 14 AND 31 OR c = 127 OR c BETWEEN 64976 AND 65007 OR c % 65536 >= 65534"
+    number = f"list_transform([{code}], lambda c: CASE WHEN c IN (0, 13) OR c BETWEEN 128 AND 159 THEN {ODD}[c] WHEN c BETWEEN 55296 AND 57343 OR c > 1114111 THEN chr(65533) WHEN {silent} THEN '' ELSE chr(c::INTEGER) END)[1]"
+    given = " ".join(f"WHEN {q(f'&{name};')} THEN {q(char)}" for name, char in NAMED.items())
+    name = f"CASE p WHEN '&' THEN p {given} ELSE coalesce({CHARACTERS}[p], {CHARACTERS}[regexp_extract(p, {q(OLD)})] || substr(p, length(regexp_extract(p, {q(OLD)})) + 1), p) END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {q(PIECE)}), lambda p: CASE WHEN NOT starts_with(p, '&') THEN p WHEN regexp_matches(p, '^&#[xX]?[0-9a-fA-F]') AND regexp_matches(p, '^&#([0-9]|[xX])') THEN {number} ELSE {name} END), '')"
+
+
 def bare(x: str) -> str:
-    return unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+    return decoded(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
 
 
 PAGE_CHAIN = (
