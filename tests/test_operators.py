@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from versolane.functions import html as html_functions
 from versolane.functions import text as text_functions
 from versolane.operators import analyze, html_blocks, jobs, language, layout, segment, translate
-from versolane.sources import catalog, epub
+from versolane.plans import catalogue
+from versolane.sources import catalog, epub, views
 
 
 def split_brute(text, size=2500):
@@ -246,3 +247,30 @@ def test_epub_names_and_errors(spark, tmp_path):
     got = sorted(((r["path"].split("/")[-1], r["doc_idx"], r["name"], r["html"], r["error"]) for r in epub.read(spark, str(tmp_path)).collect()), key=str)
     assert got[0][:4] == ("broken.epub", None, None, None) and got[0][4].startswith("BadZipFile")
     assert [x[1:] for x in got[1:]] == [(0, "a%20b.xhtml", "<p>1</p>", None), (1, "c.xhtml", "<p>2</p>", None)]
+
+
+def _queries_like_flat_spans(spark):
+    d = "/root/testdata/sf0.001"
+    return layout.block_text(views.spans(spark, d)), layout.block_text(views.page_blocks(spark, d))
+
+
+def test_block_text_of_nested_spans_is_that_of_flat_ones(spark):
+    flat, nested = ({(r["book_id"], r["block_no"]): (r["text"], [tuple(x)[-4:] for x in r["spans"]]) for r in rows.collect()} for rows in _queries_like_flat_spans(spark))
+    assert flat == nested and any("\n" in text for text, _ in nested.values())
+
+
+def test_telling_spans_keep_the_style(spark):
+    kind = "array<struct<line_no:int,span_no:int,text:string,font:string,size:double,color:int>>"
+    span = lambda i, text, color: (0, i, text, f"F{i}", 9.0 + i, color)
+    rows = [
+        (0, 0, [span(0, "!", 1), span(1, "ab", 2), span(2, "abcd", 3), span(3, "efgh", 4)]),
+        (1, 0, [span(0, "abcd", 5), span(1, "efgh", 6)]),
+        (2, 0, [span(0, "!", 7)]),
+        (3, 1, [span(0, "image", 8)]),
+        (4, 0, []),
+        (5, 0, [span(0, None, 9), span(1, "a", 10)]),
+    ]
+    blocks = spark.createDataFrame([(1, 0, *r) for r in rows], f"book_id int, page_no int, block_no int, block_type int, spans {kind}")
+    kept = layout.telling(blocks)
+    assert {r["block_no"]: [x["span_no"] for x in r["spans"]] for r in kept.collect()} == {0: [1, 2], 1: [0], 2: [], 3: [], 4: [], 5: [1]}
+    assert sorted(map(tuple, layout.style(kept.where("block_no IN (0, 1, 5)")).collect())) == sorted(map(tuple, layout.style(layout.block_text(blocks)).collect()))

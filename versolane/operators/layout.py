@@ -10,40 +10,52 @@ from ..functions.text import translatable, trim_ws
 PAGE = ("book_id", "page_no")
 
 
-def block_text(spans: DataFrame) -> DataFrame:
+def block_text(blocks: DataFrame) -> DataFrame:
     """(book_id, page_no, block_no, text, spans): spans joined as they are, lines by newlines, edges off; blocks without a letter go.
 
-    Only text blocks count. spans keeps, in order, the style of spans that hold a letter. One shuffle: lines are joined within a block.
+    Only text blocks count. spans keeps, in order, those that hold a letter. Blocks that hold their spans, in order, are read where they are;
+    rows with a span each are gathered by block first, in one shuffle.
     """
-    rows = spans.where("block_type = 0").groupBy(*PAGE, "block_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "span_no", "text", "font", "size", "color"))).alias("s"))
-    # a span that begins a line brings the newline before it
-    text = F.transform("s", lambda x, i: F.when((i > 0) & (F.get("s", i - 1)["line_no"] != x["line_no"]), F.concat(F.lit("\n"), x["text"])).otherwise(x["text"]))
-    rows = rows.select(*PAGE, "block_no", trim_ws(F.array_join(text, "")).alias("text"), F.filter("s", lambda x: translatable(x["text"])).alias("spans"))
-    return rows.where(translatable(F.col("text")))
+    rows = blocks.where("block_type = 0")
+    if "spans" not in rows.columns:
+        rows = rows.groupBy(*PAGE, "block_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "span_no", "text", "font", "size", "color"))).alias("spans"))
+    rows = rows.where(F.exists("spans", lambda x: translatable(x["text"])))
+    # a span that begins a line brings the newline before it; no array is looked into from within another's lambda, which Spark would make anew for each span
+    before = F.concat(F.slice("spans", 1, 1), F.slice("spans", 1, F.size("spans") - 1))
+    text = F.zip_with("spans", before, lambda x, last: F.when(x["line_no"] != last["line_no"], F.concat(F.lit("\n"), x["text"])).otherwise(x["text"]))
+    return rows.select(*PAGE, "block_no", trim_ws(F.array_join(text, "")).alias("text"), F.filter("spans", lambda x: translatable(x["text"])).alias("spans"))
+
+
+def telling(blocks: DataFrame) -> DataFrame:
+    """Blocks with only those of their spans that a style comes from, in order: of those that hold a letter the first, and the longest if that is another. Images keep none."""
+    rows = blocks.withColumn("spans", F.filter("spans", lambda x: (F.col("block_type") == 0) & translatable(x["text"])))
+    rows = rows.withColumn("best", F.array_max(F.transform("spans", lambda x, i: F.struct(F.length(x["text"]).alias("n"), (-i).alias("at"), x.alias("span")))))
+    first = F.slice("spans", 1, 1)
+    return rows.withColumn("spans", F.when(F.col("best.at") < 0, F.concat(first, F.array("best.span"))).otherwise(first)).drop("best")
 
 
 def groups(blocks: DataFrame, gap: float = 5.0, shift: float = 50.0) -> DataFrame:
-    """(book_id, page_no, gid, n_blocks, text, x0, y0, x1, y1): blocks joined to paragraphs, page by page.
+    """(book_id, page_no, gid, n_blocks, text, x0, y0, x1, y1): blocks joined to paragraphs, page by page, in one shuffle.
 
     In order of (y0, x0, block_no), a block joins the current group if both its sides lie less than `shift` from those of the
     group's box and it starts less than `gap` below it. The box is a running union, so this is a fold, not a lag.
-    If blocks have spans (as block_text gives them), a group has those of its blocks, in order: see style.
+    If blocks have spans (as block_text or telling gives them), a group has those of its blocks, in order: see style. Without text, groups have none.
     """
-    more = [c for c in ("spans",) if c in blocks.columns]
-    rows = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "block_no", "x1", "y1", "text", *more))).alias("b"))
-    start = F.struct(F.lit(-1).alias("gid"), *[F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")], F.array().cast("array<int>").alias("ids"))
+    text, spans = ([c for c in (name,) if c in blocks.columns] for name in ("text", "spans"))
+    rows = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "block_no", "x1", "y1", *text, *spans))).alias("b"))
+    start = F.struct(F.lit(0).alias("i"), *[F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")], F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, b: Column) -> Column:
         near = F.coalesce((F.abs(b["x0"] - s["x0"]) < shift) & (F.abs(b["x1"] - s["x1"]) < shift) & (b["y0"] - s["y1"] < gap), F.lit(False))
-        gid = F.when(near, s["gid"]).otherwise(s["gid"] + 1)
         union = [F.when(near, f(s[k], b[k])).otherwise(b[k]).alias(k) for k, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))]
-        return F.struct(gid.alias("gid"), *union, F.array_append(s["ids"], gid).alias("ids"))
+        return F.struct((s["i"] + 1).alias("i"), *union, F.when(near, s["starts"]).otherwise(F.array_append(s["starts"], s["i"])).alias("starts"))
 
-    ids = F.aggregate("b", start, step, lambda s: s["ids"])
-    rows = rows.select(*PAGE, "b", ids.alias("ids")).select(*PAGE, F.posexplode(F.arrays_zip("b", "ids")).alias("at", "z"))
-    rows = rows.select(*PAGE, F.col("z.ids").alias("gid"), "at", "z.b.text", "z.b.x0", "z.b.y0", "z.b.x1", "z.b.y1", "z.b.block_no", *[f"z.b.{c}" for c in more])
-    rows = rows.groupBy(*PAGE, "gid").agg(F.sort_array(F.collect_list(F.struct("at", "text", "block_no", *more))).alias("t"), *[F.min(k).alias(k) for k in ("x0", "y0")], *[F.max(k).alias(k) for k in ("x1", "y1")])
-    return rows.select(*PAGE, "gid", F.size("t").cast("long").alias("n_blocks"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "x0", "y0", "x1", "y1", *[F.flatten(F.transform("t", lambda x: x[c])).alias(c) for c in more])
+    rows = rows.select(*PAGE, "b", F.aggregate("b", start, step, lambda s: s["starts"]).alias("starts"))
+    members = F.transform("starts", lambda at, i: F.slice("b", at + 1, F.coalesce(F.get("starts", i + 1), F.size("b")) - at))
+    rows = rows.select(*PAGE, F.posexplode(members).alias("gid", "t"))
+    of = lambda c: F.transform("t", lambda x: x[c])
+    box = [f(of(k)).alias(k) for k, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))]
+    return rows.select(*PAGE, "gid", F.size("t").cast("long").alias("n_blocks"), *[F.array_join(of(c), "\n").alias(c) for c in text], *box, *[F.flatten(of(c)).alias(c) for c in spans])
 
 
 def style(blocks: DataFrame, number: str = "block_no") -> DataFrame:
