@@ -8,12 +8,14 @@ import threading
 import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from versolane.operators import analyze, batches, detection, jobs, profiles, translate
+from versolane.plans import service
 from versolane.sources import books, epub, shelf
-from versolane.streaming import machine, uploads
+from versolane.streaming import machine, progress, uploads
 
 REPO = str(Path(__file__).resolve().parents[1])
 HOUR = 3600
@@ -366,3 +368,40 @@ def test_one_of_two_writers_commits_a_version(spark, tmp_path, monkeypatch):
     assert shelf.latest(spark, out) == (1, folders[0])
     shelf.commit(spark, out, folders[1], 2)
     assert shelf.latest(spark, out) == (2, folders[1])
+
+
+def test_progress_stream_makes_its_answers_once(spark, monkeypatch):
+    made, answers = spark.sparkContext.accumulator(0), service._answers
+
+    def counted(s, d):
+        rows = answers(s, d)
+
+        def run(batches):
+            for batch in batches:
+                made.add(len(batch))
+                yield batch
+
+        return rows.mapInPandas(run, rows.schema)
+
+    monkeypatch.setattr(service, "_answers", counted)
+    rows = service.progress_stream(spark, "/root/testdata/sf0.001").where("doc_idx IS NOT NULL").count()
+    assert made.value == rows > 0
+
+
+def test_bars_close_within_a_batch(spark):
+    class Kept:
+        def __init__(self, now):
+            self.now = now
+
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, now):
+            self.now = now
+
+    bars = progress.Bars()
+    bars.bar = Kept((1, 0.5))
+    batch = pd.DataFrame({"book_id": "b", "doc_idx": [1, 0, 2], "block_no": [0, None, 1], "step": "block", "progress": [0.4, 0.7, 0.6], "message": "m", "units": 3})
+    out = pd.concat(bars.handleInputRows(("b",), iter([batch.iloc[:0], batch]), None))
+    assert list(zip(out["step"], out["shown"])) == [("block", 0.5), ("block", 0.7), ("saving", 0.99), ("done", 1.0), ("block", 1.0)]
+    assert out["block_no"].isna().tolist() == [False, True, True, True, False] and bars.bar.now == (4, 1.0)

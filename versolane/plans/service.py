@@ -152,12 +152,15 @@ def progress_books(s: SparkSession, d: str) -> DataFrame:
 
 def progress_stream(s: SparkSession, d: str) -> DataFrame:
     """The rows of `progress_books` as answers are stored, in three micro-batches."""
-    folder, out = live.shared(s, "answers"), live.shared(s, "bars")
-    answers = _answers(s, d)
-    for part in range(3):
-        answers.where(F.pmod(F.xxhash64("book_id", "doc_idx", "block_no"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(folder)
-    stream = s.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = progress.bars(stream, jobs.totals(answers))
+    folder, held, out = (live.shared(s, tag) for tag in ("answers", "totals", "bars"))
+    answers = _answers(s, d).withColumn("part", F.pmod(F.xxhash64("book_id", "doc_idx", "block_no"), F.lit(3)).cast("int"))
+    # pages are read once: what arrives and what the books hold both come from these files
+    answers.write.partitionBy("part").parquet(folder)
+    stored = s.read.schema(answers.schema).parquet(folder)
+    jobs.totals(stored).write.parquet(held)
+    files = len(stored.inputFiles())
+    stream = s.readStream.schema(answers.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(folder)
+    rows = progress.bars(stream, s.read.parquet(held))
     start = lambda: rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", live.shared(s, "offsets")).trigger(availableNow=True).start()
     machine.with_timers(s, start).awaitTermination()
     return _shown(s.read.schema(progress.ROWS).parquet(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,7 @@ from ..operators import jobs
 STATE = "answered long, shown double"
 ROWS = "book_id string, doc_idx int, block_no int, step string, progress double, shown double, message string"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
+KINDS = {"doc_idx": "Int32", "block_no": "Int32"}
 
 
 class Bars(StatefulProcessor):
@@ -25,14 +27,17 @@ class Bars(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         answered, shown = self.bar.get() if self.bar.exists() else (0, 0.0)
         for batch in rows:
-            out = []
-            for row in batch.itertuples(index=False):
-                answered, shown = answered + 1, max(shown, row.progress)
-                out.append((key[0], row.doc_idx, None if pd.isna(row.block_no) else row.block_no, row.step, row.progress, shown, row.message))
-                if answered == row.units:
-                    shown = 1.0
-                    out += [(key[0], None, None, step, progress, progress, message) for step, progress, message in jobs.CLOSING]
-            yield pd.DataFrame(out, columns=NAMES).astype({"doc_idx": "Int32", "block_no": "Int32"})
+            out = batch.assign(book_id=key[0], shown=np.maximum.accumulate(np.append(shown, batch["progress"]))[1:])[NAMES]
+            last = int(batch["units"].iloc[0]) - answered if len(batch) else 0
+            if 0 < last <= len(out):
+                closing = pd.DataFrame([(key[0], None, None, step, progress, progress, message) for step, progress, message in jobs.CLOSING], columns=NAMES)
+                more = out.iloc[last:]
+                parts = [out.iloc[:last], closing, more.assign(shown=1.0)]
+                out, shown = pd.concat([x.astype(KINDS) for x in parts]), 1.0
+            elif len(batch):
+                shown = float(out["shown"].iloc[-1])
+            answered += len(batch)
+            yield out.astype(KINDS)
         self.bar.update((answered, shown))
 
     def close(self) -> None:
