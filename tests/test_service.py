@@ -405,3 +405,23 @@ def test_bars_close_within_a_batch(spark):
     out = pd.concat(bars.handleInputRows(("b",), iter([batch.iloc[:0], batch]), None))
     assert list(zip(out["step"], out["shown"])) == [("block", 0.5), ("block", 0.7), ("saving", 0.99), ("done", 1.0), ("block", 1.0)]
     assert out["block_no"].isna().tolist() == [False, True, True, True, False] and bars.bar.now == (4, 1.0)
+
+
+def test_uploads_are_opened_once(spark, tmp_path, monkeypatch):
+    opened, chapters = spark.sparkContext.accumulator(0), epub.chapters
+
+    def counted(files):
+        def run(batches):
+            for batch in batches:
+                opened.add(len(batch))
+                yield batch
+
+        return chapters(files.mapInPandas(run, files.schema))
+
+    monkeypatch.setattr(epub, "chapters", counted)
+    for name, content in {"a.vol-1.epub": "<p>one of them, again</p>", "a.vol-1.x.epub": "<p>one of them, again</p>", "b.epub": "<p>another one of them</p>"}.items():
+        (tmp_path / name).write_bytes(epub.archive(["c.xhtml"], [content]))
+    (tmp_path / "broken.epub").write_bytes(b"no archive")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {(r["book_id"], r["volume"]): (r["num_chapters"], r["error"]) for r in uploads.partials(files).collect()}
+    assert got == {("a", 1): (1, None), ("b", 0): (1, None), ("broken", 0): (0, "BadZipFile: File is not a zip file")} and opened.value == 3

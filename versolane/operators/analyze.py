@@ -15,23 +15,27 @@ def chapter_texts(chapters: DataFrame) -> DataFrame:
     return chapters.select("book_id", "doc_idx", "name", "html", plain_text(F.col("html")).alias("text"))
 
 
-def books(chapters: DataFrame, of: DataFrame | None = None, names: int = 30, part: int = 512) -> DataFrame:
+def books(chapters: DataFrame, of: DataFrame | None = None, names: int = 30, part: int = 512, error: str | None = None) -> DataFrame:
     """(book_id, total_chars, total_words, num_chapters, chapter_names, estimated_tokens) of HTML books.
 
     Chapters of ten characters or fewer don't count. At most `names` names are listed; the count is full. A book without counted chapters has zeros,
     as has one that `of` (book_id) lists and that has no chapter at all. Sums and names are made for each `part` chapters first: no list holds a book's names.
+    With `error`, a column of chapters, a book also has the least one of its rows without a place, which say why it can't be read.
     """
-    rows = chapter_texts(chapters).select("book_id", "doc_idx", F.coalesce("text", F.lit("")).alias("text"), heading(F.col("html"), F.col("name")).alias("title"))
+    bad = [F.when(F.col("doc_idx").isNull(), F.col(error)).alias("error")] if error else []
+    least = [F.min("error").alias("error")] if error else []
+    rows = chapters.select("book_id", "doc_idx", "name", "html", plain_text(F.col("html")).alias("text"), *bad)
+    rows = rows.select("book_id", "doc_idx", F.coalesce("text", F.lit("")).alias("text"), heading(F.col("html"), F.col("name")).alias("title"), *["error"] * bool(error))
     counts = F.length(trim_ws(F.col("text"))) > 10
-    rows = rows.select("book_id", F.floor(F.col("doc_idx") / part).alias("part"), F.when(counts, F.length("text")).alias("n"), F.when(counts, word_count(F.col("text"))).alias("w"), F.when(counts, F.struct("doc_idx", "title")).alias("c"))
-    some = rows.groupBy("book_id", "part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("c").alias("k"), F.slice(F.sort_array(F.collect_list("c")), 1, names).alias("c"))
+    rows = rows.select("book_id", F.floor(F.col("doc_idx") / part).alias("part"), F.when(counts, F.length("text")).alias("n"), F.when(counts, word_count(F.col("text"))).alias("w"), F.when(counts, F.struct("doc_idx", "title")).alias("c"), *["error"] * bool(error))
+    some = rows.groupBy("book_id", "part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("c").alias("k"), F.slice(F.sort_array(F.collect_list("c")), 1, names).alias("c"), *least)
     # the first parts with any name hold all that are listed
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.col("k") == 0, "part"))
     some = some.withColumn("c", F.when(rank <= names, F.col("c")))
-    out = some.groupBy("book_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_chars"), F.coalesce(F.sum("w"), F.lit(0)).alias("total_words"), F.sum("k").alias("num_chapters"), F.sort_array(F.flatten(F.collect_list("c"))).alias("c"))
-    out = out.select("book_id", "total_chars", "total_words", "num_chapters", F.transform(F.slice("c", 1, names), lambda x: x["title"]).alias("chapter_names"))
+    out = some.groupBy("book_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_chars"), F.coalesce(F.sum("w"), F.lit(0)).alias("total_words"), F.sum("k").alias("num_chapters"), F.sort_array(F.flatten(F.collect_list("c"))).alias("c"), *least)
+    out = out.select("book_id", "total_chars", "total_words", "num_chapters", F.transform(F.slice("c", 1, names), lambda x: x["title"]).alias("chapter_names"), *["error"] * bool(error))
     if of is not None:
-        out = of.select("book_id").distinct().join(out, "book_id", "left").select("book_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_chars", "total_words", "num_chapters")], F.coalesce("chapter_names", F.array().cast("array<string>")).alias("chapter_names"))
+        out = of.select("book_id").distinct().join(out, "book_id", "left").select("book_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_chars", "total_words", "num_chapters")], F.coalesce("chapter_names", F.array().cast("array<string>")).alias("chapter_names"), *["error"] * bool(error))
     return out.withColumn("estimated_tokens", scaled_estimate(F.col("total_chars") + F.col("num_chapters")))
 
 

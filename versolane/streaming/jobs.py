@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def shared(spark: SparkSession, tag: str) -> str:
     return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def started(spark: SparkSession, key: str, value: str, start: Callable[[], Any]) -> Any:
+    """start() with a setting of the session, which is as it was afterwards; a query keeps what it starts with."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
     """The events table as a stream of job events."""
     held = spark.read.parquet(f"{sf_dir}/events.parquet").schema
