@@ -425,3 +425,15 @@ def test_uploads_are_opened_once(spark, tmp_path, monkeypatch):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {(r["book_id"], r["volume"]): (r["num_chapters"], r["error"]) for r in uploads.partials(files).collect()}
     assert got == {("a", 1): (1, None), ("b", 0): (1, None), ("broken", 0): (0, "BadZipFile: File is not a zip file")} and opened.value == 3
+
+
+def test_machine_takes_all_files_of_the_table(spark, tmp_path):
+    held = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    held.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "events.parquet"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(service.job_machine_stream(spark, str(tmp_path))) == key(service.job_machine(spark, str(tmp_path)))
+
+
+def test_ids_stay_whole_beside_an_eviction():
+    rows = [(1, 2**53 + 1, 0, "started", "pending", "processing", "moved"), (1, None, 5, None, "processing", None, "evicted")]
+    assert [tuple(x) for x in machine._frame(rows).to_numpy()] == rows and list(machine._frame([]).columns) == machine.NAMES

@@ -31,9 +31,9 @@ def job_machine(s: SparkSession, d: str) -> DataFrame:
 
 
 def job_machine_stream(s: SparkSession, d: str) -> DataFrame:
-    """The same rows by a stream with state, timers and a watermark."""
+    """The same rows by a stream with state, timers and a watermark. Files of the table arrive together, so none is late for another."""
     out = live.shared(s, "moves")
-    rows = machine.transitions(live.event_stream(s, d))
+    rows = machine.transitions(live.event_stream(s, d, 10_000))
     start = lambda: rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", live.shared(s, "offsets")).trigger(availableNow=True).start()
     machine.with_timers(s, start).awaitTermination()
     return s.read.schema(machine.ROWS).parquet(out)
